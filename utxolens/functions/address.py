@@ -14,7 +14,7 @@ as the reference does; ``p2sh_version`` can set the network's 5.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import base58check_hex, hex_lower
@@ -64,16 +64,29 @@ def address_version_hex(script: Column, p2sh_version: int = 0) -> Column:
 
 
 def hash160_to_address(hash_hex: Column, version_hex: Column | str = "00") -> Column:
-    """Base58Check address text of a 20-byte hash given as hex."""
+    """Base58Check address text of a 20-byte hash given as hex (NULL stays NULL)."""
     v = F.lit(version_hex) if isinstance(version_hex, str) else version_hex
-    return F.when(hash_hex.isNotNull(), base58check_hex(v, hash_hex))
+    return base58check_hex(v, hash_hex)
 
 
 def address_col(script: Column, p2sh_version: int = 0) -> Column:
     """Locking script → address text, or NULL (raw keys, multisig, RETURN,
     malformed and NULL scripts have none)."""
-    return hash160_to_address(script_hash160_hex(script),
-                              address_version_hex(script, p2sh_version))
+    return hash160_to_address(script_hash160_hex(script), address_version_hex(script, p2sh_version))
+
+
+def with_hash160_address(df: DataFrame, hash_col: str, out: str,
+                         version_hex: Column | str = "00") -> DataFrame:
+    """Add ``out`` = address of the hex hash in ``hash_col``."""
+    return df.withColumn(out, hash160_to_address(F.col(hash_col), version_hex))
+
+
+def with_address(df: DataFrame, script_col: str = "script", out: str = "address",
+                 hash_out: str = "hash160", p2sh_version: int = 0) -> DataFrame:
+    """Add ``hash_out`` (hex hash160 or NULL) and ``out`` (address text or NULL)."""
+    s = F.col(script_col)
+    df = df.withColumn(hash_out, script_hash160_hex(s))
+    return df.withColumn(out, hash160_to_address(F.col(hash_out), address_version_hex(s, p2sh_version)))
 
 
 def script_type(script: Column) -> Column:

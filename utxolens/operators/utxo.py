@@ -24,8 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.address import has_address, hash160_to_address, script_hash160_hex
-from ..functions.address import address_version_hex
+from ..functions.address import (address_version_hex, has_address, script_hash160_hex,
+                                 with_address, with_hash160_address)
 from ..functions.encoding import hex_lower
 
 KEY = ["tx_hash", "idx"]
@@ -111,10 +111,8 @@ def top_unspent(elements: DataFrame, k: int = 100, with_script: bool = False) ->
 
 
 def _with_address(df: DataFrame, p2sh_version: int = 0) -> DataFrame:
-    h = script_hash160_hex(F.col("script"))
-    return (df.withColumn("hash160", h)
-              .withColumn("address", hash160_to_address(
-                  F.col("hash160"), address_version_hex(F.col("script"), p2sh_version))))
+    """Add ``hash160`` and ``address`` from the ``script`` column."""
+    return with_address(df, "script", "address", "hash160", p2sh_version)
 
 
 def output_addresses(elements: DataFrame, p2sh_version: int = 0) -> DataFrame:
@@ -167,5 +165,6 @@ def address_balances(elements: DataFrame, p2sh_version: int = 0) -> DataFrame:
                     "amount")
              .groupBy("h", "v")
              .agg(F.sum("amount").alias("balance"), F.count(F.lit(1)).alias("n_outputs")))
-    return per.select(hash160_to_address(hex_lower(F.col("h")), F.col("v")).alias("address"),
-                      "balance", "n_outputs")
+    per = per.withColumn("h", hex_lower(F.col("h")))
+    return with_hash160_address(per, "h", "address", F.col("v")).select(
+        "address", "balance", "n_outputs")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import encoding as enc
 from ..functions.validate import decode_address, pubkey_to_hash160
-from ..functions.address import hash160_to_address
+from ..functions.address import with_hash160_address
 from ..operators import blocks, modes, scriptstats, utxo
 from ..sources import fixtures as fx
 from ..sources.tables import register_views
@@ -61,11 +61,9 @@ def address_validation(spark, sf):
 
 def pubkey_addresses(spark, sf):
     k = scriptstats.script_pubkeys(_el(spark, sf).where(F.col("type") == 1))
-    # the Python hash is a column of its own: UDFs cannot sit inside the
-    # Base58 lambdas
     h = k.select("tx_hash", "idx", "pubkey_hex",
                  pubkey_to_hash160(F.col("pubkey_hex")).alias("hash160"))
-    return h.withColumn("address", hash160_to_address(F.col("hash160")))
+    return with_hash160_address(h, "hash160", "address")
 
 
 def sql_over_views(spark, sf):
