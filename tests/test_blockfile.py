@@ -111,3 +111,17 @@ def test_jobs_write_csv(spark):
     assert [tuple(r) for r in got] == [("result", "2")]
     run_job(spark, "block_with_few_transactions", idx_out, os.path.join(d, "few"))
     assert spark.read.csv(os.path.join(d, "few")).select(F.col("_c1")).count() == 2
+
+
+def test_streaming_ingest(spark):
+    from utxolens.streaming.ingest import ingest_block_files
+
+    d = tempfile.mkdtemp(prefix="utxolens-stream-")
+    src = os.path.join(d, "in")
+    os.makedirs(src)
+    cb, sw = _write_chain(os.path.join(src, "blk00000.dat"))
+    table = os.path.join(d, "table")
+    q = ingest_block_files(spark, src, table, name=os.path.basename(d))
+    q.awaitTermination(120)
+    got = spark.read.parquet(table)
+    assert sorted(r.t for r in got.collect()) == [1231006505, 1231007000]

@@ -19,9 +19,13 @@ Job = Callable[[SparkSession, str, str, str | None], None]
 
 
 def _blocks(spark: SparkSession, path: str, fmt: str | None) -> DataFrame:
+    """Nested blocks: a decoded table as is, or raw files decoded once into a
+    table under the shared checkpoint folder (later stages never re-decode)."""
     if fmt:
         return spark.read.format(fmt).load(path)
-    return blockfile.read_block_files(spark, path)
+    from ..session import materialize
+
+    return materialize(spark, blockfile.read_block_files(spark, path), "blocks")
 
 
 def _elements(spark: SparkSession, path: str, fmt: str | None) -> DataFrame:

@@ -81,3 +81,18 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(zpath)
     _SHIPPED.add(key)
+
+
+def materialize(spark: SparkSession, df, name: str, fmt: str = "parquet"):
+    """Write ``df`` under the shared checkpoint folder and read it back.
+
+    Cuts the lineage (a lost executor re-reads the written files instead of
+    recomputing the upstream stages) and lets later steps scan a columnar
+    table with pruning. The folder comes from ``spark.checkpoint.dir``.
+    """
+    import uuid
+
+    base = checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/utxolens/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").format(fmt).save(path)
+    return spark.read.format(fmt).load(path)
