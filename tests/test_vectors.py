@@ -142,3 +142,18 @@ def test_chunk_predicates(spark):
     assert [(x.c, x.m, x.o) for x in r] == [(True, False, False), (False, True, False),
                                             (False, False, True), (False, False, False)]
     assert r[0].e == 1000000 and r[0].s == "02" + "22" * 32
+
+
+def test_sql_functions(spark):
+    from utxolens.functions.sql import register_functions
+
+    names = register_functions(spark)
+    assert "script_address" in names
+    r = spark.sql(f"""SELECT script_address(X'76a914{GENESIS_HASH160}88ac') AS a,
+                             script_address(X'51') AS n,
+                             script_structure_parse(X'acacac87') AS s,
+                             block_time_text(1231006505) AS t,
+                             decode_address('1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa').payload_hex AS p
+                   """).first()
+    assert r.a == "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa" and r.n is None
+    assert r.s == "CHECKSIG[3] EQUAL" and r.t == "2009-01-03 18::15" and r.p == GENESIS_HASH160
