@@ -55,11 +55,12 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``type, block_hash, tx_idx, tx_hash, idx, amount, script``.
 
     Outputs need the order date (the block), so lineitem is joined to
-    orders on the order key; Catalyst picks the join strategy (AQE turns it
-    into a broadcast only when the orders side is measured small).
+    orders on the order key. Orders grows with the data (no size bound), so
+    the join is a shuffle sort-merge join on the key, as it is at scale;
+    the per-row script work after it then runs in every shuffle partition.
     """
     li = read_table(spark, sf_dir, "lineitem")
-    od = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    od = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").hint("merge")
     outputs = li.join(od, li.l_orderkey == od.o_orderkey).select(
         F.lit(1).alias("type"),
         _sha_hex(F.col("o_orderdate").cast("date")).alias("block_hash"),
