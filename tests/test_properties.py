@@ -31,11 +31,20 @@ script_bytes = st.one_of(
     st.builds(lambda h: bytes.fromhex("76a914") + h + bytes.fromhex("88ac"), st.binary(min_size=20, max_size=20)),
     st.builds(lambda h: bytes([len(h)]) + h + b"\xac", st.binary(min_size=0, max_size=70)),
     st.builds(lambda h: b"\x4c" + bytes([len(h)]) + h + b"\xac", st.binary(min_size=0, max_size=70)),
+    st.builds(lambda h: bytes([len(h)]) + h, st.binary(min_size=0, max_size=75)),
+    st.builds(lambda h: b"\x6a" + h, st.binary(max_size=10)),
+    st.builds(lambda h: b"\x00" + bytes([len(h)]) + h, st.sampled_from([b"\x01" * 20, b"\x02" * 32])),
+    st.builds(lambda m, ks, n, tail: bytes([0x50 + m]) + b"".join(bytes([len(k)]) + k for k in ks)
+              + bytes([0x50 + n]) + tail,
+              st.integers(1, 16),
+              st.lists(st.sampled_from([b"\x02" * 33, b"\x04" * 65, b"\x03" * 32]),
+                       min_size=1, max_size=3),
+              st.integers(1, 16), st.sampled_from([b"\xae", b"\xaf", b"\xae\xae"])),
 )
 
 
-@settings(max_examples=1, deadline=None)
-@given(st.lists(script_bytes, min_size=150, max_size=150))
+@settings(max_examples=3, deadline=None)
+@given(st.lists(script_bytes, min_size=300, max_size=300))
 def test_native_functions_match_slow_parser(spark, scripts):
     df = spark.createDataFrame([(s,) for s in scripts], "script binary")
     rows = df.select("script", A.script_type(F.col("script")).alias("t"),

@@ -22,6 +22,14 @@ _N_PIECES = 13             # so a double divides it exactly; 13 pieces = 26 byte
 _MAX_BYTES = _N_PIECES * _PIECE_HEX // 2
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a one-element
+    ``transform``). Filters pushed into scans or joins get no common
+    subexpression elimination, so an expression that reads one derived
+    value many times binds it here instead of recomputing it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def hex_lower(c: Column) -> Column:
     """Binary → lower-case hex."""
     return F.lower(F.hex(c))
