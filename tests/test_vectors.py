@@ -157,3 +157,10 @@ def test_sql_functions(spark):
                    """).first()
     assert r.a == "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa" and r.n is None
     assert r.s == "CHECKSIG[3] EQUAL" and r.t == "2009-01-03 18::15" and r.p == GENESIS_HASH160
+
+
+def test_array_mode_max(spark):
+    df = spark.createDataFrame([([1, 1, 3, 3, 2],), ([],), (None,), ([5, None, 5, 7],)],
+                               "a array<int>")
+    got = [r.m for r in df.select(modes.array_mode_max(F.col("a")).alias("m")).collect()]
+    assert got == [3, 0, 0, 5]

@@ -8,7 +8,7 @@ only ever holds one row per distinct value in the second step.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,3 +18,12 @@ def mode_max(df: DataFrame, group: str, value: str) -> DataFrame:
     order = F.when(F.col(value).isNotNull(), F.struct(F.col("_c"), F.col(value)))
     return per.groupBy(group).agg(
         F.coalesce(F.max_by(F.col(value), order), F.lit(0)).alias("mode"))
+
+
+def array_mode_max(values: Column) -> Column:
+    """Most frequent element of an int array column, ties → larger, empty or
+    NULL → 0 (the list form of the same rule; per-row, no shuffle)."""
+    counted = F.transform(
+        F.array_distinct(F.filter(values, lambda v: v.isNotNull())),
+        lambda v: F.struct(F.size(F.filter(values, lambda w: w == v)).alias("c"), v.alias("v")))
+    return F.coalesce(F.array_max(counted)["v"], F.lit(0))

@@ -94,16 +94,24 @@ def script_flags(elements: DataFrame) -> DataFrame:
 
 
 def script_pubkeys(elements: DataFrame) -> DataFrame:
-    """``type, tx_hash, idx, pubkey_hex`` for two-chunk scripts that carry a key."""
-    p = _parsed(elements).select("type", *KEY, S.chunks_of(F.col("_p")).alias("ch"))
+    """``type, tx_hash, idx, pubkey_hex`` for two-chunk scripts that carry a key.
+
+    Both key forms start with a push (first byte <= 0x4e); other scripts are
+    dropped natively before the parser runs."""
+    first = F.conv(hex_lower(F.substring(F.col("script"), 1, 1)), 16, 10).cast("int")
+    p = (_parsed(elements.where(first <= 0x4E))
+         .select("type", *KEY, S.chunks_of(F.col("_p")).alias("ch")))
     return (p.select("type", *KEY, S.pubkey_hex(F.col("ch")).alias("pubkey_hex"))
              .where(F.col("pubkey_hex").isNotNull()))
 
 
 def cltv_channels(elements: DataFrame) -> DataFrame:
     """``tx_hash, idx, sender_hex, recipient_hex, expiry`` of CLTV payment-channel outputs."""
-    p = (_parsed(elements.where(F.col("type") == 1))
-         .select(*KEY, S.chunks_of(F.col("_p")).alias("ch")))
+    h = hex_lower(F.col("script"))
+    # the channel shape starts with IF and ends with CHECKSIG: a native
+    # necessary condition, so only candidates reach the parser
+    cand = elements.where((F.col("type") == 1) & h.startswith("63") & h.endswith("ac"))
+    p = _parsed(cand).select(*KEY, S.chunks_of(F.col("_p")).alias("ch"))
     ch = F.col("ch")
     return (p.where(S.is_cltv_channel(ch))
              .select(*KEY, S.cltv_sender_hex(ch).alias("sender_hex"),
