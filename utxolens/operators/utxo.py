@@ -95,7 +95,7 @@ def top_unspent(elements: DataFrame, k: int = 100, with_script: bool = False) ->
 
     Without script: ``type, block_hash, tx_idx, tx_hash, idx, amount``.
     With script (no block id, as in the reference):
-    ``type, tx_hash, idx, amount, script_hex``.
+    ``type, tx_idx, tx_hash, idx, amount, script_hex``.
     """
     top = (unspent_keys(elements, "amount", "tx_idx")
            .orderBy(F.col("amount").desc(), "tx_hash", "idx").limit(k))
@@ -103,7 +103,7 @@ def top_unspent(elements: DataFrame, k: int = 100, with_script: bool = False) ->
     outs = elements.where(F.col("type") == 1).select(*KEY, *payload)
     j = _join_bounded(outs, top, KEY, k)
     if with_script:
-        res = j.select(F.lit(1).alias("type"), "tx_hash", "idx", "amount",
+        res = j.select(F.lit(1).alias("type"), "tx_idx", "tx_hash", "idx", "amount",
                        hex_lower(F.col("script")).alias("script_hex"))
     else:
         res = j.select(F.lit(1).alias("type"), "block_hash", "tx_idx", "tx_hash", "idx", "amount")

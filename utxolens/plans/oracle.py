@@ -222,7 +222,7 @@ SELECT type, block_hash, tx_idx, tx_hash, idx, amount, {SCRIPT_HEX} AS script_he
 SELECT type, block_hash, tx_idx, tx_hash, idx, amount FROM unspent
 ORDER BY amount DESC, tx_hash, idx LIMIT 100"""
     q["top_unspent_with_script"] = _with(E, UNSPENT_KEYS, UNSPENT) + f"""
-SELECT type, tx_hash, idx, amount, {SCRIPT_HEX} AS script_hex FROM unspent
+SELECT type, tx_idx, tx_hash, idx, amount, {SCRIPT_HEX} AS script_hex FROM unspent
 ORDER BY amount DESC, tx_hash, idx LIMIT 100"""
     q["output_addresses"] = _with(E, UNSPENT_KEYS, UNSPENT) + f"""
 SELECT tx_hash, idx, {ADDRESS} AS address, {HASH160} AS hash160, amount AS balance

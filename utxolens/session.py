@@ -67,6 +67,9 @@ def ship_package(spark: SparkSession) -> None:
     key = id(sc._jsc)
     if key in _SHIPPED:
         return
+    if "utxolens" in sc.getConf().get("spark.submit.pyFiles", ""):
+        _SHIPPED.add(key)            # spark-submit --py-files already ships it
+        return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     out_dir = tempfile.mkdtemp(prefix="utxolens-pyfiles-")
     zpath = os.path.join(out_dir, "utxolens.zip")
