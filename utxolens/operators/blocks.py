@@ -54,7 +54,9 @@ def blocks_fewest_tx(block_index: DataFrame, k: int = 1000) -> DataFrame:
 
 
 def largest_blocks(block_index: DataFrame, k: int = 100) -> DataFrame:
-    return block_index.orderBy(F.col("size").desc(), "rowkey").limit(k)
+    """The k largest blocks, with the ``ts`` column (the shell query sorts the
+    time-stamped block frame)."""
+    return with_ts(block_index).orderBy(F.col("size").desc(), "rowkey").limit(k)
 
 
 def block_ts(block_index: DataFrame) -> DataFrame:

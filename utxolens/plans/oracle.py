@@ -301,7 +301,7 @@ SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, c
 FROM (SELECT * FROM blocks WHERE "transactionCounter" < 10) x GROUP BY 1, 2 ORDER BY 1, 2"""
     q["blocks_fewest_tx"] = _with(BI) + \
         'SELECT * FROM block_index ORDER BY "transactionCounter", rowkey LIMIT 1000'
-    q["largest_blocks"] = _with(BI) + "SELECT * FROM block_index ORDER BY size DESC, rowkey LIMIT 100"
+    q["largest_blocks"] = _with(BI, BT) + "SELECT * FROM blocks ORDER BY size DESC, rowkey LIMIT 100"
     q["reversed_hash"] = _with(BI) + """
 SELECT rowkey, sha256(rowkey) AS block_hash,
        array_to_string(list_reverse(regexp_extract_all(sha256(rowkey), '..')), '') AS display_hash
