@@ -164,3 +164,14 @@ def test_array_mode_max(spark):
                                "a array<int>")
     got = [r.m for r in df.select(modes.array_mode_max(F.col("a")).alias("m")).collect()]
     assert got == [3, 0, 0, 5]
+
+
+def test_opcode_lookup_both_ways(spark):
+    from utxolens.functions import opcodes as op
+    df = spark.createDataFrame([("CHECKSIG",), ("NOP2",), ("CHECKLOCKTIMEVERIFY",), ("BOGUS",)], "n string")
+    got = [r.c for r in df.select(S.opcode_code_col(F.col("n")).alias("c")).collect()]
+    assert got == [0xAC, 0xB1, 0xB1, 0xFF]
+    assert [op.opcode_of(n) for n in ["CHECKSIG", "NOP2", "BOGUS"]] == [0xAC, 0xB1, 0xFF]
+    codes = spark.createDataFrame([(0xAC,), (0xBA,), (0x00,)], "c int")
+    names = [r.n for r in codes.select(S.opcode_name_col(F.col("c")).alias("n")).collect()]
+    assert names == ["CHECKSIG", "NON_OP(186)", "0"]
