@@ -136,7 +136,21 @@ def block_values_flat(transactions: DataFrame, elements: DataFrame) -> DataFrame
     ).orderBy("t", "hash")
 
 
-def recent(df: DataFrame, time_col: str = "t", days: int = 30) -> DataFrame:
-    """Rows newer than ``days`` before the newest row (the data's own 'now')."""
-    newest = df.select(F.max(time_col)).scalar()     # scalar subquery, one value
+def recent(df: DataFrame, time_col: str = "t", days: int = 30,
+           newest: Column | None = None) -> DataFrame:
+    """Rows newer than ``days`` before ``newest`` (default: the newest row of
+    ``df`` itself, as a scalar subquery — the data's own 'now')."""
+    if newest is None:
+        newest = df.select(F.max(time_col)).scalar()
     return df.where(F.col(time_col) > newest - F.lit(days * 86400))
+
+
+def recent_block_values(transactions: DataFrame, elements: DataFrame,
+                        days: int = 30) -> DataFrame:
+    """Block values of the blocks newer than ``days`` before the newest block.
+
+    'Now' comes from the narrow transactions table (one scalar), and the
+    transactions are filtered before the per-block aggregate, so only the
+    recent blocks are joined with the output sums."""
+    newest = transactions.select(F.max("t")).scalar()
+    return block_values_flat(recent(transactions, "t", days, newest), elements)

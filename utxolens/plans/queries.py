@@ -145,7 +145,8 @@ QUERIES: dict[str, Query] = {
     "double_sha256": double_sha256,
     # block values
     "block_values": block_values,
-    "recent_blocks": lambda s, d: blocks.recent(block_values(s, d), "t", 30),
+    "recent_blocks": lambda s, d: blocks.recent_block_values(
+        fx.transactions_flat(s, d), _el(s, d), 30),
     "flatten_outputs": flatten_outputs,
     # other aggregates
     "mode_max": lambda s, d: modes.mode_max(fx.mode_input(s, d), "event_type", "v")
