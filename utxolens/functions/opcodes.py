@@ -142,8 +142,3 @@ def opcode_of(name: str) -> int:
         if n == name:
             return code
     return INVALID_OPCODE
-
-
-def opcode_table_rows() -> list[tuple[int, str]]:
-    """(code, name) for all 256 codes, the NON_OP names included."""
-    return [(c, opcode_name(c)) for c in range(256)]
