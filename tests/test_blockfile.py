@@ -91,6 +91,13 @@ def test_decode_round_trip_and_unspent(spark):
     assert unspent == sorted([(sw, 0, 3000), (sw, 1, 1999)])
     outs = B.flatten_outputs_nested(blocks).count()
     assert outs == 3
+    compact = sorted((r.tx_hash, r.idx, r.amount)
+                     for r in utxo.unspent_outputs(el, compact_keys=True).collect())
+    assert compact == unspent
+    assert ([tuple(r) for r in utxo.top_unspent(el, 5, compact_keys=True).collect()]
+            == [tuple(r) for r in utxo.top_unspent(el, 5).collect()])
+    states = {(r.tx_hash, r.idx): r.state for r in utxo.outpoint_state(el, True).collect()}
+    assert states[(cb, 0)] == 2 and states[(sw, 0)] == 1
 
 
 def test_jobs_write_csv(spark):

@@ -48,3 +48,22 @@ def test_hot_group_mode(spark):
         c = Counter(i % 7 for i in range(30_000) if keep(i))
         want[g] = max(c, key=lambda v: (c[v], v))
     assert got == want
+
+
+def test_compact_keys_match_string_keys(spark):
+    import hashlib
+    rows = []
+    for i in range(400):
+        h = hashlib.sha256(str(i % 150).encode()).hexdigest()
+        rows.append((i % 3 % 2, "b", 0, h, i % 4, i, b"\x76\xa9\x14" + bytes(20) + b"\x88\xac"))
+    el = spark.createDataFrame(rows, "type int, block_hash string, tx_idx int, tx_hash string, "
+                                     "idx bigint, amount bigint, script binary")
+    a = sorted(map(tuple, utxo.unspent_outputs(el).collect()))
+    b = sorted(map(tuple, utxo.unspent_outputs(el, compact_keys=True).collect()))
+    assert a == b and len(a) > 0
+    assert (sorted(map(tuple, utxo.outpoint_state(el).collect()))
+            == sorted(map(tuple, utxo.outpoint_state(el, True).collect())))
+    assert ([tuple(r) for r in utxo.top_addresses(el, 7).collect()]
+            == [tuple(r) for r in utxo.top_addresses(el, 7, compact_keys=True).collect()])
+    plan = utxo.unspent_keys(el, compact_keys=True)._jdf.queryExecution().executedPlan().toString()
+    assert "unhex(tx_hash" in plan

@@ -40,9 +40,9 @@ def script_distribution(elements: DataFrame) -> DataFrame:
                 .orderBy("count", "scriptType"))
 
 
-def unspent_script_types(elements: DataFrame) -> DataFrame:
+def unspent_script_types(elements: DataFrame, compact_keys: bool = False) -> DataFrame:
     """``scriptStruct, count``: structure strings over unspent outputs."""
-    u = utxo.unspent_outputs(elements.select("type", *KEY, "script"))
+    u = utxo.unspent_outputs(elements.select("type", *KEY, "script"), compact_keys)
     return (u.select(S.script_structure(F.col("script")).alias("scriptStruct"))
              .groupBy("scriptStruct").agg(F.count(F.lit(1)).alias("count")))
 

@@ -46,31 +46,51 @@ def _join_bounded(big: DataFrame, small: DataFrame, on, bound_rows: int,
     return big.join(small, on=on, how=how)
 
 
-def outpoint_fold(elements: DataFrame, *numeric: str | Column) -> DataFrame:
-    """``tx_hash, idx, n, max_type[, numeric payload…]`` per outpoint.
+def _keyed(df: DataFrame, compact: bool) -> tuple[DataFrame, list[str]]:
+    """The outpoint key columns. With ``compact`` the hex transaction hash is
+    grouped and joined as its binary form (32 instead of 64 bytes in a real
+    chain); only valid when every ``tx_hash`` is canonical lower-case hex of
+    even length, as decoded block files produce. The string column itself
+    is always taken from the original rows, never rebuilt from the key."""
+    if not compact:
+        return df, KEY
+    return df.withColumn("_k", F.unhex(F.col("tx_hash"))), ["_k", "idx"]
+
+
+def outpoint_fold(elements: DataFrame, *numeric: str | Column,
+                  compact_keys: bool = False) -> DataFrame:
+    """``<key>, n, max_type[, numeric payload…]`` per outpoint (key =
+    ``tx_hash, idx`` or ``_k, idx`` with compact keys).
 
     Payload columns must be numeric (they are taken with ``max``, exact for
     single-row groups) so the aggregate stays a HashAggregate.
     """
+    df, key = _keyed(elements, compact_keys)
     aggs = [F.count(F.lit(1)).alias("n"), F.max("type").alias("max_type")]
     for c in numeric:
         col = F.col(c) if isinstance(c, str) else c
         name = c if isinstance(c, str) else None
         aggs.append(F.max(col).alias(name) if name else F.max(col))
-    return elements.groupBy(*KEY).agg(*aggs)
+    return df.groupBy(*key).agg(*aggs)
 
 
-def outpoint_state(elements: DataFrame) -> DataFrame:
+def _tx_hash_of_key(compact: bool) -> Column:
+    return F.lower(F.hex(F.col("_k"))).alias("tx_hash") if compact else F.col("tx_hash")
+
+
+def outpoint_state(elements: DataFrame, compact_keys: bool = False) -> DataFrame:
     """``tx_hash, idx, state``: 1 unspent output, 0 lone input, 2 matched."""
-    f = outpoint_fold(elements)
-    return f.select(*KEY, F.when(F.col("n") > 1, F.lit(2)).otherwise(F.col("max_type"))
+    f = outpoint_fold(elements, compact_keys=compact_keys)
+    return f.select(_tx_hash_of_key(compact_keys), "idx",
+                    F.when(F.col("n") > 1, F.lit(2)).otherwise(F.col("max_type"))
                     .cast("int").alias("state"))
 
 
-def outpoint_keys(elements: DataFrame) -> DataFrame:
+def outpoint_keys(elements: DataFrame, compact_keys: bool = False) -> DataFrame:
     """``outpoint, n``: display key ``tx_hash_idx`` and how many rows carry it."""
-    f = outpoint_fold(elements)
-    return f.select(F.concat_ws("_", "tx_hash", F.col("idx").cast("string")).alias("outpoint"),
+    f = outpoint_fold(elements, compact_keys=compact_keys)
+    return f.select(F.concat_ws("_", _tx_hash_of_key(compact_keys),
+                                F.col("idx").cast("string")).alias("outpoint"),
                     F.col("n"))
 
 
@@ -78,30 +98,39 @@ def _unspent_filter() -> Column:
     return (F.col("n") == 1) & (F.col("max_type") == 1)
 
 
-def unspent_keys(elements: DataFrame, *numeric: str | Column) -> DataFrame:
+def unspent_keys(elements: DataFrame, *numeric: str | Column,
+                 compact_keys: bool = False) -> DataFrame:
     """Keys of unspent outputs, with optional numeric payload columns."""
-    return outpoint_fold(elements, *numeric).where(_unspent_filter()).drop("n", "max_type")
+    return (outpoint_fold(elements, *numeric, compact_keys=compact_keys)
+            .where(_unspent_filter()).drop("n", "max_type"))
+
+
+def _semi_unspent(outputs: DataFrame, elements: DataFrame, compact: bool) -> DataFrame:
+    """``outputs`` rows whose outpoint is unspent in ``elements`` (shuffle semi-join)."""
+    keys = unspent_keys(elements, compact_keys=compact)
+    outs, key = _keyed(outputs, compact)
+    return outs.join(keys, on=key, how="left_semi").select(*outputs.columns)
 
 
-def unspent_outputs(elements: DataFrame) -> DataFrame:
+def unspent_outputs(elements: DataFrame, compact_keys: bool = False) -> DataFrame:
     """Every unspent output row with all its columns (``type`` is 1)."""
-    keys = unspent_keys(elements)
-    outputs = elements.where(F.col("type") == 1)
-    return outputs.join(keys, on=KEY, how="left_semi")
+    return _semi_unspent(elements.where(F.col("type") == 1), elements, compact_keys)
 
 
-def top_unspent(elements: DataFrame, k: int = 100, with_script: bool = False) -> DataFrame:
+def top_unspent(elements: DataFrame, k: int = 100, with_script: bool = False,
+                compact_keys: bool = False) -> DataFrame:
     """The k largest unspent outputs (ties by outpoint).
 
     Without script: ``type, block_hash, tx_idx, tx_hash, idx, amount``.
     With script (no block id, as in the reference):
     ``type, tx_idx, tx_hash, idx, amount, script_hex``.
     """
-    top = (unspent_keys(elements, "amount", "tx_idx")
-           .orderBy(F.col("amount").desc(), "tx_hash", "idx").limit(k))
+    _, key = _keyed(elements, compact_keys)
+    top = (unspent_keys(elements, "amount", "tx_idx", compact_keys=compact_keys)
+           .orderBy(F.col("amount").desc(), *key).limit(k))
     payload = ["script"] if with_script else ["block_hash"]
-    outs = elements.where(F.col("type") == 1).select(*KEY, *payload)
-    j = _join_bounded(outs, top, KEY, k)
+    outs, _ = _keyed(elements.where(F.col("type") == 1).select(*KEY, *payload), compact_keys)
+    j = _join_bounded(outs, top, key, k)
     if with_script:
         res = j.select(F.lit(1).alias("type"), "tx_idx", "tx_hash", "idx", "amount",
                        hex_lower(F.col("script")).alias("script_hex"))
@@ -115,12 +144,12 @@ def _with_address(df: DataFrame, p2sh_version: int = 0) -> DataFrame:
     return with_address(df, "script", "address", "hash160", p2sh_version)
 
 
-def output_addresses(elements: DataFrame, p2sh_version: int = 0) -> DataFrame:
+def output_addresses(elements: DataFrame, p2sh_version: int = 0,
+                     compact_keys: bool = False) -> DataFrame:
     """Unspent outputs that have an address: ``tx_hash, idx, address, hash160, balance``."""
     outs = (elements.where((F.col("type") == 1) & has_address(F.col("script")))
             .select(*KEY, "amount", "script"))
-    keys = unspent_keys(elements)
-    u = outs.join(keys, on=KEY, how="left_semi")
+    u = _semi_unspent(outs, elements, compact_keys)
     return _with_address(u, p2sh_version).select(
         *KEY, "address", "hash160", F.col("amount").alias("balance"))
 
@@ -131,7 +160,8 @@ def element_addresses(elements: DataFrame, p2sh_version: int = 0) -> DataFrame:
     return _with_address(elements, p2sh_version).select("type", *KEY, "address")
 
 
-def top_addresses(elements: DataFrame, k: int = 10_000, p2sh_version: int = 0) -> DataFrame:
+def top_addresses(elements: DataFrame, k: int = 10_000, p2sh_version: int = 0,
+                  compact_keys: bool = False) -> DataFrame:
     """The k largest unspent outputs that have an address: ``address, balance``.
 
     "Balance" is the value of one unspent output (the reference does not
@@ -140,18 +170,20 @@ def top_addresses(elements: DataFrame, k: int = 10_000, p2sh_version: int = 0) -
     moving scripts; only those k rows fetch their script for Base58.
     """
     flagged = elements.withColumn("_addr", has_address(F.col("script")).cast("int"))
-    top = (unspent_keys(flagged, "amount", "_addr")
+    _, key = _keyed(elements, compact_keys)
+    top = (unspent_keys(flagged, "amount", "_addr", compact_keys=compact_keys)
            .where(F.col("_addr") == 1)
-           .orderBy(F.col("amount").desc(), "tx_hash", "idx").limit(k)
-           .select(*KEY, "amount"))
-    outs = elements.where(F.col("type") == 1).select(*KEY, "script")
-    j = _with_address(_join_bounded(outs, top, KEY, k), p2sh_version)
+           .orderBy(F.col("amount").desc(), *key).limit(k)
+           .select(*key, "amount"))
+    outs, _ = _keyed(elements.where(F.col("type") == 1).select(*KEY, "script"), compact_keys)
+    j = _with_address(_join_bounded(outs, top, key, k), p2sh_version)
     return (j.select("address", F.col("amount").alias("balance"), *KEY)
              .orderBy(F.col("balance").desc(), "tx_hash", "idx")
              .select("address", "balance"))
 
 
-def address_balances(elements: DataFrame, p2sh_version: int = 0) -> DataFrame:
+def address_balances(elements: DataFrame, p2sh_version: int = 0,
+                     compact_keys: bool = False) -> DataFrame:
     """Sum of unspent value per address: ``address, balance, n_outputs``.
 
     Grouped on the 20-byte hash (binary) with partial aggregation; Base58
@@ -159,7 +191,7 @@ def address_balances(elements: DataFrame, p2sh_version: int = 0) -> DataFrame:
     """
     outs = (elements.where((F.col("type") == 1) & has_address(F.col("script")))
             .select(*KEY, "amount", "script"))
-    u = outs.join(unspent_keys(elements), on=KEY, how="left_semi")
+    u = _semi_unspent(outs, elements, compact_keys)
     per = (u.select(F.unhex(script_hash160_hex(F.col("script"))).alias("h"),
                     address_version_hex(F.col("script"), p2sh_version).alias("v"),
                     "amount")

@@ -32,16 +32,22 @@ def _elements(spark: SparkSession, path: str, fmt: str | None) -> DataFrame:
     return B.elements_from_blocks(_blocks(spark, path, fmt))
 
 
+# Decoded hashes are canonical lower-case hex, so the outpoint fold can
+# shuffle binary keys (compact_keys).
+
 def _amounts(spark, inp, out, fmt=None):
-    sinks.write_single_csv(utxo.top_unspent(_elements(spark, inp, fmt), 100), out)
+    sinks.write_single_csv(utxo.top_unspent(_elements(spark, inp, fmt), 100, compact_keys=True),
+                           out)
 
 
 def _addresses(spark, inp, out, fmt=None):
-    sinks.write_single_csv(utxo.top_addresses(_elements(spark, inp, fmt), 10_000), out)
+    sinks.write_single_csv(
+        utxo.top_addresses(_elements(spark, inp, fmt), 10_000, compact_keys=True), out)
 
 
 def _unspent_scripts(spark, inp, out, fmt=None):
-    sinks.write_single_csv(utxo.top_unspent(_elements(spark, inp, fmt), 100, with_script=True), out)
+    sinks.write_single_csv(utxo.top_unspent(_elements(spark, inp, fmt), 100, with_script=True,
+                                            compact_keys=True), out)
 
 
 def _block_with_script(spark, inp, out, fmt=None):
