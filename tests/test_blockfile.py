@@ -132,3 +132,15 @@ def test_streaming_ingest(spark):
     q.awaitTermination(120)
     got = spark.read.parquet(table)
     assert sorted(r.t for r in got.collect()) == [1231006505, 1231007000]
+
+
+def test_decode_to_parquet_by_month(spark):
+    d = tempfile.mkdtemp(prefix="utxolens-dec-")
+    _write_chain(os.path.join(d, "blk00000.dat"))
+    out = os.path.join(d, "blocks")
+    bf.decode_to_parquet(spark, os.path.join(d, "*.dat"), out)
+    assert "month=2009-01" in os.listdir(out)
+    got = spark.read.parquet(out).where(F.col("month") == "2009-01")
+    assert got.count() == 2
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "(month#" in plan

@@ -201,6 +201,19 @@ def block_file_index(blocks: DataFrame) -> DataFrame:
 
 
 def decode_to_parquet(spark: SparkSession, path: str, out: str,
-                      magic: bytes = MAINNET_MAGIC) -> None:
-    """Decode block files once and store the nested records as Parquet."""
-    read_block_files(spark, path, magic).write.mode("overwrite").parquet(out)
+                      magic: bytes = MAINNET_MAGIC, by_month: bool = True) -> None:
+    """Decode block files once and store the nested records as Parquet.
+
+    With ``by_month`` the table is partitioned by the block's UTC month
+    (``month = 'yyyy-MM'``): block files are roughly time ordered, so each
+    task writes few partitions, and time-bounded queries prune the rest."""
+    from pyspark.sql import functions as F
+
+    from ..functions.timefmt import epoch_to_ts
+
+    blocks = read_block_files(spark, path, magic)
+    w = blocks.write.mode("overwrite")
+    if by_month:
+        blocks = blocks.withColumn("month", F.date_format(epoch_to_ts(F.col("t")), "yyyy-MM"))
+        w = blocks.write.mode("overwrite").partitionBy("month")
+    w.parquet(out)
