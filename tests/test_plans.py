@@ -42,3 +42,13 @@ def test_filter_and_pruning_reach_scan(spark):
 def test_block_rollups_have_partial_aggregation(spark):
     p = _plan(E.queries()["block_extremes_per_month"](spark, SF_SMALL))
     assert p.count("HashAggregate") >= 2
+
+
+def test_large_k_does_not_force_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(utxo, "MAX_BROADCAST_ROWS", 50)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = _plan(utxo.top_unspent(fx.elements(spark, SF_SMALL), 100))
+        assert "BroadcastHashJoin" not in p
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -30,8 +30,9 @@ from ..functions.encoding import hex_lower
 
 KEY = ["tx_hash", "idx"]
 
-# A top-k side is broadcast only while k is at most this many rows.
-MAX_BROADCAST_ROWS = 1_000_000
+# A top-k side is broadcast only while k is at most this many rows (a key
+# row is ~100 bytes, so ~25 MB); larger k falls back to a shuffle join.
+MAX_BROADCAST_ROWS = 250_000
 
 
 def _join_bounded(big: DataFrame, small: DataFrame, on, bound_rows: int,
