@@ -144,3 +144,16 @@ def test_decode_to_parquet_by_month(spark):
     assert got.count() == 2
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in plan and "(month#" in plan
+
+
+def test_single_csv_sink_hex_and_order(spark):
+    from utxolens.sources import sinks
+
+    d = tempfile.mkdtemp(prefix="utxolens-sink-")
+    df = spark.createDataFrame([(i, bytes([i, 255])) for i in range(50)], "n int, b binary")
+    sinks.write_single_csv(df.orderBy(F.col("n").desc()).repartition(4).orderBy(F.col("n").desc()),
+                           os.path.join(d, "o"))
+    parts = [p for p in os.listdir(os.path.join(d, "o")) if p.startswith("part-")]
+    assert len(parts) == 1
+    lines = open(os.path.join(d, "o", parts[0])).read().split()
+    assert lines[0] == "49,31ff" and lines[-1] == "0,00ff" and len(lines) == 50
