@@ -63,7 +63,10 @@ def ship_package(spark: SparkSession) -> None:
     """
     import zipfile
 
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:                # Spark Connect: ship with addArtifacts instead
+        return
     key = id(sc._jsc)
     if key in _SHIPPED:
         return
