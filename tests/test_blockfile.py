@@ -91,6 +91,10 @@ def test_decode_round_trip_and_unspent(spark):
     assert unspent == sorted([(sw, 0, 3000), (sw, 1, 1999)])
     outs = B.flatten_outputs_nested(blocks).count()
     assert outs == 3
+    txi = {r.rowkey: (r.inputNo, r.outputNo) for r in B.tx_index_from_blocks(blocks).collect()}
+    assert txi == {cb: (1, 1), sw: (1, 2)}
+    bi = bf.block_file_index(blocks).orderBy("transactionDate").collect()
+    assert [r.transactionCounter for r in bi] == [1, 1] and bi[0].file.endswith("blk00000.dat")
     compact = sorted((r.tx_hash, r.idx, r.amount)
                      for r in utxo.unspent_outputs(el, compact_keys=True).collect())
     assert compact == unspent

@@ -96,6 +96,22 @@ def flatten_outputs_nested(blocks: DataFrame) -> DataFrame:
                      F.col("o.value").alias("value"), F.col("o.script").alias("script"))
 
 
+def transactions_with_block(blocks: DataFrame) -> DataFrame:
+    """One row per transaction with its block: ``block_hash, t, tx_idx,
+    tx_hash, inputs, outputs`` (nested lists kept)."""
+    tx = blocks.select("block_hash", "t", F.posexplode("transactions").alias("tx_idx", "tx"))
+    return tx.select("block_hash", "t", F.col("tx_idx").cast("int"),
+                     F.col("tx.tx_hash").alias("tx_hash"), F.col("tx.inputs").alias("inputs"),
+                     F.col("tx.outputs").alias("outputs"))
+
+
+def tx_index_from_blocks(blocks: DataFrame) -> DataFrame:
+    """The transaction index table (``rowkey, inputNo, outputNo``) of decoded blocks."""
+    return transactions_with_block(blocks).select(
+        F.col("tx_hash").alias("rowkey"), F.size("inputs").alias("inputNo"),
+        F.size("outputs").alias("outputNo"))
+
+
 def elements_from_blocks(blocks: DataFrame) -> DataFrame:
     """Nested block records → the flat ``elements`` table (inputs + outputs)."""
     tx = blocks.select("block_hash", F.posexplode("transactions").alias("tx_idx", "tx"))
