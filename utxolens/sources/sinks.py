@@ -1,7 +1,8 @@
 """CSV sinks of the reference jobs.
 
-``write_single_csv`` writes one headerless CSV file (the jobs' result
-files); ``write_csv`` writes one part file per partition. Binary columns
+``write_single_csv`` writes one headerless CSV file — only for results
+bounded by a limit (top-k reports); ``write_csv`` writes one part file per
+partition, in order when the frame is sorted. Binary columns
 are written as lower-case hex. A sorted result keeps its order: the sort
 range-partitions, and ``coalesce(1)`` concatenates partitions in order
 without another shuffle.
