@@ -61,7 +61,7 @@ def _transaction_amount(spark, inp, out, fmt=None):
 
 
 def _script_distribution(spark, inp, out, fmt=None):
-    sinks.write_single_csv(scriptstats.script_distribution(_elements(spark, inp, fmt)), out)
+    sinks.write_csv(scriptstats.script_distribution(_elements(spark, inp, fmt)), out)
 
 
 def _block_count(spark, inp, out, fmt="parquet"):
