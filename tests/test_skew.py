@@ -67,3 +67,11 @@ def test_compact_keys_match_string_keys(spark):
             == [tuple(r) for r in utxo.top_addresses(el, 7, compact_keys=True).collect()])
     plan = utxo.unspent_keys(el, compact_keys=True)._jdf.queryExecution().executedPlan().toString()
     assert "unhex(tx_hash" in plan
+
+
+def test_single_pass_strategy_matches(spark):
+    el = _skewed(spark, 3000)
+    a = sorted(map(tuple, utxo.unspent_outputs(el).collect()))
+    b = sorted(map(tuple, utxo.unspent_outputs(el, strategy="single_pass").collect()))
+    assert a == b and len(a) == 2000
+    assert utxo.unspent_outputs(el, strategy="single_pass").columns == el.columns
