@@ -92,12 +92,25 @@ JOBS: dict[str, Job] = {
 }
 
 
-def run_job(spark: SparkSession, name: str, input_path: str, output_path: str,
-            input_format: str | None = None) -> None:
-    """Run one named job end to end (read → operators → CSV)."""
+# Default result folders of the table jobs.
+DEFAULT_OUTPUTS = {
+    "block_count": "/result/block-count",
+    "block_with_few_transactions": "/result/block-few-trans",
+    "transaction_count": "/result/transaction-count",
+}
+
+
+def run_job(spark: SparkSession, name: str, input_path: str, output_path: str | None = None,
+            input_format: str | None = None) -> str:
+    """Run one named job end to end (read → operators → CSV); returns the
+    output folder (a table job's default folder when none is given)."""
     from ..session import ship_package
 
     if name not in JOBS:
         raise KeyError(f"unknown job {name!r}; known: {sorted(JOBS)}")
+    out = output_path or DEFAULT_OUTPUTS.get(name)
+    if out is None:
+        raise ValueError(f"job {name!r} needs an output path")
     ship_package(spark)
-    JOBS[name](spark, input_path, output_path, input_format)
+    JOBS[name](spark, input_path, out, input_format)
+    return out
