@@ -28,6 +28,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("UTXOLENS_DRIVER_MEMORY", "16g"))
+        .config("spark.sql.codegen.hugeMethodLimit",
+                os.environ.get("UTXOLENS_HUGE_METHOD_LIMIT", "65535"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
