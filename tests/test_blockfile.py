@@ -161,3 +161,24 @@ def test_single_csv_sink_hex_and_order(spark):
     assert len(parts) == 1
     lines = open(os.path.join(d, "o", parts[0])).read().split()
     assert lines[0] == "49,31ff" and lines[-1] == "0,00ff" and len(lines) == 50
+
+
+def test_every_job_runs(spark):
+    from utxolens.plans.jobs import JOBS
+
+    d = tempfile.mkdtemp(prefix="utxolens-alljobs-")
+    _write_chain(os.path.join(d, "blk00000.dat"))
+    files = os.path.join(d, "*.dat")
+    blocks = bf.read_block_files(spark, files)
+    bf.block_file_index(blocks).write.parquet(os.path.join(d, "bi"))
+    B.tx_index_from_blocks(blocks).write.parquet(os.path.join(d, "ti"))
+    table_input = {"block_count": "bi", "block_with_few_transactions": "bi",
+                   "transaction_count": "ti"}
+    for name in JOBS:
+        inp = os.path.join(d, table_input[name]) if name in table_input else files
+        out = run_job(spark, name, inp, os.path.join(d, "out-" + name))
+        assert any(p.startswith("part-") for p in os.listdir(out)), name
+    got = spark.read.csv(os.path.join(d, "out-transaction_count")).collect()
+    assert [tuple(r) for r in got] == [("result", "2")]
+    addr = spark.read.csv(os.path.join(d, "out-addresses")).collect()
+    assert {r._c0 for r in addr} == {"1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa"}
