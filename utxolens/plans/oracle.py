@@ -6,11 +6,14 @@ script parsing are written per fixture script class (column ``cls``):
 outputs use ``l_suppkey % 8`` (``-1`` for the empty script of line 7),
 inputs use 10 (redeem-script push) and 11 (empty script).
 Base58 text is computed in SQL with the same limb arithmetic idea as the
-Spark side (``list_reduce`` over 16-bit pieces).
+Spark side (``list_reduce`` over 16-bit pieces); RIPEMD-160 of a 32-byte
+digest is one ``list_reduce`` over the 80 steps.
 """
 
 from __future__ import annotations
 
+from ..functions import validate as V
+
 B58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 _LIMB = 58 ** 5
 
@@ -152,6 +155,66 @@ def base58check_sql(version_hex: str, payload_hex: str) -> str:
     return base58_sql(f"concat({body}, {check})")
 
 
+# RIPEMD-160 of one 32-byte message (a SHA-256 digest) in DuckDB SQL: the
+# message fits one padded block, so the 80 steps of both lines run as one
+# list_reduce over a struct state; the fixed tables are those of
+# functions.validate.
+_M32 = 4294967295
+
+
+def _lst(xs) -> str:
+    return "[" + ", ".join(str(x) for x in xs) + "]"
+
+
+def _not32(x: str) -> str:
+    return f"({_M32} - {x})"
+
+
+def _rol32(x: str, n: str) -> str:
+    return f"(((({x}) << ({n})) | (({x}) >> (32 - ({n})))) & {_M32})"
+
+
+def _round_fn(rnd: str, x: str, y: str, z: str) -> str:
+    return (f"CASE {rnd} WHEN 0 THEN xor(xor({x}, {y}), {z}) "
+            f"WHEN 1 THEN ({x} & {y}) | ({_not32(x)} & {z}) "
+            f"WHEN 2 THEN xor(({x} | {_not32(y)}), {z}) "
+            f"WHEN 3 THEN ({x} & {z}) | ({y} & {_not32(z)}) "
+            f"ELSE xor({x}, ({y} | {_not32(z)})) END")
+
+
+def _line_step(side: str, rnd: str, order: str, shifts: str, consts: str) -> str:
+    a, b, c, d, e = (f"s.{v}{side}" for v in "abcde")
+    inner = (f"(({a} + {_round_fn(rnd, b, c, d)} + s.x[{order}[j + 1] + 1] "
+             f"+ {consts}[j // 16 + 1]) & {_M32})")
+    return f"({_rol32(inner, f'{shifts}[j + 1]')} + {e}) & {_M32}"
+
+
+def ripemd160_sql(hex32: str) -> str:
+    """DuckDB expression: RIPEMD-160 (hex) of a 32-byte message given as hex."""
+    def word(i: int) -> str:      # little-endian 32-bit word i of the message
+        b = [f"substring({hex32}, {8 * i + 2 * k + 1}, 2)" for k in range(4)]
+        return f"CAST(('0x' || {b[3]} || {b[2]} || {b[1]} || {b[0]}) AS BIGINT)"
+
+    # 8 message words, then the padding: 0x80, zeros, bit length 256
+    x = "[" + ", ".join([word(i) for i in range(8)] + ["128", "0", "0", "0", "0", "0", "256", "0"]) + "]"
+    left = _line_step("l", "(j // 16)", _lst(V._R_LEFT), _lst(V._S_LEFT), _lst(V._K_LEFT))
+    right = _line_step("r", "((79 - j) // 16)", _lst(V._R_RIGHT), _lst(V._S_RIGHT),
+                       _lst(V._K_RIGHT))
+    step = (f"lambda s, j: struct_pack(x := s.x, "
+            f"al := s.el, el := s.dl, dl := {_rol32('s.cl', '10')}, cl := s.bl, bl := {left}, "
+            f"ar := s.er, er := s.dr, dr := {_rol32('s.cr', '10')}, cr := s.br, br := {right})")
+    h = V._H0
+    init = ("struct_pack(x := " + x + ", " + ", ".join(
+        f"{v}{side} := CAST({h[i]} AS BIGINT)" for side in "lr" for i, v in enumerate("abcde")) + ")")
+    final = f"list_reduce(range(80), {step}, {init})"
+    words = [f"({h[1]} + s.cl + s.dr) & {_M32}", f"({h[2]} + s.dl + s.er) & {_M32}",
+             f"({h[3]} + s.el + s.ar) & {_M32}", f"({h[4]} + s.al + s.br) & {_M32}",
+             f"({h[0]} + s.bl + s.cr) & {_M32}"]
+    le_hex = [f"printf('%02x%02x%02x%02x', ({w}) & 255, (({w}) >> 8) & 255, "
+              f"(({w}) >> 16) & 255, (({w}) >> 24) & 255)" for w in words]
+    return f"list_transform([{final}], lambda s: {' || '.join(le_hex)})[1]"
+
+
 ADDRESS = f"CASE WHEN cls IN (0, 1, 2) THEN {base58check_sql(chr(39) + '00' + chr(39), _H20)} END"
 
 UNSPENT_KEYS = """
@@ -262,6 +325,11 @@ SELECT type, tx_hash, idx, {ASM} AS asm FROM elements"""
     q["script_flags"] = _with(E) + """
 SELECT type, tx_hash, idx, cls = 5 AS is_multisig, cls = 7 AS is_cltv, cls = 4 AS is_op_return
 FROM elements"""
+    h160 = ripemd160_sql("sha256(unhex(concat('02', ph)))")
+    q["pubkey_addresses"] = _with(E) + f"""
+SELECT tx_hash, idx, pubkey_hex, hash160, {base58check_sql("'00'", 'hash160')} AS address FROM (
+  SELECT tx_hash, idx, concat('02', ph) AS pubkey_hex, {h160} AS hash160
+  FROM elements WHERE cls = 3) x"""
     q["script_pubkeys"] = _with(E) + """
 SELECT type, tx_hash, idx, concat('02', ph) AS pubkey_hex FROM elements WHERE cls = 3"""
     q["cltv_channels"] = _with(E) + """
