@@ -49,3 +49,4 @@ def register_views(spark: SparkSession, sf_dir: str, prefix: str = "") -> dict[s
         df.createOrReplaceTempView(full)
         names[name] = full
     return names
+
