@@ -1 +1,2 @@
-"""utxolens."""
+"""Operators over ledger DataFrames: unspent-output fold, block rollups,
+script statistics, modes."""

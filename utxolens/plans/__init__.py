@@ -1 +1 @@
-"""utxolens."""
+"""Named queries with their DuckDB oracles, and the batch-job registry."""

@@ -1 +1 @@
-"""utxolens."""
+"""Structured Streaming: incremental block-file ingest."""
