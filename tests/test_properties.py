@@ -32,6 +32,14 @@ script_bytes = st.one_of(
     st.builds(lambda h: bytes([len(h)]) + h + b"\xac", st.binary(min_size=0, max_size=70)),
     st.builds(lambda h: b"\x4c" + bytes([len(h)]) + h + b"\xac", st.binary(min_size=0, max_size=70)),
     st.builds(lambda h: bytes([len(h)]) + h, st.binary(min_size=0, max_size=75)),
+    st.builds(lambda h: b"\x4d" + len(h).to_bytes(2, "little") + h + b"\xac",
+              st.binary(min_size=0, max_size=40)),
+    st.builds(lambda h: b"\x4e" + len(h).to_bytes(4, "little") + h + b"\xac",
+              st.binary(min_size=0, max_size=40)),
+    st.builds(lambda h, p: bytes.fromhex("76a9") + p + h + bytes.fromhex("88ac"),
+              st.binary(min_size=20, max_size=20),
+              st.sampled_from([bytes.fromhex("4d1400"), bytes.fromhex("4e14000000"),
+                               bytes.fromhex("4c15")])),
     st.builds(lambda h: b"\x6a" + h, st.binary(max_size=10)),
     st.builds(lambda h: b"\x00" + bytes([len(h)]) + h, st.sampled_from([b"\x01" * 20, b"\x02" * 32])),
     st.builds(lambda m, ks, n, tail: bytes([0x50 + m]) + b"".join(bytes([len(k)]) + k for k in ks)
