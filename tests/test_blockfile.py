@@ -182,3 +182,9 @@ def test_every_job_runs(spark):
     assert [tuple(r) for r in got] == [("result", "2")]
     addr = spark.read.csv(os.path.join(d, "out-addresses")).collect()
     assert {r._c0 for r in addr} == {"1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa"}
+
+
+def test_header_time_past_2038_does_not_fail():
+    header = struct.pack("<i", 1) + b"\x00" * 64 + struct.pack("<III", 3_000_000_000, 0, 0)
+    blk = bf.decode_block(header + b"\x00")
+    assert blk["t"] == 3_000_000_000 - 2 ** 32

@@ -111,7 +111,9 @@ def decode_block(raw: bytes) -> dict:
     """One serialised block → ``{block_hash, t, transactions}``."""
     r = _Reader(raw)
     header = r.take(80)
-    t = struct.unpack_from("<I", header, 68)[0]
+    # header time as a signed 32-bit int (the ``t int`` column; a value past
+    # 2**31 wraps as in a Java int instead of failing the whole file)
+    t = struct.unpack_from("<i", header, 68)[0]
     txs = [_transaction(r) for _ in range(r.varint())]
     return {"block_hash": _display(_sha256d(header)), "t": t, "transactions": txs}
 
