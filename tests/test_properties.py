@@ -80,3 +80,18 @@ def test_unspent_matches_fold_replay(spark, elems):
                                "idx bigint, amount bigint, script binary")
     got = sorted((r.tx_hash, r.idx) for r in utxo.unspent_outputs(df).collect())
     assert got == want
+
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(script_bytes, min_size=300, max_size=300))
+def test_parsed_chunks_match_parser(spark, scripts):
+    df = spark.createDataFrame([(s,) for s in scripts] + [(None,)], "script binary")
+    rows = df.select("script", S.parsed_script(F.col("script")).alias("p")).collect()
+    for r in rows:
+        if r.script is None:
+            assert r.p is None
+            continue
+        chunks, ok = S.parse(bytes(r.script))
+        got = [(c.opcode, None if c.data is None else bytes(c.data), c.start) for c in r.p.chunks]
+        assert r.p.ok == ok and got == chunks, bytes(r.script).hex()
