@@ -52,3 +52,14 @@ def test_large_k_does_not_force_broadcast(spark, monkeypatch):
         assert "BroadcastHashJoin" not in p
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_scale_rules_hold_for_every_query(spark):
+    """No cross/nested-loop joins, no collected groups, no windows; every
+    query scans the given parquet tables."""
+    for name, fn in E.queries().items():
+        p = _plan(fn(spark, SF_SMALL))
+        for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "collect_list",
+                    "collect_set", "Window"):
+            assert bad not in p, (name, bad)
+        assert "FileScan parquet" in p or "Scan parquet" in p, name
