@@ -31,11 +31,13 @@ def _bi(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def elements_scan(spark, sf):
+    """Element rows per type with their total amount (the element scan, S1/P1)."""
     return (_el(spark, sf).groupBy("type")
             .agg(F.count(F.lit(1)).alias("n_elements"), F.sum("amount").alias("total_amount")))
 
 
 def blocks_scan(spark, sf):
+    """Per block: time, transactions and outputs (the block scan, S2), from flat tables."""
     tx = fx.transactions_flat(spark, sf)
     per_tx = tx.groupBy("block_hash").agg(F.max("t").alias("t"),
                                           F.count(F.lit(1)).cast("int").alias("n_transactions"))
@@ -47,12 +49,14 @@ def blocks_scan(spark, sf):
 
 
 def unspent_outputs(spark, sf):
+    """Every unspent output with its script as hex (A1 + F1)."""
     u = utxo.unspent_outputs(_el(spark, sf))
     return u.select("type", "block_hash", "tx_idx", "tx_hash", "idx", "amount",
                     enc.hex_lower(F.col("script")).alias("script_hex"))
 
 
 def address_validation(spark, sf):
+    """Decode and check the addresses of unspent outputs."""
     a = utxo.output_addresses(_el(spark, sf))
     d = decode_address(F.col("address"))
     return a.select("tx_hash", "idx", "address", d["valid"].alias("valid"),
@@ -60,6 +64,7 @@ def address_validation(spark, sf):
 
 
 def pubkey_addresses(spark, sf):
+    """Raw-key outputs → hash160 → address (G16 + G20)."""
     k = scriptstats.script_pubkeys(_el(spark, sf).where(F.col("type") == 1))
     h = k.select("tx_hash", "idx", "pubkey_hex",
                  pubkey_to_hash160(F.col("pubkey_hex")).alias("hash160"))
@@ -77,21 +82,25 @@ def sql_over_views(spark, sf):
 
 
 def reversed_hash(spark, sf):
+    """Block hashes in reversed byte order."""
     b = _bi(spark, sf).select("rowkey", F.sha2(F.col("rowkey").cast("binary"), 256).alias("block_hash"))
     return b.select("rowkey", "block_hash",
                     enc.reverse_bytes_hex(F.col("block_hash")).alias("display_hash"))
 
 
 def double_sha256(spark, sf):
+    """Double SHA-256 of each block key."""
     return _bi(spark, sf).select(
         "rowkey", enc.double_sha256_hex(F.col("rowkey").cast("binary")).alias("hash256"))
 
 
 def block_values(spark, sf):
+    """Per-block output value and transaction count, ordered by time."""
     return blocks.block_values_flat(fx.transactions_flat(spark, sf), _el(spark, sf))
 
 
 def flatten_outputs(spark, sf):
+    """Transactions flattened to their outputs."""
     return (_el(spark, sf).where(F.col("type") == 1)
             .select("block_hash", "tx_hash", "idx", F.col("amount").alias("value")))
 
