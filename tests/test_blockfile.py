@@ -188,3 +188,22 @@ def test_header_time_past_2038_does_not_fail():
     header = struct.pack("<i", 1) + b"\x00" * 64 + struct.pack("<III", 3_000_000_000, 0, 0)
     blk = bf.decode_block(header + b"\x00")
     assert blk["t"] == 3_000_000_000 - 2 ** 32
+
+
+def test_sql_over_decoded_views(spark):
+    from utxolens.sources.tables import register_decoded_views
+
+    d = tempfile.mkdtemp(prefix="utxolens-views-")
+    _write_chain(os.path.join(d, "blk00000.dat"))
+    out = os.path.join(d, "blocks")
+    bf.decode_to_parquet(spark, os.path.join(d, "*.dat"), out)
+    v = register_decoded_views(spark, out, prefix="dv_")
+    per_year = spark.sql(f"SELECT YEAR(ts) AS y, COUNT(1) AS n FROM {v['blocks']} GROUP BY YEAR(ts)")
+    assert [tuple(r) for r in per_year.collect()] == [(2009, 2)]
+    few = spark.sql(f"""SELECT YEAR(ts), MONTH(ts), COUNT(1) FROM
+                        (SELECT * FROM {v['blocks']} WHERE transactionCounter < 10)
+                        GROUP BY YEAR(ts), MONTH(ts) ORDER BY YEAR(ts), MONTH(ts)""").collect()
+    assert [tuple(r) for r in few] == [(2009, 1, 2)]
+    n_el = spark.sql(f"SELECT type, count(*) FROM {v['elements']} GROUP BY type ORDER BY type")
+    assert [tuple(r) for r in n_el.collect()] == [(0, 2), (1, 3)]
+    assert spark.sql(f"SELECT count(*) FROM {v['tx_index']}").first()[0] == 2

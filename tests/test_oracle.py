@@ -51,3 +51,21 @@ def test_pubkey_addresses_brute_force(spark):
     n = duckdb.sql(f"""SELECT count(*) FROM read_parquet('{SF_SMALL}/lineitem.parquet')
                        WHERE l_suppkey % 8 = 3 AND l_linenumber <> 7""").fetchall()[0][0]
     assert len(rows) == n
+
+
+def test_shell_sql_matches_operators(spark):
+    """The shell transcript's SQL over registered views equals the operators."""
+    from utxolens.operators import blocks as B
+    from utxolens.sources import fixtures as fx
+    from utxolens.sources.tables import register_views
+
+    v = register_views(spark, SF_SMALL, prefix="t_")
+    sql = spark.sql(f"SELECT YEAR(ts) AS year, COUNT(1) AS n_blocks FROM {v['blocks']} "
+                    "GROUP BY YEAR(ts) ORDER BY year")
+    op = B.blocks_per_year(fx.block_index(spark, SF_SMALL))
+    assert [tuple(r) for r in sql.collect()] == [tuple(r) for r in op.collect()]
+    sql2 = spark.sql(f"""SELECT YEAR(ts) AS year, MONTH(ts) AS month, COUNT(1) AS n_blocks
+                         FROM (SELECT * from {v['blocks']} WHERE transactionCounter<10)
+                         GROUP BY YEAR(ts), MONTH(ts) ORDER BY YEAR(ts), MONTH(ts)""")
+    op2 = B.small_blocks_per_month(fx.block_index(spark, SF_SMALL), 10)
+    assert [tuple(r) for r in sql2.collect()] == [tuple(r) for r in op2.collect()]

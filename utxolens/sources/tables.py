@@ -50,3 +50,28 @@ def register_views(spark: SparkSession, sf_dir: str, prefix: str = "") -> dict[s
         names[name] = full
     return names
 
+
+
+def register_decoded_views(spark: SparkSession, blocks_path: str, prefix: str = "",
+                           fmt: str = "parquet") -> dict[str, str]:
+    """Register views over a decoded block table (``decode_to_parquet``
+    output): ``blocks_nested``, ``elements``, ``block_index`` (+ ``blocks``
+    with ``ts``) and ``tx_index``. Returns the view names."""
+    from ..operators import blocks as B
+    from .blockfile import block_file_index
+
+    nested = spark.read.format(fmt).load(blocks_path)
+    bi = block_file_index(nested)
+    views = {
+        "blocks_nested": nested,
+        "elements": B.elements_from_blocks(nested),
+        "block_index": bi,
+        "blocks": B.with_ts(bi),
+        "tx_index": B.tx_index_from_blocks(nested),
+    }
+    names = {}
+    for name, df in views.items():
+        full = f"{prefix}{name}"
+        df.createOrReplaceTempView(full)
+        names[name] = full
+    return names
