@@ -207,3 +207,23 @@ def test_sql_over_decoded_views(spark):
     n_el = spark.sql(f"SELECT type, count(*) FROM {v['elements']} GROUP BY type ORDER BY type")
     assert [tuple(r) for r in n_el.collect()] == [(0, 2), (1, 3)]
     assert spark.sql(f"SELECT count(*) FROM {v['tx_index']}").first()[0] == 2
+
+
+def test_decoder_batches_across_files(spark):
+    d = tempfile.mkdtemp(prefix="utxolens-multi-")
+    p2pkh = bytes.fromhex("76a914" + "11" * 20 + "88ac")
+    want = []
+    for f in range(3):
+        data = b""
+        for b in range(5):
+            t = 1_300_000_000 + 1000 * (5 * f + b)
+            raw, _plain = tx_bytes([(b"\x00" * 32, 0xFFFFFFFF, bytes([f, b]))], [(f * 10 + b, p2pkh)])
+            _h, blk = block_bytes(t, [raw])
+            data += record(blk)
+            want.append((t, f * 10 + b))
+        with open(os.path.join(d, f"blk{f:05d}.dat"), "wb") as fh:
+            fh.write(data)
+    blocks = bf.read_block_files(spark, os.path.join(d, "*.dat"), blocks_per_batch=2)
+    got = sorted((r.t, r.transactions[0].outputs[0].value) for r in blocks.collect())
+    assert got == sorted(want)
+    assert blocks.select("file").distinct().count() == 3
