@@ -144,5 +144,8 @@ def nonminimal_pushes(elements: DataFrame) -> DataFrame:
     p = _parsed(elements).select("block_hash", S.chunks_of(F.col("_p")).alias("ch"))
     bad = p.select("block_hash", F.size(F.filter(
         "ch", lambda c: F.coalesce(~S.is_minimal_push(c), F.lit(False)))).alias("k"))
-    return (bad.where(F.col("k") > 0).groupBy("block_hash")
-               .agg(F.sum("k").cast("bigint").alias("n_nonminimal")))
+    # filter after the aggregate: a row filter on the parsed chunks would be
+    # pushed below the join and parse every script a second time
+    return (bad.groupBy("block_hash")
+               .agg(F.sum("k").cast("bigint").alias("n_nonminimal"))
+               .where(F.col("n_nonminimal") > 0))
