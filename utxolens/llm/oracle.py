@@ -25,7 +25,7 @@ bytes as (select doc_id, encode(coalesce(text, '')) as b, hex(encode(coalesce(te
 crc as (select doc_id, octet_length(b) as n,
         list_reduce(list_prepend(4294967295::ubigint, list_transform(range(octet_length(b)),
             lambda i: ('0x' || substr(h, 2 * i + 1, 2))::ubigint)),
-            lambda a, x: xor(a >> 8, l[xor(a & 255, x) + 1])) as c
+            lambda a, x: xor(a >> 8, l[xor(a & 255, x)::bigint + 1])) as c
         from bytes),
 rows_ as (select d.doc_id, (n + 16)::bigint as size, xor(c, 4294967295::ubigint)::bigint as text_crc32,
           -{best(SHARDS)}[2] as shard, -{best(SHARDS + 1)}[2] as grown_shard from crc)
@@ -60,7 +60,8 @@ diag as (select *, case when d - lag(d) over (partition by doc_id, tid order by
 runs as (select *, sum(new) over (partition by doc_id, tid order by d) as run_no from diag),
 span as (select doc_id, tid, label, size, run_no, min(p) as s, max(p) + {K} as e,
          len(list_distinct(flatten(list(range(q, q + {K}))))) / size as share
-         from hit join runs using (doc_id, tid, d) group by all),
+         from hit join runs using (doc_id, tid, d)
+         group by doc_id, tid, label, size, run_no),
 good as (select doc_id, list(distinct label) as found, max(round(share, 6)) as best from span
          where share >= {COVER} and e - s <= {STRETCH} * size + {SLACK} group by doc_id)
 select w.doc_id, len(w.w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base,
