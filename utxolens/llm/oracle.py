@@ -27,7 +27,7 @@ crc as (select doc_id, octet_length(b) as n,
             lambda i: ('0x' || substr(h, 2 * i + 1, 2))::ubigint)),
             lambda a, x: xor(a >> 8, l[xor(a & 255, x)::bigint + 1])) as c
         from bytes),
-rows_ as (select d.doc_id, (n + 16)::bigint as size, xor(c, 4294967295::ubigint)::bigint as text_crc32,
+rows_ as (select doc_id, (n + 16)::bigint as size, xor(c, 4294967295::ubigint)::bigint as text_crc32,
           -{best(SHARDS)}[2] as shard, -{best(SHARDS + 1)}[2] as grown_shard from crc)
 select doc_id, size, text_crc32, 'key' as law, shard::int as shard,
        row_number() over (partition by shard order by doc_id, text_crc32, size) - 1 as slot,
