@@ -16,7 +16,8 @@ it also starts earlier: in a document with a smaller key, or before in its own.
    search, so a merge sort compares suffixes in a logarithmic number of steps.
    Neighbours in suffix order with a common extension of LENGTH or more are
    repeats; equality by hash is verified on the bytes. Equal segments are
-   sorted first and one of each kind goes on, then the windows of the kinds.
+   sorted first and one of each kind goes on, then the windows of the kinds;
+   what has a hash of its own over all its bytes is not sorted.
 4. A minimizer that occurs more than ``HOT`` times is not brought together:
    its windows meet by their own 128-bit hash in a grouped minimum, which
    combines map-side.
@@ -44,9 +45,10 @@ from .common import materialize, small_batches, text_or_empty
 LENGTH = 100              # bytes of a repeated string
 GRAM = 32                 # bytes of a minimizer
 MAX_BITS = 1 << 29        # bits of the bitmap of repeated minimizers
-HOT = 50_000              # occurrences beyond which a minimizer's windows meet by hash
+HOT = 200_000             # occurrences beyond which a minimizer's windows meet by hash
 TASK_SEGMENTS = 20_000    # segments of a sorting task
 PIECE = 1 << 20           # bytes that are hashed at a time
+BLOCK_WINDOWS = 1 << 20   # windows that are sorted at a time
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240607)
@@ -181,6 +183,20 @@ class Suffixes:
         return ((self.sums[a + n] - self.sums[a]) * self.back[a]
                 == (self.sums[b + n] - self.sums[b]) * self.back[b])
 
+    def twice(self, at, khash, offset, start, size) -> np.ndarray:
+        """Those of the rows ``at``, in their order, whose minimizer, place and
+        hash of all their bytes occur twice or more: only they can be equal."""
+        a, n = start[at], size[at]
+        whole = (self.sums[a + n] - self.sums[a]) * self.back[a]
+        code = _mix(whole * _MULT ^ khash[at]) ^ (offset[at] * 1_000_003 + n).astype(np.uint64)
+        order = np.argsort(code, kind="stable")
+        c = code[order]
+        pair = np.r_[False, c[1:] == c[:-1]] if len(c) else np.zeros(0, bool)
+        pair[:-1] |= pair[1:].copy()
+        out = np.zeros(len(at), bool)
+        out[order[pair]] = True
+        return at[out]
+
     def common(self, a, b, most):
         """Common extension of suffixes a and b, up to ``most`` bytes each."""
         whole = self.same(a, b, most)
@@ -288,31 +304,34 @@ def repeats(khash: np.ndarray, offset: np.ndarray, rank: np.ndarray, segments: l
     start = np.cumsum(size) - size
     s = Suffixes(x)
     # equal segments: all but the first of a kind are covered whole
-    at = np.lexsort((offset, khash))
+    at = s.twice(np.lexsort((offset, khash)), khash, offset, start, size)
+    alone = np.ones(len(size), bool)
+    alone[at] = False
     k, o = khash[at], offset[at]
-    group = np.cumsum(np.r_[True, (k[1:] != k[:-1]) | (o[1:] != o[:-1])])
+    group = np.cumsum(np.r_[True, (k[1:] != k[:-1]) | (o[1:] != o[:-1])]) if len(at) else at
     order, number = s.classes(group, start[at], size[at])
     rows = at[order]
     first = _first_in(number, rank[rows]) == rank[rows]
-    copies, kinds = rows[~first], rows[first]
+    copies, kinds = rows[~first], np.r_[np.flatnonzero(alone), rows[first]]
     found = [(copies, np.zeros(len(copies), np.int64), size[copies])]
-    # windows of the kinds, by minimizer and place of the window before it
-    kinds = kinds[np.argsort(khash[kinds], kind="stable")]
+    # windows of the kinds, by minimizer and by how far before it they start
     _, inverse, many = np.unique(khash[kinds], return_inverse=True, return_counts=True)
-    kinds = kinds[many[inverse] > 1]
-    if len(kinds):
-        windows = size[kinds] - length + 1
-        row = np.repeat(kinds, windows)
-        p = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+    kinds, inverse = kinds[many[inverse] > 1], inverse[many[inverse] > 1]
+    for rows, least, most in _blocks(kinds, inverse, size[kinds] - length + 1, length):
+        low = np.maximum(0, offset[rows] - most)       # windows starting in [low, high)
+        high = np.minimum(size[rows] - length + 1, offset[rows] - least + 1)
+        windows = np.maximum(0, high - low)
+        row = np.repeat(rows, windows)
+        p = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows - low, windows)
         before = offset[row] - p
         at = np.lexsort((before, khash[row]))
         row, p, before = row[at], p[at], before[at]
-        kr = khash[row]
-        new = np.r_[True, (kr[1:] != kr[:-1]) | (before[1:] != before[:-1])]
-        group = np.cumsum(new) - 1
-        shared = np.bincount(group)[group] > 1
-        row, p, group = row[shared], p[shared], group[shared]
+        at = s.twice(np.arange(len(row)), khash[row], before, start[row] + p,
+                     np.full(len(row), length, np.int64))
+        row, p, before = row[at], p[at], before[at]
         if len(row):
+            k = khash[row]
+            group = np.cumsum(np.r_[True, (k[1:] != k[:-1]) | (before[1:] != before[:-1])])
             order, number = s.classes(group, start[row] + p, np.full(len(row), length, np.int64))
             row, p = row[order], p[order]
             later = _first_in(number, rank[row]) != rank[row]
@@ -320,6 +339,30 @@ def repeats(khash: np.ndarray, offset: np.ndarray, rank: np.ndarray, segments: l
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
+def _blocks(kinds: np.ndarray, bucket: np.ndarray, windows: np.ndarray, length: int):
+    """Rows of whole buckets with about ``BLOCK_WINDOWS`` windows, and the range
+    of distances before the minimizer; a large bucket takes several ranges."""
+    at = np.argsort(bucket, kind="stable")
+    kinds, bucket, windows = kinds[at], bucket[at], windows[at]
+    begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(kinds) else []
+    ends = np.r_[begin[1:], len(kinds)] if len(kinds) else []
+    total = np.r_[0, np.cumsum(windows)]
+    held = 0
+    for i, (b, e) in enumerate(zip(begin, ends)):
+        if total[e] - total[b] > BLOCK_WINDOWS:        # on its own, in ranges
+            if held < b:
+                yield kinds[held:b], 0, length
+            step = max(1, BLOCK_WINDOWS // int(e - b))
+            for d in range(0, length, step):
+                yield kinds[b:e], d, d + step - 1
+            held = e
+        elif total[e] - total[held] > BLOCK_WINDOWS:
+            yield kinds[held:b], 0, length
+            held = b
+    if held < len(kinds):
+        yield kinds[held:], 0, length
+
+
 def merge(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray):
     """Overlapping or touching ranges of an owner made one."""
     at = np.lexsort((lo, owner))
