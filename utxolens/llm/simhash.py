@@ -216,7 +216,9 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, *, tree_sample: int = TRE
         at = np.flatnonzero(root != np.arange(len(p)))
         return pa.table({"a": p[at].view(np.int64), "b": p[root[at]].view(np.int64)})
 
-    return (prints.select("fp").mapInArrow(deal, "shard bigint, fp bigint")
+    # fingerprints are narrow: without dealing them out few tasks would hold all
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 100_000)
+    return (prints.select("fp").repartition(tasks, "fp").mapInArrow(deal, "shard bigint, fp bigint")
             .groupBy("shard").applyInArrow(solve, "a bigint, b bigint"))
 
 
