@@ -4,9 +4,10 @@ Documents are dealt by range over (key, text hash, row number), so a file holds
 a run of documents in key order and equal keys spread over files. Each task
 encodes its documents one after the other into a stream of ids, cuts it into
 sequences of ``length`` ids and writes them as record batches of two
-fixed-size-list columns, ``ids`` (int32) and ``mask`` (uint8: 1 for an id, 0
-for the fill at the end of the file). The file format has a footer, so a
-mapped file gives any sequence by number without copying.
+fixed-size-list columns, ``ids`` (uint16 where the vocabulary fits, else int32)
+and ``mask`` (one bit: set for an id, clear for the fill at the end of the
+file). The file format has a footer, so a mapped file gives any sequence by
+number without copying.
 
 A file is written under a name of its own per attempt and moved into place
 only when complete; the index rows that the successful attempt returns name
@@ -33,11 +34,17 @@ from .pieces import Memo, splitter, tokenizer_path
 
 LENGTH = 2048             # ids of a sequence
 BATCH = 64                # sequences of a record batch
+MEMO = 300_000            # words a task remembers the ids of
 
 
-def schema(length: int) -> pa.Schema:
-    return pa.schema([pa.field("ids", pa.list_(pa.int32(), length)),
-                      pa.field("mask", pa.list_(pa.uint8(), length))])
+def id_type(size: int) -> str:
+    """The narrowest kind of integer for a vocabulary of ``size`` ids."""
+    return "<u2" if size <= 1 << 16 else "<i4"
+
+
+def schema(length: int, dtype: str) -> pa.Schema:
+    return pa.schema([pa.field("ids", pa.list_(pa.from_numpy_dtype(np.dtype(dtype)), length)),
+                      pa.field("mask", pa.list_(pa.bool_(), length))])
 
 
 def open_fs(uri: str):
@@ -50,22 +57,23 @@ def open_fs(uri: str):
 class SequenceWriter:
     """Writes a stream of ids as equal-length sequences to one file."""
 
-    def __init__(self, folder: str, name: str, length: int = LENGTH, batch: int = BATCH):
+    def __init__(self, folder: str, name: str, dtype: str, length: int = LENGTH, batch: int = BATCH):
         self.fs, self.folder = open_fs(folder)
         self.name, self.length, self.size = name, length, length * batch
+        self.schema = schema(length, dtype)
         self.fs.create_dir(self.folder, recursive=True)
         self.part = f"{self.folder}/_{name}"
         self.sink = self.fs.open_output_stream(self.part)
-        self.out = pa.ipc.new_file(self.sink, schema(length))
+        self.out = pa.ipc.new_file(self.sink, self.schema)
         self.held: list[np.ndarray] = []
         self.n = 0                                      # ids held
 
     def _write(self, ids: np.ndarray, real: int) -> None:
-        mask = (np.arange(len(ids)) < real).astype(np.uint8)
+        mask = np.arange(len(ids)) < real
         self.out.write_batch(pa.RecordBatch.from_arrays([
             pa.FixedSizeListArray.from_arrays(pa.array(ids), self.length),
             pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)],
-            schema=schema(self.length)))
+            schema=self.schema))
 
     def add(self, ids: np.ndarray) -> None:
         self.held.append(ids)
@@ -81,7 +89,7 @@ class SequenceWriter:
         if self.n:
             flat = np.concatenate(self.held)
             fill = -len(flat) % self.length
-            self._write(np.concatenate([flat, np.zeros(fill, np.int32)]), len(flat))
+            self._write(np.concatenate([flat, np.zeros(fill, flat.dtype)]), len(flat))
         self.out.close()
         self.sink.close()
         self.fs.move(self.part, f"{self.folder}/{self.name}")
@@ -99,22 +107,23 @@ class SequenceReader:
                   else system.open_input_file(path))
         self.file = pa.ipc.open_file(source)
         self.length = self.file.schema.field("ids").type.list_size
-        self.batches: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.batches: dict[int, tuple[np.ndarray, pa.BooleanArray]] = {}
         first = self.file.get_batch(0).num_rows if self.file.num_record_batches else 1
         self.size = first * self.length                 # ids of every batch but the last
 
-    def _batch(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def _batch(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         if i not in self.batches:
             if len(self.batches) > 4:
                 self.batches.clear()
-            b = self.file.get_batch(i)
-            self.batches[i] = tuple(c.flatten().to_numpy(zero_copy_only=True) for c in b.columns)
+            ids, mask = (c.flatten() for c in self.file.get_batch(i).columns)
+            self.batches[i] = ids.to_numpy(zero_copy_only=True), mask
         return self.batches[i]
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of sequence ``i``."""
         b, at = divmod(i * self.length, self.size)
-        return tuple(x[at:at + self.length] for x in self._batch(b))
+        ids, mask = self._batch(b)
+        return ids[at:at + self.length], mask.slice(at, self.length)
 
     def ids(self, start: int, n: int) -> list[np.ndarray]:
         """Views of ``n`` ids from ``start``, one per record batch they lie in."""
@@ -123,7 +132,7 @@ class SequenceReader:
             b, at = divmod(start, self.size)
             ids, mask = self._batch(b)
             take = ids[at:at + n]
-            if not len(take) or not mask[at + len(take) - 1]:
+            if not len(take) or not mask[at + len(take) - 1].as_py():
                 raise ValueError("ids beyond the end of the file")
             out.append(take)
             start, n = start + len(take), n - len(take)
@@ -151,8 +160,9 @@ def write(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text"
         from pyspark import TaskContext
 
         split = splitter(path)
-        memo = Memo(split, "<i4")
-        end = np.array([end_id], "<i4")
+        dtype = id_type(max(end_id + 1, split.tok.get_vocab_size(with_added_tokens=True)))
+        memo = Memo(split, dtype, most=MEMO)
+        end = np.array([end_id], dtype)
         context = TaskContext.get()
         part, out, at = context.partitionId(), None, 0
         name = f"part-{part:05d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}.arrow"
@@ -160,9 +170,9 @@ def write(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text"
             lengths = []
             for text in b.column("text").to_pylist():
                 words = split.words(text)
-                ids = (np.array(split.whole(text), "<i4") if words is None
-                       else np.frombuffer(memo.encode(words), "<i4"))
-                out = out or SequenceWriter(folder, name, length)
+                ids = (np.array(split.whole(text), dtype) if words is None
+                       else np.frombuffer(memo.encode(words), dtype))
+                out = out or SequenceWriter(folder, name, dtype, length)
                 out.add(ids)
                 out.add(end)
                 lengths.append(len(ids) + 1)
@@ -206,7 +216,7 @@ def read_digests(index: DataFrame, folder: str, key: str = "doc_id") -> DataFram
                     reader, name = SequenceReader(folder, f), f
                 crc = 0
                 for view in reader.ids(at, n):
-                    crc = crc32(memoryview(view).cast("B"), crc)
+                    crc = crc32(view.astype("<u4").tobytes(), crc)
                 crcs.append(crc)
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in ("doc", "start", "n_tokens")), pa.array(crcs, pa.int64())],
