@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from .common import materialize, small_batches, text_or_empty
-from .pieces import Memo, splitter, tokenizer_path
+from .pieces import Memo, byte_chars, splitter, tokenizer_path
 
 HOT_WORDS = 300_000       # most words that are broadcast
 HOT_CHARS = 32            # longest word that is broadcast
@@ -120,9 +120,7 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", out: str = "ids",
 
 def _piece_bytes(path: str) -> list[bytes]:
     """Bytes of each id's piece in a byte-level vocabulary."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    to_byte = {chr(b): b for b in plain}
-    to_byte |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+    to_byte = {c: b for b, c in enumerate(byte_chars())}
     tok = splitter(path).tok
     out = []
     for i in range(tok.get_vocab_size(with_added_tokens=True)):

@@ -22,7 +22,15 @@ def _class(kind: str) -> str:
 
 
 _SPACE = "\\t\\n\\x0b\\f\\r \\x85\\xa0"                 # Unicode White_Space below U+0180
-_SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+_SHORT = "'(?:s|t|re|ve|m|ll|d)"
+
+
+def byte_chars() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary:
+    printable Latin-1 characters for themselves, others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
 
 
 class Splitter:
@@ -40,13 +48,16 @@ class Splitter:
         self.tok.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.model = self.tok.model
+        self.chars = byte_chars()
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.lower = spec["normalizer"] is not None
         letter, number = _class("L"), _class("N")
+        # letters first: no other alternative can start where they do
         if self.lower:                     # white space dropped, digits one by one
-            pattern = f"{_SHORT}|[{letter}]+|[{number}]|[^{_SPACE}{letter}{number}]+"
+            pattern = f"[{letter}]+|{_SHORT}|[{number}]|[^{_SPACE}{letter}{number}]+"
         else:
-            pattern = (f"{_SHORT}| ?[{letter}]+| ?[{number}]+| ?[^{_SPACE}{letter}{number}]+"
+            pattern = (f" ?[{letter}]+|{_SHORT}| ?[{number}]+| ?[^{_SPACE}{letter}{number}]+"
                        f"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
         self.find = re.compile(pattern).findall
         self.far = re.compile(f"[^\\x00-{chr(LIMIT - 1)}]").search
@@ -73,7 +84,10 @@ class Splitter:
         return out
 
     def ids(self, word: str) -> list[int]:
-        return self.tok.encode(word, add_special_tokens=False).ids
+        """Ids of one word: the model's merges over its bytes' characters."""
+        if word in self.added:
+            return [self.added[word]]
+        return [t.id for t in self.model.tokenize("".join(map(self.chars.__getitem__, word.encode())))]
 
     def whole(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids

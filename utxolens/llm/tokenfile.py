@@ -34,7 +34,7 @@ from .pieces import Memo, splitter, tokenizer_path
 
 LENGTH = 2048             # ids of a sequence
 BATCH = 64                # sequences of a record batch
-MEMO = 300_000            # words a task remembers the ids of
+MEMO = 1_000_000            # words a task remembers the ids of
 
 
 def id_type(size: int) -> str:
