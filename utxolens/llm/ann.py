@@ -31,7 +31,7 @@ from .common import materialize
 
 SAMPLE = 8_192            # most vectors the centroids are fitted on
 MAX_LISTS = 1_024
-PROBE = 0.3               # share of the lists that a query probes
+PROBE = 0.7               # share of the lists that a query probes
 BLOCK = 16                # dimensions of a block
 EPS = 2.1
 CELL = 4_096              # candidates of a cell
