@@ -35,8 +35,8 @@ from .common import materialize, small_batches, text_or_empty
 PER_DOMAIN = 1_500        # most labelled documents of a domain the classifier is fitted on
 MAX_DOMAINS = 32
 FEATURES = 500            # most tokens the classifier looks at
-GAP = 0.02                # least difference between domains in the share of documents with a token
-SURE = 3.0                # that difference in standard errors, at least
+GAP = 0.02                # least difference of a domain to the rest in the share with a token
+SURE = 4.0                # that difference in standard errors, at least
 ROUNDS = 600              # rounds of the classifier's fit
 STEPS = 60                # most gradient steps
 CLOSE = 1e-6              # gap, as a share of the target, at which the steps end
@@ -90,14 +90,19 @@ def fit(labelled: DataFrame, known: Mapping[str, int]) -> tuple[list[str], dict[
     names = sorted(sizes)
     if len(names) < 2:
         return names or ["all"], {}, np.zeros((1, max(1, len(names))))
-    shares = [F.count(F.when(F.col("domain") == n, 1)) / sizes[n] for n in names]
-    spread = (sets.select("domain", F.explode("tokens").alias("token")).groupBy("token")
-              .agg((F.greatest(*shares) - F.least(*shares)).alias("gap"),
-                   (F.count(F.lit(1)) / sum(sizes.values())).alias("share"))
-              .withColumn("sure", F.col("gap") / F.sqrt(
-                  F.greatest(F.col("share") * (1 - F.col("share")), F.lit(1e-6))
-                  * (2.0 / min(sizes.values())))))
-    vocabulary = [r.token for r in spread.where((F.col("gap") >= GAP) & (F.col("sure") >= SURE))
+    # each domain's share of documents with a token against that of the rest,
+    # in standard errors, so that a small domain does not hide the others
+    total, every = sum(sizes.values()), F.count(F.lit(1))
+    spread = sets.select("domain", F.explode("tokens").alias("token")).groupBy("token").agg(
+        every.alias("n"), *[F.count(F.when(F.col("domain") == d, 1)).alias(f"n{i}")
+                            for i, d in enumerate(names)])
+    pool = F.greatest(F.col("n") / total * (1 - F.col("n") / total), F.lit(1e-6))
+    gaps = [F.abs(F.col(f"n{i}") / sizes[d] - (F.col("n") - F.col(f"n{i}")) / (total - sizes[d]))
+            for i, d in enumerate(names)]
+    sure = [F.when(g >= GAP, g / F.sqrt(pool * (1 / sizes[d] + 1 / (total - sizes[d])))).otherwise(0.0)
+            for g, d in zip(gaps, names)]
+    spread = spread.withColumn("sure", F.greatest(*sure))
+    vocabulary = [r.token for r in spread.where(F.col("sure") >= SURE)
                   .orderBy(F.desc("sure"), "token").limit(FEATURES).collect()]
     place = {t: i for i, t in enumerate(vocabulary)}
     marks = F.array(*[F.lit(t) for t in vocabulary]) if vocabulary else F.array().cast("array<string>")
