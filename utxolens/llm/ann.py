@@ -7,7 +7,7 @@ sample; every row is indexed). A query scans its nearest lists block by block:
 after d dimensions a candidate is given up if its estimate is beyond
 ``(1 + EPS / sqrt(d))**2`` times the query's threshold, the hypothesis that it
 is among the nearest being unlikely then. The threshold is the k-th best whole
-distance of the candidates that look nearest after the first block. What is
+distance of the 8 k candidates that look nearest after the first block. What is
 left at the end is scored exactly: cosine of the original vectors, in doubles.
 
 Lists are cut into cells of at most about ``CELL`` candidates and ``QUERIES``
@@ -89,11 +89,12 @@ def scan_cell(cand: np.ndarray, query: np.ndarray, own: np.ndarray, k: int,
             + np.einsum("ij,ij->i", cand[:, :block], cand[:, :block])[None, :]
             - 2 * query[:, :block] @ cand[:, :block].T)
     part[own] = np.inf
-    m = min(k, nc)
+    m = min(8 * k, nc)
     look = np.argpartition(part, m - 1, axis=1)[:, :m]
     whole = ((query[:, None, :] - cand[look]) ** 2).sum(axis=2)
     whole[np.take_along_axis(own, look, axis=1)] = np.inf
-    limit = whole.max(axis=1) + 1e-6                   # inf where a query has fewer than k
+    # the k-th best of those; inf where a query has fewer than k
+    limit = np.sort(whole, axis=1)[:, min(k, m) - 1] + 1e-6
     d = min(block, dim)
     q, c = np.nonzero(part * (dim / d) <= (limit * (1 + eps / d ** 0.5) ** 2)[:, None])
     keep = ~own[q, c]
