@@ -5,6 +5,8 @@ import os
 import struct
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from utxolens.operators import blocks as B
@@ -70,7 +72,7 @@ def _write_chain(path):
     _h1, b1 = block_bytes(1231006505, [cb_raw])
     _h2, b2 = block_bytes(1231007000, [sw_raw])
     with open(path, "wb") as f:
-        f.write(record(b1) + b"\x00" * 7 + record(b2) + MAGIC + b"\xff\xff\x00\x00" + b"junk")
+        f.write(record(b1) + b"\x00" * 7 + record(b2) + b"\x00" * 9)
     return cb_hash[::-1].hex(), sha256d(sw_plain)[::-1].hex()
 
 
@@ -132,10 +134,38 @@ def test_streaming_ingest(spark):
     os.makedirs(src)
     cb, sw = _write_chain(os.path.join(src, "blk00000.dat"))
     table = os.path.join(d, "table")
-    q = ingest_block_files(spark, src, table, name=os.path.basename(d))
-    q.awaitTermination(120)
-    got = spark.read.parquet(table)
-    assert sorted(r.t for r in got.collect()) == [1231006505, 1231007000]
+    def ingest():
+        ingest_block_files(spark, src, table, os.path.join(d, "checkpoint"),
+                           name=os.path.basename(d)).awaitTermination(120)
+        return sorted(r.t for r in spark.read.parquet(table).collect())
+
+    assert ingest() == [1231006505, 1231007000]
+    _write_chain(os.path.join(src, "blk00001.dat"))
+    assert ingest() == [1231006505] * 2 + [1231007000] * 2      # restarted: the new file only
+
+
+def test_damage_is_never_silent(spark):
+    d = tempfile.mkdtemp(prefix="utxolens-bad-")
+    whole = os.path.join(d, "whole.dat")
+    _write_chain(whole)
+    data = open(whole, "rb").read().rstrip(b"\x00")
+    cb_raw, _ = tx_bytes([(b"\x00" * 32, 0xFFFFFFFF, b"\x01")], [(1, b"\x51")])
+    _, block = block_bytes(1231006505, [cb_raw])
+    cases = {"cut": data[:-3], "after": record(block + b"x" * 50), "text": b"junk" + data,
+             "magic": data + MAGIC + b"\xff\xff\x00\x00" + b"junk", "short": record(b"x" * 10) + data}
+    for name, raw in cases.items():
+        path = os.path.join(d, f"{name}.dat")
+        with open(path, "wb") as f:
+            f.write(raw)
+        with pytest.raises(Exception, match="bytes at"):
+            bf.read_block_files(spark, path).collect()
+        blocks = bf.read_block_files(spark, path, on_damage="skip").collect()
+        lost = bf.rejected_ranges(spark, path).collect()
+        # every byte is in a block, its record head, or a rejected range (or zero fill)
+        fill = 7 if data[:20] in raw or name == "cut" else 0
+        assert sum(b["size"] + 8 for b in blocks) + sum(r.length for r in lost) + fill >= len(raw.rstrip(b"\x00")), name
+        assert lost, name
+    assert bf.rejected_ranges(spark, whole).count() == 0
 
 
 def test_decode_to_parquet_by_month(spark):

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from utxolens.plans.queries import QUERIES as LIBRARY
 from tests.conftest import SF_SMALL
 from utxolens.operators import utxo
 from utxolens.sources import fixtures as fx
@@ -61,7 +62,7 @@ def test_large_k_does_not_force_broadcast(spark, monkeypatch):
 def test_scale_rules_hold_for_every_query(spark):
     """No cross/nested-loop joins, no collected groups, no windows; every
     query scans the given parquet tables."""
-    for name, fn in E.queries().items():
+    for name, fn in LIBRARY.items():
         p = _plan(fn(spark, SF_SMALL))
         for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "collect_list",
                     "collect_set", "Window"):

@@ -75,34 +75,3 @@ def test_single_pass_strategy_matches(spark):
     b = sorted(map(tuple, utxo.unspent_outputs(el, strategy="single_pass").collect()))
     assert a == b and len(a) == 2000
     assert utxo.unspent_outputs(el, strategy="single_pass").columns == el.columns
-
-
-def test_candidate_top_k_equals_fold(spark):
-    from tests.conftest import SF_SMALL
-    from utxolens.sources import fixtures as fx
-
-    el = fx.elements(spark, SF_SMALL)
-    want = [tuple(r) for r in utxo.top_unspent(el, 100).collect()]
-    for multiple in (64, 1):          # 1: the first round is too small and must grow
-        got = [tuple(r) for r in utxo.top_unspent_candidates(el, 100).collect()] \
-            if multiple == 64 else \
-            [tuple(r) for r in utxo.unspent_top_keys(
-                el, 100, [F.col("amount").desc(), F.col("tx_hash"), F.col("idx")],
-                first_multiple=multiple).select("tx_hash", "idx", "amount").collect()]
-        if multiple == 64:
-            assert got == want
-        else:
-            assert got == [(r[3], r[4], r[5]) for r in want]
-    # the 100 largest outputs are all spent: the first rounds find nothing
-    rows = [(1, "b", 0, f"t{i:04d}", 0, i, b"") for i in range(1000)]
-    rows += [(0, "b", 0, f"t{i:04d}", 0, 0, b"") for i in range(900, 1000)]
-    spent_top = spark.createDataFrame(rows, "type int, block_hash string, tx_idx int, "
-                                            "tx_hash string, idx bigint, amount bigint, "
-                                            "script binary")
-    order = [F.col("amount").desc(), F.col("tx_hash"), F.col("idx")]
-    got = [r.amount for r in utxo.unspent_top_keys(spent_top, 7, order, first_multiple=2)
-           .collect()]
-    assert got == [899, 898, 897, 896, 895, 894, 893]
-    a = [tuple(r) for r in utxo.top_unspent(spent_top, 7, with_script=True).collect()]
-    b = [tuple(r) for r in utxo.top_unspent_candidates(spent_top, 7, with_script=True).collect()]
-    assert a == b

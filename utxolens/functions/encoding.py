@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,10 +16,6 @@ from pyspark.sql import types as T
 BASE58_ALPHABET = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 
 _LIMB = 58 ** 5            # one limb holds five base-58 digits
-_N_LIMBS = 7               # 7 limbs = 35 digits > 208 bits
-_PIECE_HEX = 4             # 16-bit pieces keep limb * 2**16 + carry < 2**46,
-_N_PIECES = 13             # so a double divides it exactly; 13 pieces = 26 bytes
-_MAX_BYTES = _N_PIECES * _PIECE_HEX // 2
 
 
 def let(value: Column, body) -> Column:
@@ -50,97 +46,49 @@ def double_sha256_hex(c: Column) -> Column:
     return F.sha2(F.unhex(F.sha2(c, 256)), 256)
 
 
-def _leading_zero_bytes(hex_col: Column) -> Column:
-    return (F.length(F.regexp_extract(hex_col, r"^((?:00)*)", 1)) / 2).cast("int")
-
-
-def with_base58(df: DataFrame, hex_col: str, out: str) -> DataFrame:
-    """Add ``out`` = Base58 text of the bytes in hex column ``hex_col`` (<= 26 bytes).
-
-    The number is folded from 16-bit pieces into seven limbs of base 58^5,
-    one projection per piece; each limb then yields five digits. All steps
-    are plain arithmetic, so whole-stage codegen fuses them into one loop
-    (each limb is read twice by the next step, which keeps the optimizer
-    from inlining the chain). Leading zero bytes become leading '1's.
-    NULL input gives NULL.
-    """
-    t = "__b58"
-    keep = [F.col(c) for c in df.columns]
-    padded = F.lpad(F.col(hex_col), _N_PIECES * _PIECE_HEX, "0")
-    cur = df.select(*keep, padded.alias(f"{t}_pad"),
-                    _leading_zero_bytes(F.col(hex_col)).alias(f"{t}_nz"))
-    pad = F.col(f"{t}_pad")
-    cur = cur.select(*keep, f"{t}_nz", *[
-        F.conv(F.substring(pad, i * _PIECE_HEX + 1, _PIECE_HEX), 16, 10).cast("bigint")
-        .alias(f"{t}_p{i}") for i in range(_N_PIECES)])
-    pieces = [f"{t}_p{i}" for i in range(_N_PIECES)]
-    limbs = [F.lit(0).cast("bigint")] * _N_LIMBS
-    for i in range(_N_PIECES):
-        carry = F.col(pieces[i])
-        new = []
-        for j in range(_N_LIMBS):
-            v = limbs[j] * (1 << 16) + carry
-            new.append((v % _LIMB).alias(f"{t}_s{i}_l{j}"))
-            carry = F.floor(v / _LIMB)
-        cur = cur.select(*keep, f"{t}_nz", *pieces[i + 1:], *new)
-        limbs = [F.col(f"{t}_s{i}_l{j}") for j in range(_N_LIMBS)]
-    alphabet = F.lit(BASE58_ALPHABET)
-    chars = []
-    for j in range(_N_LIMBS - 1, -1, -1):
-        for k in range(4, -1, -1):
-            d = F.floor(limbs[j] / (58 ** k)) % 58
-            chars.append(alphabet.substr((d + 1).cast("int"), F.lit(1)))
-    number = F.regexp_replace(F.concat(*chars), r"^1+", "")
-    text = F.concat(F.repeat(F.lit("1"), F.col(f"{t}_nz")), number)
-    return cur.select(*keep, text.alias(out))
-
-
-def with_base58check(df: DataFrame, version_hex: Column, payload_hex: Column,
-                     out: str) -> DataFrame:
-    """Add ``out`` = Base58Check text of ``version || payload`` (hex columns);
-    checksum = first 4 bytes of SHA-256d. NULL payload gives NULL."""
-    t = "__b58c"
-    body = F.concat(version_hex, payload_hex)
-    df = df.withColumn(f"{t}_body", body)
-    checksum = F.substring(double_sha256_hex(F.unhex(F.col(f"{t}_body"))), 1, 8)
-    df = df.withColumn(f"{t}_full", F.concat(F.col(f"{t}_body"), checksum))
-    return with_base58(df, f"{t}_full", out).drop(f"{t}_body", f"{t}_full")
-
-
 # --- vectorised Base58 (Arrow batches) --------------------------------------
 
 _ALPHABET_BYTES = np.frombuffer(BASE58_ALPHABET.encode(), dtype=np.uint8)
 _POW58 = np.array([58 ** k for k in range(4, -1, -1)], dtype=np.int64)
 
 
-def base58_encode_batch(hex_values: pd.Series) -> pd.Series:
-    """Base58 text for a batch of hex byte strings (<= 26 bytes each).
+def _base58_rows(raw: np.ndarray) -> list[str]:
+    """Base58 digits, without leading ones, of rows of equally many bytes.
 
-    The same limb fold as ``with_base58``, run as numpy array operations
-    over the whole batch: 13 pieces x 7 limbs of int64 arithmetic, then 35
-    digits per row by table lookup.
-    """
-    mask = hex_values.notna().to_numpy()
-    out = np.full(len(hex_values), None, dtype=object)
-    if not mask.any():
-        return pd.Series(out, dtype=object)
-    hexes = hex_values[mask].astype(str)
-    width = 2 * _MAX_BYTES
-    raw = np.frombuffer(bytes.fromhex("".join(h.rjust(width, "0") for h in hexes)),
-                        dtype=np.uint8).reshape(-1, _MAX_BYTES).astype(np.int64)
-    pieces = (raw[:, 0::2] << 8) | raw[:, 1::2]
-    limbs = np.zeros((raw.shape[0], _N_LIMBS), dtype=np.int64)
-    for i in range(_N_PIECES):
+    16-bit pieces are folded into limbs of base 58^5 by int64 arithmetic over
+    all rows; limb * 2^16 + carry stays below 2^46. Limbs cover the bytes'
+    digits (a byte is less than 1.37 of them)."""
+    n, width = raw.shape
+    if width % 2:
+        raw = np.concatenate([np.zeros((n, 1), raw.dtype), raw], axis=1)
+    pieces = (raw[:, 0::2].astype(np.int64) << 8) | raw[:, 1::2]
+    limbs = np.zeros((n, width * 137 // 500 + 1), dtype=np.int64)
+    for i in range(pieces.shape[1]):
         carry = pieces[:, i]
-        for j in range(_N_LIMBS):
+        for j in range(limbs.shape[1]):
             v = limbs[:, j] * 65536 + carry
             limbs[:, j] = v % _LIMB
             carry = v // _LIMB
     digits = (limbs[:, ::-1, None] // _POW58[None, None, :]) % 58
-    text = _ALPHABET_BYTES[digits.reshape(raw.shape[0], -1)]
-    rows = text.view(f"S{5 * _N_LIMBS}").ravel()
-    zeros = [(len(h) - len(h.lstrip("0"))) // 2 for h in hexes]
-    out[mask] = ["1" * z + r.decode().lstrip("1") for z, r in zip(zeros, rows)]
+    text = np.ascontiguousarray(_ALPHABET_BYTES[digits.reshape(n, -1)])
+    return [r.decode().lstrip("1") for r in text.view(f"S{text.shape[1]}").ravel()]
+
+
+def base58_encode_batch(hex_values: pd.Series) -> pd.Series:
+    """Base58 text for a batch of hex byte strings of any length (NULL stays
+    NULL). Leading zero bytes become leading ones; rows whose other bytes are
+    equally many are converted together."""
+    out = np.full(len(hex_values), None, dtype=object)
+    by_size: dict[int, list[tuple[int, int, bytes]]] = {}
+    for i, h in enumerate(hex_values):
+        if h is not None and h == h:
+            whole = bytes.fromhex(h)
+            rest = whole.lstrip(b"\x00")
+            by_size.setdefault(len(rest), []).append((i, len(whole) - len(rest), rest))
+    for size, rows in by_size.items():
+        raw = np.frombuffer(b"".join(r for _, _, r in rows), np.uint8).reshape(len(rows), size)
+        for (i, zeros, _), text in zip(rows, _base58_rows(raw) if size else [""] * len(rows)):
+            out[i] = "1" * zeros + text
     return pd.Series(out, dtype=object)
 
 
@@ -150,7 +98,7 @@ def _base58_udf(s: pd.Series) -> pd.Series:
 
 
 def base58_hex(hex_col: Column) -> Column:
-    """Base58 text of a hex byte string column (<= 26 bytes); NULL stays NULL."""
+    """Base58 text of a hex byte string column of any length; NULL stays NULL."""
     return _base58_udf(hex_col)
 
 

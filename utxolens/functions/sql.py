@@ -56,4 +56,6 @@ def register_functions(spark: SparkSession) -> list[str]:
                  RETURN base58_hex(concat(script_address_version(s), script_hash160(s),
                    substring(double_sha256_hex(unhex(concat(script_address_version(s),
                              script_hash160(s)))), 1, 8)))""")
-    return sorted(list(udfs) + [n for n, *_ in _NATIVE] + ["script_address"])
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION script_structure(s BINARY) RETURNS STRING
+                 RETURN coalesce(script_structure_parse(s), 'ERROR')""")
+    return sorted(list(udfs) + [n for n, *_ in _NATIVE] + ["script_address", "script_structure"])

@@ -22,8 +22,17 @@ def mode_max(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def array_mode_max(values: Column) -> Column:
     """Most frequent element of an int array column, ties → larger, empty or
-    NULL → 0 (the list form of the same rule; per-row, no shuffle)."""
-    counted = F.transform(
-        F.array_distinct(F.filter(values, lambda v: v.isNotNull())),
-        lambda v: F.struct(F.size(F.filter(values, lambda w: w == v)).alias("c"), v.alias("v")))
-    return F.coalesce(F.array_max(counted)["v"], F.lit(0))
+    NULL → 0 (the list form of the same rule; per-row, no shuffle): one pass
+    over the sorted array that keeps the present run and the best one."""
+    run = F.struct(F.lit(None).cast("bigint").alias("v"), F.lit(0).alias("n"),
+                   F.lit(0).cast("bigint").alias("best"), F.lit(0).alias("most"))
+
+    def step(a: Column, x: Column) -> Column:
+        n = F.when(a["v"] == x, a["n"] + 1).otherwise(F.lit(1))
+        return F.struct(x.cast("bigint").alias("v"), n.alias("n"),
+                        F.when(n >= a["most"], x.cast("bigint")).otherwise(a["best"]).alias("best"),
+                        F.greatest(n, a["most"]).alias("most"))
+
+    ordered = F.array_sort(F.filter(values, lambda v: v.isNotNull()))
+    return F.coalesce(F.aggregate(ordered, run, step, lambda a: a["best"]),
+                      F.lit(0).cast("bigint")).cast("int")

@@ -132,10 +132,13 @@ def sigops_per_block(elements: DataFrame) -> DataFrame:
 
 
 def p2sh_sigops_per_block(elements: DataFrame) -> DataFrame:
-    """``block_hash, p2sh_sigops``: accurate redeem-script sigops of all inputs."""
+    """``block_hash, p2sh_sigops, n_unparsable``: accurate redeem-script sigops
+    of all inputs, and how many inputs have a last push that is no script (the
+    sum leaves those out)."""
     ins = elements.where(F.col("type") == 0)
     return (ins.select("block_hash", S.script_p2sh_sigops(F.col("script")).alias("s"))
-               .groupBy("block_hash").agg(F.sum("s").alias("p2sh_sigops")))
+               .groupBy("block_hash").agg(F.sum("s").alias("p2sh_sigops"),
+                    F.count(F.when(F.col("s").isNull(), 1)).alias("n_unparsable")))
 
 
 def nonminimal_pushes(elements: DataFrame) -> DataFrame:

@@ -162,60 +162,6 @@ def top_unspent(elements: DataFrame, k: int = 100, with_script: bool = False,
     return res.orderBy(F.col("amount").desc(), "tx_hash", "idx")
 
 
-def unspent_top_keys(elements: DataFrame, k: int, order: list[Column],
-                     outputs: DataFrame | None = None, first_multiple: int = 64,
-                     max_rounds: int = 6) -> DataFrame:
-    """Keys (plus ``amount``, ``tx_idx``) of the k first unspent outputs in
-    ``order``, without folding the whole ledger.
-
-    Round r takes the first ``N = k * first_multiple * 2**r`` outputs in the
-    order (a per-partition top-N, so only N rows per task are shuffled),
-    broadcasts their keys (at most N, checked against ``MAX_BROADCAST_ROWS``)
-    and counts every element row carrying one of them — a map-side filter
-    and an aggregate over at most N groups. Any unspent output outside the
-    first N comes after all of them, so once k candidates are unspent (or
-    all outputs were candidates) their first k are exactly the answer.
-    Otherwise N doubles; past ``max_rounds`` or the broadcast bound it falls
-    back to the full fold. Each round runs one count job on the driver side
-    (a single number); the returned frame is lazy.
-    """
-    outs = (outputs if outputs is not None else elements.where(F.col("type") == 1))
-    outs = outs.select(*KEY, "amount", "tx_idx")
-    n = k * first_multiple
-    for _ in range(max_rounds):
-        if n > MAX_BROADCAST_ROWS:
-            break
-        cand = outs.orderBy(*order).limit(n)
-        keys = F.broadcast(cand.select(*KEY).distinct())
-        status = (elements.join(keys, on=KEY, how="left_semi")
-                  .groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max("type").alias("max_type"))
-                  .where(_unspent_filter()).select(*KEY))
-        unspent = cand.join(F.broadcast(status), on=KEY, how="left_semi")
-        found, total = unspent.count(), cand.count()
-        if found >= k or total < n:
-            return unspent.orderBy(*order).limit(k)
-        n *= 2
-    return (outs.join(unspent_keys(elements), on=KEY, how="left_semi")
-            .orderBy(*order).limit(k))
-
-
-def top_unspent_candidates(elements: DataFrame, k: int = 100,
-                           with_script: bool = False) -> DataFrame:
-    """Same result as ``top_unspent`` through ``unspent_top_keys`` (no full
-    fold when the first candidates suffice)."""
-    order = [F.col("amount").desc(), F.col("tx_hash"), F.col("idx")]
-    top = unspent_top_keys(elements, k, order)
-    payload = ["script"] if with_script else ["block_hash"]
-    outs = elements.where(F.col("type") == 1).select(*KEY, *payload)
-    j = _join_bounded(outs, top, KEY, k)
-    if with_script:
-        res = j.select(F.lit(1).alias("type"), "tx_idx", "tx_hash", "idx", "amount",
-                       hex_lower(F.col("script")).alias("script_hex"))
-    else:
-        res = j.select(F.lit(1).alias("type"), "block_hash", "tx_idx", "tx_hash", "idx", "amount")
-    return res.orderBy(F.col("amount").desc(), "tx_hash", "idx")
-
-
 def _with_address(df: DataFrame, p2sh_version: int = 0) -> DataFrame:
     """Add ``hash160`` and ``address`` from the ``script`` column."""
     return with_address(df, "script", "address", "hash160", p2sh_version)

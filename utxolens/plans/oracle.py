@@ -149,6 +149,22 @@ def base58_sql(hex_expr: str) -> str:
     return f"concat({zeros}, ltrim({body}, '1'))"
 
 
+def base58_long_sql(hex_expr: str) -> str:
+    """DuckDB expression: Base58 text of a hex byte string of up to 66 bytes, by
+    schoolbook multiplication of single digits (no limbs)."""
+    carry = "(d * 256 + s.c)"
+    step = (f"list_reduce(acc, lambda s, d: struct_pack(o := list_append(s.o, {carry} % 58), "
+            f"c := {carry} // 58), struct_pack(o := CAST([] AS BIGINT[]), c := b)).o")
+    data = (f"list_transform(range(length({hex_expr}) // 2), "
+            f"lambda i: CAST(('0x' || substring({hex_expr}, 2 * i + 1, 2)) AS BIGINT))")
+    digits = (f"list_reduce({data}, lambda acc, b: {step}, "
+              f"list_transform(range(91), lambda i: CAST(0 AS BIGINT)))")
+    text = (f"array_to_string(list_transform(list_reverse({digits}), "
+            f"lambda x: substring('{B58}', CAST(x + 1 AS INTEGER), 1)), '')")
+    zeros = f"repeat('1', CAST(length(regexp_extract({hex_expr}, '^((?:00)*)', 1)) // 2 AS INTEGER))"
+    return f"concat({zeros}, ltrim({text}, '1'))"
+
+
 def base58check_sql(version_hex: str, payload_hex: str) -> str:
     body = f"concat({version_hex}, {payload_hex})"
     check = f"substring(sha256(unhex(sha256(unhex({body})))), 1, 8)"
@@ -339,7 +355,8 @@ FROM elements WHERE cls = 7"""
     q["sigops_per_block"] = _with(E) + f"""
 SELECT block_hash, CAST(sum({SIGOPS}) AS BIGINT) AS sigops FROM elements GROUP BY block_hash"""
     q["p2sh_sigops_per_block"] = _with(E) + """
-SELECT block_hash, CAST(sum(CASE WHEN cls = 10 THEN 1 ELSE 0 END) AS BIGINT) AS p2sh_sigops
+SELECT block_hash, CAST(sum(CASE WHEN cls = 10 THEN 1 ELSE 0 END) AS BIGINT) AS p2sh_sigops,
+CAST(count(CASE WHEN cls IS NULL THEN 1 END) AS BIGINT) AS n_unparsable
 FROM elements WHERE type = 0 GROUP BY block_hash"""
     q["nonminimal_pushes"] = _with(E) + """
 SELECT block_hash, CAST(count(*) AS BIGINT) AS n_nonminimal FROM elements WHERE cls = 1
@@ -353,6 +370,12 @@ GROUP BY block_hash"""
     q["transaction_count"] = _with(TX_INDEX) + \
         'SELECT \'result\' AS "_1", count(*) AS "_2" FROM tx_index'
     q["block_ts"] = _with(BI, BT) + 'SELECT rowkey, "transactionDate", ts FROM blocks'
+    size = "2 * ((\"transactionDate\" // 86400) % 64 + 1)"
+    q["base58_text"] = _with(BI) + f"""
+SELECT rowkey, bytes_hex, {base58_long_sql("bytes_hex")} AS text FROM (
+  SELECT rowkey, concat(repeat('00', CAST("transactionCounter" % 3 AS INTEGER)),
+    substring(concat(sha256(rowkey), sha256(concat(rowkey, '#'))), 1, CAST({size} AS INTEGER))) AS bytes_hex
+  FROM block_index)"""
     q["block_iso_time"] = _with(BI, BT) + \
         "SELECT rowkey, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso_time FROM blocks"
     q["blocks_per_year"] = _with(BI, BT) + """

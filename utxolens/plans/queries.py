@@ -94,6 +94,17 @@ def double_sha256(spark, sf):
         "rowkey", enc.double_sha256_hex(F.col("rowkey").cast("binary")).alias("hash256"))
 
 
+def base58_text(spark, sf):
+    """Base58 of hashes of 1 to 64 bytes, some with leading zero bytes."""
+    size = F.pmod(F.floor(F.col("transactionDate") / 86400), F.lit(64)).cast("int") + 1
+    zeros = F.pmod(F.col("transactionCounter"), F.lit(3)).cast("int")
+    h = F.concat(F.sha2(F.col("rowkey").cast("binary"), 256),
+                 F.sha2(F.concat(F.col("rowkey"), F.lit("#")).cast("binary"), 256))
+    return _bi(spark, sf).select("rowkey", F.concat(
+        F.repeat(F.lit("00"), zeros), F.substring(h, F.lit(1), 2 * size)).alias("bytes_hex")).select(
+        "rowkey", "bytes_hex", enc.base58_hex(F.col("bytes_hex")).alias("text"))
+
+
 def block_values(spark, sf):
     """Per-block output value and transaction count, ordered by time."""
     return blocks.block_values_flat(fx.transactions_flat(spark, sf), _el(spark, sf))
@@ -152,6 +163,7 @@ QUERIES: dict[str, Query] = {
     "largest_blocks": lambda s, d: blocks.largest_blocks(_bi(s, d), 100),
     "reversed_hash": reversed_hash,
     "double_sha256": double_sha256,
+    "base58_text": base58_text,
     # block values
     "block_values": block_values,
     "recent_blocks": lambda s, d: blocks.recent_block_values(

@@ -40,12 +40,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    If the session has none (a bare local test session), a fresh scratch
-    folder is set; a cluster always names a shared folder itself.
+    A cluster has to name a folder that the driver and all executors share;
+    only a local session without the setting gets a fresh scratch folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="utxolens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
@@ -53,7 +55,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -70,7 +72,7 @@ def ship_package(spark: SparkSession) -> None:
         sc = spark.sparkContext
     except Exception:                # Spark Connect: ship with addArtifacts instead
         return
-    key = id(sc._jsc)
+    key = sc.applicationId
     if key in _SHIPPED:
         return
     if "utxolens" in sc.getConf().get("spark.submit.pyFiles", ""):

@@ -115,35 +115,68 @@ def decode_block(raw: bytes) -> dict:
     # 2**31 wraps as in a Java int instead of failing the whole file)
     t = struct.unpack_from("<i", header, 68)[0]
     txs = [_transaction(r) for _ in range(r.varint())]
+    if r.pos != len(raw):
+        raise _Truncated(f"{len(raw) - r.pos} bytes after the last transaction")
     return {"block_hash": _display(_sha256d(header)), "t": t, "transactions": txs}
 
 
-def iter_blocks(data: bytes, magic: bytes = MAINNET_MAGIC) -> Iterator[dict]:
-    """Decode every block record of one file; skip damaged records."""
+class DamagedBlockFile(ValueError):
+    """A byte range of a block file that is neither a block nor zero fill."""
+
+
+def scan_blocks(data: bytes, magic: bytes = MAINNET_MAGIC) -> Iterator[dict]:
+    """Every byte range of one file: decoded blocks, and rejected ranges as
+    ``{offset, length, reason}``. Zero bytes between records are fill."""
     pos, n = 0, len(data)
-    while pos + 8 <= n:
-        if data[pos:pos + 4] != magic:
-            nxt = data.find(magic, pos + 1)
-            if nxt < 0:
-                return
-            pos = nxt
-            continue
-        size = int.from_bytes(data[pos + 4:pos + 8], "little")
-        start = pos + 8
-        if size < 80 or start + size > n:
-            pos += 1
-            continue
-        try:
-            block = decode_block(data[start:start + size])
-        except (_Truncated, KeyError, struct.error):
-            pos += 1
-            continue
-        block["size"] = size
-        yield block
-        pos = start + size
-
-
-def _decoder(magic: bytes, blocks_per_batch: int):
+    bad: tuple[int, str] | None = None                 # start of a rejected range, reason
+
+    def rejected(end: int) -> list[dict]:
+        if bad is None or not data[bad[0]:end].strip(b"\x00"):
+            return []
+        return [{"offset": bad[0], "length": end - bad[0], "reason": bad[1]}]
+
+    while pos < n:
+        reason = "no record magic"
+        if data[pos:pos + 4] == magic and pos + 8 <= n:
+            size = int.from_bytes(data[pos + 4:pos + 8], "little")
+            start = pos + 8
+            if size < 80:
+                reason = "record shorter than a header"
+            elif start + size > n:
+                reason = "record truncated"
+            else:
+                try:
+                    block = decode_block(data[start:start + size])
+                except (_Truncated, KeyError, struct.error) as e:
+                    reason = f"undecodable block: {e}"
+                else:
+                    yield from rejected(pos)
+                    bad = None
+                    block["size"] = size
+                    yield block
+                    pos = start + size
+                    continue
+        if bad is None or (bad[1] == "no record magic" and reason != bad[1]):
+            yield from rejected(pos)
+            bad = pos, reason
+        nxt = data.find(magic, pos + 1)
+        pos = n if nxt < 0 else nxt
+    yield from rejected(n)
+
+
+def iter_blocks(data: bytes, magic: bytes = MAINNET_MAGIC, on_damage: str = "fail",
+                name: str = "block file") -> Iterator[dict]:
+    """Blocks of one file. A damaged range raises ``DamagedBlockFile``, or is
+    left out with ``on_damage="skip"`` (``rejected_ranges`` then lists it)."""
+    for found in scan_blocks(data, magic):
+        if "block_hash" in found:
+            yield found
+        elif on_damage != "skip":
+            raise DamagedBlockFile(f"{name}: {found['length']} bytes at {found['offset']}: "
+                                   f"{found['reason']}")
+
+
+def _decoder(magic: bytes, blocks_per_batch: int, on_damage: str = "fail"):
     arrow_schema = pa.schema([
         pa.field("file", pa.string()),
         pa.field("size", pa.int32()),
@@ -168,7 +201,7 @@ def _decoder(magic: bytes, blocks_per_batch: int):
             for i, path in enumerate(paths):
                 data = contents[i].as_py() or b""
                 rows = []
-                for block in iter_blocks(data, magic):
+                for block in iter_blocks(data, magic, on_damage, path):
                     block["file"] = path
                     rows.append(block)
                     if len(rows) >= blocks_per_batch:
@@ -181,11 +214,27 @@ def _decoder(magic: bytes, blocks_per_batch: int):
 
 
 def read_block_files(spark: SparkSession, path: str, magic: bytes = MAINNET_MAGIC,
-                     blocks_per_batch: int = 64) -> DataFrame:
+                     blocks_per_batch: int = 64, on_damage: str = "fail") -> DataFrame:
     """``file, block_hash, t, transactions`` for every block in the files at
-    ``path`` (a file, directory or glob)."""
+    ``path`` (a file, directory or glob). Damaged ranges fail the read unless
+    ``on_damage="skip"``; ``rejected_ranges`` lists them."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(_decoder(magic, blocks_per_batch, on_damage), BLOCK_FILE_ROWS)
+
+
+def rejected_ranges(spark: SparkSession, path: str, magic: bytes = MAINNET_MAGIC) -> DataFrame:
+    """``file, offset, length, reason`` of every byte range that is not read."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [{"file": p} | r for p, data in zip(batch.column("path").to_pylist(),
+                                                       batch.column("content").to_pylist())
+                    for r in scan_blocks(data or b"", magic) if "reason" in r]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([
+                ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()),
+                ("reason", pa.string())]))
+
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_decoder(magic, blocks_per_batch), BLOCK_FILE_ROWS)
+    return files.mapInArrow(run, "file string, offset bigint, length bigint, reason string")
 
 
 def block_file_index(blocks: DataFrame) -> DataFrame:

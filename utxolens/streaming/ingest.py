@@ -4,8 +4,9 @@ The reference has no streaming queries; ledgers only grow by appending
 block files, so the one streaming piece is the decoder run as a file
 stream: new files under ``source_dir`` are decoded (same ``mapInArrow``
 decoder as the batch source) and appended to a Parquet table, with
-exactly-once bookkeeping in a checkpoint under ``spark.checkpoint.dir``.
-Batch queries then read the table.
+exactly-once bookkeeping in a checkpoint that the caller names. A table has
+to be restarted with the checkpoint it was begun with: with another one the
+sink's own log would take new files for old ones.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..session import checkpoint_dir, ship_package
+from ..session import ship_package
 from ..sources.blockfile import BLOCK_FILE_ROWS, MAINNET_MAGIC, _decoder
 
 BINARY_FILE = T.StructType([
@@ -25,14 +26,13 @@ BINARY_FILE = T.StructType([
 ])
 
 
-def ingest_block_files(spark: SparkSession, source_dir: str, table_path: str,
+def ingest_block_files(spark: SparkSession, source_dir: str, table_path: str, checkpoint: str,
                        name: str = "blocks", glob: str = "*.dat",
                        magic: bytes = MAINNET_MAGIC, available_now: bool = True,
                        max_files_per_trigger: int = 64) -> StreamingQuery:
     """Start the ingest stream; with ``available_now`` it processes the files
     present now (in bounded micro-batches) and stops."""
     ship_package(spark)
-    ckpt = f"{checkpoint_dir(spark).rstrip('/')}/utxolens-streams/{name}"
     files = (spark.readStream.format("binaryFile").schema(BINARY_FILE)
              .option("pathGlobFilter", glob)
              .option("maxFilesPerTrigger", max_files_per_trigger)
@@ -40,7 +40,7 @@ def ingest_block_files(spark: SparkSession, source_dir: str, table_path: str,
     blocks = files.select("path", "content").mapInArrow(_decoder(magic, 64), BLOCK_FILE_ROWS)
     writer = (blocks.writeStream.format("parquet")
               .option("path", table_path)
-              .option("checkpointLocation", ckpt)
+              .option("checkpointLocation", checkpoint)
               .outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
         processingTime="1 minute")
