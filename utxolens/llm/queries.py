@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (ann, bpe, licences, mixing, quality, secretscan, sharding, simhash, suffixes, tokenfile)
-from .common import table, text_or_empty
+from .common import materialize, table, text_or_empty
 
 SHARDS = 40
 #: wanted totals of the mixing query, as shares of the expected tokens now
@@ -58,8 +58,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut, rows = suffixes.without_repeats(table(spark, sf_dir, "documents"))
-    found = cut.select("tkey", "first", F.octet_length("kept").cast("bigint").alias("n_kept"),
-                       F.col("n_spans").alias("spans"), F.sha2("kept", 256).alias("sha"))
+    # written, so that the rows of a text with very many copies can be split in the join
+    found = materialize(spark, cut.select(
+        "tkey", "first", F.octet_length("kept").cast("bigint").alias("n_kept"),
+        F.col("n_spans").alias("spans"), F.sha2("kept", 256).alias("sha")), "kept")
     is_first = F.col("key").eqNullSafe(F.col("first")) & (F.col("copy") == 1)
     covered = ~is_first & (F.col("n_bytes") >= suffixes.LENGTH)      # a later copy goes whole
     return rows.join(found, "tkey").select(

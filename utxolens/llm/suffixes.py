@@ -516,8 +516,9 @@ def spans(texts: DataFrame, *, hot: int = HOT) -> DataFrame:
         each = table.mapInArrow(windows, f"w1 bigint, w2 bigint, first {order_type}, tkey binary, s bigint"
                                 ).withColumn("at", F.struct(F.col("first").isNotNull().alias("some"),
                                                             "first", "tkey", "s"))
-        least = each.groupBy("w1", "w2").agg(F.min("at").alias("least"),
-                                             F.count(F.lit(1)).alias("n")).where("n > 1")
+        # written, so that a very common window's rows can be split in the join
+        least = materialize(spark, each.groupBy("w1", "w2").agg(
+            F.min("at").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "windows")
         found = found.union(each.join(least, ["w1", "w2"]).where("at > least").select(
             "tkey", "s", (F.col("s") + LENGTH).alias("e")))
     return found
