@@ -16,15 +16,19 @@ from .common import materialize
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return (both.join(least, "a").where("b > a")
+    # a key of its own gives the join its own exchanges, which adaptive execution
+    # can split at a hub; on the aggregate's partitions it could not
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).select(
+        F.col("a").bitwiseXOR(F.lit(0)).alias("k"), "m")
+    return (both.join(least, F.col("a") == F.col("k")).where("b > a")
             .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    joined = down.join(least, "a")
+    least = down.groupBy("a").agg(F.min("b").alias("m")).select(
+        F.col("a").bitwiseXOR(F.lit(0)).alias("k"), "m")
+    joined = down.join(least, F.col("a") == F.col("k"))
     return (joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
 

@@ -231,7 +231,9 @@ def cluster(prints: DataFrame, key: str, max_bits: int = MAX_BITS, **sizes) -> D
     labelled = distinct.join(member, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     labelled = materialize(spark, labelled, "labelled")
-    ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that a very large component's rows can be split in the join
+    ids = materialize(spark, labelled.groupBy("root").agg(F.min("least").alias("component_id")),
+                      "component_ids")
     return labelled.join(ids, "root").select("fp", "component_id", "root")
 
 
