@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, text_or_empty, words
+from .common import let, materialize, text_or_empty, words
 
 BUCKETS = 10_000          # hashed n-gram classes of both multinomials
 SMOOTHING = 1.0           # pseudo-count of each class
@@ -57,8 +57,10 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, *, key: str = "doc_id", text:
 
     ``trusted`` has the keys of the target documents. All documents count:
     the raw side is every document, the target side every trusted one."""
-    keys = (trusted.select(F.col(key).alias("_key")).where("_key is not null").distinct()
-            .withColumn("_target", F.lit(1)).hint("shuffle_hash"))
+    # written, so that many rows with one (or no) id can be split in the join
+    keys = materialize(docs.sparkSession, trusted.select(F.col(key).alias("_key"))
+                       .where("_key is not null").distinct(), "trusted").withColumn(
+        "_target", F.lit(1)).hint("shuffle_hash")
     feats = (docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
              .join(keys, F.col("_id") == F.col("_key"), "left")
              .select("_target", F.explode(ngram_buckets("_text", buckets)).alias("bucket")))
