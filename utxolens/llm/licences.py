@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, text_or_empty
+from .common import let, materialize, text_or_empty
 
 K = 3                     # words of a run
 SLACK = 2                 # words between diagonals that are merged
@@ -162,8 +162,10 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     base = base.select("key", "h0", "n_words", F.size(every).cast("bigint").alias("n_base"),
                        F.array_min(every).cast("bigint").alias("first_word"),
                        F.array_max(every).cast("bigint").alias("last_word"), own.alias("own"))
-    spans = verified(votes(docs, templates, key=key, text=text), templates).groupBy("key", "h0").agg(
-        F.collect_set("label").alias("found"), F.max("score").alias("best"))
+    # few rows; written, so that rows of one id and text can be split in the join
+    spans = materialize(docs.sparkSession, verified(
+        votes(docs, templates, key=key, text=text), templates).groupBy("key", "h0").agg(
+        F.collect_set("label").alias("found"), F.max("score").alias("best")), "licences")
     j = base.join(spans.select(F.col("key").alias("k2"), F.col("h0").alias("h2"), "found", "best"),
                   F.col("key").eqNullSafe(F.col("k2")) & (F.col("h0") == F.col("h2")), "left")
     none = F.array().cast("array<string>")
