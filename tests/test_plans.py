@@ -68,3 +68,19 @@ def test_scale_rules_hold_for_every_query(spark):
                     "collect_set", "Window"):
             assert bad not in p, (name, bad)
         assert "FileScan parquet" in p or "Scan parquet" in p, name
+
+
+def test_address_queries_scan_once(spark):
+    """Outputs and inputs are read once each (plus the fixture's orders), and no
+    script moves: two exchanges of the fixture's join, one of the fold."""
+    el = fx.elements(spark, SF_SMALL)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df, exchanges in ((utxo.output_addresses(el), 3), (utxo.top_addresses(el, 10), 3),
+                              (utxo.address_balances(el), 4)):
+            p = _plan(df)
+            assert p.count("Exchange hashpartitioning") == exchanges
+            assert p.count("FileScan parquet") == 3
+            assert "SortAggregate" not in p and "BroadcastExchange" not in p
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -14,6 +14,8 @@ script) are never carried through that shuffle:
 
 * full sets join the surviving keys back to the outputs (shuffle join on
   the same key, so AQE can split a skewed side);
+* addresses need only 20 bytes, which ride through the fold as three
+  integers and are rebuilt on the survivors;
 * top-k results take k numeric rows first and fetch the payload with a
   broadcast join whose size is bounded by k (checked against
   ``MAX_BROADCAST_ROWS``; above it the join is left to the planner).
@@ -24,8 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.address import (address_version_hex, has_address, script_hash160_hex,
-                                 with_address, with_hash160_address)
+from ..functions.address import script_hash160_hex, with_address, with_hash160_address
 from ..functions.encoding import hex_lower
 
 KEY = ["tx_hash", "idx"]
@@ -167,14 +168,47 @@ def _with_address(df: DataFrame, p2sh_version: int = 0) -> DataFrame:
     return with_address(df, "script", "address", "hash160", p2sh_version)
 
 
+# The 20-byte hash of an address as integers of 14, 14 and 12 hex digits, so
+# that it can ride through the numeric fold.
+_PIECES = {"_h0": (1, 14), "_h1": (15, 14), "_h2": (29, 12)}
+_ADDRESS_COLS = [*_PIECES, "_p2sh"]
+
+
+def _with_hash_pieces(elements: DataFrame) -> DataFrame:
+    """Key, type and amount with ``_h0, _h1, _h2, _p2sh`` of each output's
+    address (NULL where it has none, and for inputs)."""
+    script = F.when(F.col("type") == 1, F.col("script"))
+    h = elements.select("type", *KEY, "amount", script_hash160_hex(script).alias("_h"),
+                        F.octet_length(script).alias("_n"))
+    return h.select("type", *KEY, "amount",
+                    *[F.conv(F.substring("_h", at, n), 16, 10).cast("bigint").alias(c)
+                      for c, (at, n) in _PIECES.items()],
+                    # the P2SH template has 23 bytes, every P2PKH form at least 25
+                    F.when(F.col("_h").isNotNull(), (F.col("_n") == 23).cast("int")).alias("_p2sh"))
+
+
+def _unspent_with_hash(elements: DataFrame, compact: bool) -> DataFrame:
+    """Key, amount and hash pieces of unspent outputs that have an address:
+    one scan and one fold, no script is moved."""
+    return (unspent_keys(_with_hash_pieces(elements), "amount", *_ADDRESS_COLS,
+                         compact_keys=compact)
+            .where(F.col("_p2sh").isNotNull()))
+
+
+def _address_of_pieces(df: DataFrame, p2sh_version: int) -> DataFrame:
+    """Add ``hash160`` and ``address`` from the hash pieces."""
+    parts = [F.lpad(F.lower(F.hex(F.col(c))), n, "0") for c, (_, n) in _PIECES.items()]
+    version = F.when(F.col("_p2sh") == 1, F.lit(f"{p2sh_version:02x}")).otherwise(F.lit("00"))
+    return with_hash160_address(df.withColumn("hash160", F.concat(*parts)), "hash160",
+                                "address", version)
+
+
 def output_addresses(elements: DataFrame, p2sh_version: int = 0,
                      compact_keys: bool = False) -> DataFrame:
     """Unspent outputs that have an address: ``tx_hash, idx, address, hash160, balance``."""
-    outs = (elements.where((F.col("type") == 1) & has_address(F.col("script")))
-            .select(*KEY, "amount", "script"))
-    u = _semi_unspent(outs, elements, compact_keys)
-    return _with_address(u, p2sh_version).select(
-        *KEY, "address", "hash160", F.col("amount").alias("balance"))
+    u = _address_of_pieces(_unspent_with_hash(elements, compact_keys), p2sh_version)
+    return u.select(_tx_hash_of_key(compact_keys), "idx", "address", "hash160",
+                    F.col("amount").alias("balance"))
 
 
 def element_addresses(elements: DataFrame, p2sh_version: int = 0) -> DataFrame:
@@ -188,39 +222,29 @@ def top_addresses(elements: DataFrame, k: int = 10_000, p2sh_version: int = 0,
     """The k largest unspent outputs that have an address: ``address, balance``.
 
     "Balance" is the value of one unspent output (the reference does not
-    sum per address); one address can appear several times. The has-address
-    test is folded as a numeric flag, so the k winners are chosen without
-    moving scripts; only those k rows fetch their script for Base58.
+    sum per address); one address can appear several times. The winners are
+    chosen on numbers; Base58 runs on those k rows.
     """
-    flagged = elements.withColumn(
-        "_addr", F.when(F.col("type") == 1, has_address(F.col("script")).cast("int")))
     _, key = _keyed(elements, compact_keys)
-    top = (unspent_keys(flagged, "amount", "_addr", compact_keys=compact_keys)
-           .where(F.col("_addr") == 1)
-           .orderBy(F.col("amount").desc(), *key).limit(k)
-           .select(*key, "amount"))
-    outs, _ = _keyed(elements.where(F.col("type") == 1).select(*KEY, "script"), compact_keys)
-    j = _with_address(_join_bounded(outs, top, key, k), p2sh_version)
-    return (j.select("address", F.col("amount").alias("balance"), *KEY)
-             .orderBy(F.col("balance").desc(), "tx_hash", "idx")
-             .select("address", "balance"))
+    top = (_unspent_with_hash(elements, compact_keys)
+           .orderBy(F.col("amount").desc(), *key).limit(k))
+    # the winners are one partition already; coalesce keeps the optimizer from
+    # moving Base58 into the limit, where a full sort would replace the top-k
+    return (_address_of_pieces(top.coalesce(1), p2sh_version)
+            .orderBy(F.col("amount").desc(), *key)
+            .select("address", F.col("amount").alias("balance")))
 
 
 def address_balances(elements: DataFrame, p2sh_version: int = 0,
                      compact_keys: bool = False) -> DataFrame:
     """Sum of unspent value per address: ``address, balance, n_outputs``.
 
-    Grouped on the 20-byte hash (binary) with partial aggregation; Base58
-    text is computed once per address after the aggregate.
+    Grouped on the numeric pieces of the 20-byte hash with partial
+    aggregation; Base58 text is computed once per address after the aggregate.
     """
-    outs = (elements.where((F.col("type") == 1) & has_address(F.col("script")))
-            .select(*KEY, "amount", "script"))
-    u = _semi_unspent(outs, elements, compact_keys)
-    per = (u.select(F.unhex(script_hash160_hex(F.col("script"))).alias("h"),
-                    address_version_hex(F.col("script"), p2sh_version).alias("v"),
-                    "amount")
-             .groupBy("h", "v")
-             .agg(F.sum("amount").alias("balance"), F.count(F.lit(1)).alias("n_outputs")))
-    per = per.withColumn("h", hex_lower(F.col("h")))
-    return with_hash160_address(per, "h", "address", F.col("v")).select(
-        "address", "balance", "n_outputs")
+    u = _unspent_with_hash(elements, compact_keys)
+    if p2sh_version == 0:            # both kinds then share their address texts
+        u = u.withColumn("_p2sh", F.lit(0))
+    per = u.groupBy(*_ADDRESS_COLS).agg(F.sum("amount").alias("balance"),
+                                        F.count(F.lit(1)).alias("n_outputs"))
+    return _address_of_pieces(per, p2sh_version).select("address", "balance", "n_outputs")
