@@ -95,6 +95,27 @@ def test_decode_checked():
     assert decode_checked("1")[0] is False
 
 
+def test_decode_checked_batches():
+    from utxolens.functions.validate import b58decode_batch, decode_checked_batch
+
+    assert decode_checked("3QJmnh") == (True, None, "")          # a checksum over nothing
+    assert decode_checked("") == (False, None, None)
+    values = [bytes(z) + bytes((7 * i + 1) % 256 for i in range(k)) for z in (0, 1, 5)
+              for k in (0, 1, 2, 3, 20, 25, 33, 64, 200)]
+    texts = [b58encode(v) for v in values]
+    assert b58decode_batch(texts + [None, "1l1", "é", "1é1"]) == values + [None] * 4
+    assert decode_checked_batch([None, "0"]) == [None, (False, None, None)]
+
+
+def test_ripemd160_in_batches():
+    from utxolens.functions.validate import ripemd160_arrays
+
+    assert ripemd160_arrays([]) == []
+    mixed = [b"abc", b"", b"a" * 200, b"b" * 55, b"c" * 56, b"abc"]
+    assert ripemd160_arrays(mixed) == [ripemd160_arrays([m])[0] for m in mixed]
+    assert ripemd160_arrays([b"abc"])[0].hex() == "8eb208f7e05d987a9b044a8e98c6b087f15a0bfc"
+
+
 def test_ripemd160_pure_python_matches():
     for msg in [b"", b"abc", b"message digest", bytes(range(200))]:
         assert ripemd160_py(msg) == ripemd160(msg)

@@ -138,10 +138,13 @@ def block_values_flat(transactions: DataFrame, elements: DataFrame) -> DataFrame
     to one row per block by partial aggregation before they are joined, so
     the join moves one row per block.
     """
+    return _join_block_sums(transactions, elements.where(F.col("type") == 1))
+
+
+def _join_block_sums(transactions: DataFrame, outputs: DataFrame) -> DataFrame:
     per_tx = (transactions.groupBy("block_hash")
               .agg(F.max("t").alias("t"), F.count(F.lit(1)).alias("no")))
-    per_out = (elements.where(F.col("type") == 1)
-               .groupBy("block_hash").agg(F.sum("amount").alias("value")))
+    per_out = outputs.groupBy("block_hash").agg(F.sum("amount").alias("value"))
     j = per_tx.join(per_out, "block_hash", "left")
     return j.select(
         F.col("t"),
@@ -161,12 +164,25 @@ def recent(df: DataFrame, time_col: str = "t", days: int = 30,
     return df.where(F.col(time_col) > newest - F.lit(days * 86400))
 
 
-def recent_block_values(transactions: DataFrame, elements: DataFrame,
+def recent_block_values(transactions: DataFrame, outputs: DataFrame,
                         days: int = 30) -> DataFrame:
     """Block values of the blocks newer than ``days`` before the newest block.
 
-    'Now' comes from the narrow transactions table (one scalar), and the
-    transactions are filtered before the per-block aggregate, so only the
-    recent blocks are joined with the output sums."""
+    ``outputs`` has ``block_hash, t, amount``. 'Now' comes from the narrow
+    transactions table (one scalar), and both sides are bounded in time before
+    they are aggregated, so older outputs are never summed."""
     newest = transactions.select(F.max("t")).scalar()
-    return block_values_flat(recent(transactions, "t", days, newest), elements)
+    return _join_block_sums(recent(transactions, "t", days, newest),
+                            recent(outputs, "t", days, newest))
+
+
+def recent_blocks_nested(blocks: DataFrame, days: int = 30) -> DataFrame:
+    """Nested block records newer than ``days`` before the newest one. On a
+    table partitioned by ``month`` (``decode_to_parquet``) the same bound also
+    prunes partitions."""
+    newest = blocks.select(F.max("t")).scalar()
+    out = recent(blocks, "t", days, newest)
+    if "month" in blocks.columns:
+        since = epoch_to_ts(newest - F.lit(days * 86400))
+        out = out.where(F.col("month").cast("string") >= F.date_format(since, "yyyy-MM"))
+    return out

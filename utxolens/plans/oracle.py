@@ -12,7 +12,7 @@ digest is one ``list_reduce`` over the 80 steps.
 
 from __future__ import annotations
 
-from ..functions import validate as V
+import math
 
 B58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 _LIMB = 58 ** 5
@@ -173,11 +173,39 @@ def base58check_sql(version_hex: str, payload_hex: str) -> str:
 
 # RIPEMD-160 of one 32-byte message (a SHA-256 digest) in DuckDB SQL: the
 # message fits one padded block, so the 80 steps of both lines run as one
-# list_reduce over a struct state; the fixed tables are those of
-# functions.validate.
+# list_reduce over a struct state. Its tables follow from the rules of the
+# specification, not from the code under test.
 _M32 = 4294967295
 
 
+# Fixed values of the RIPEMD-160 specification: the permutation of message
+# words between rounds, and the rotation of each message word per round.
+_RHO = [7, 4, 13, 1, 10, 6, 15, 3, 12, 0, 9, 5, 2, 14, 11, 8]
+_ROTATIONS = [
+    [11, 14, 15, 12, 5, 8, 7, 9, 11, 13, 14, 15, 6, 7, 9, 8],
+    [12, 13, 11, 15, 6, 9, 9, 7, 12, 15, 11, 13, 7, 8, 7, 7],
+    [13, 15, 14, 11, 7, 7, 6, 8, 13, 14, 13, 12, 5, 5, 6, 9],
+    [14, 11, 12, 14, 8, 6, 5, 5, 15, 12, 15, 14, 9, 9, 8, 6],
+    [15, 12, 13, 13, 9, 5, 8, 6, 14, 11, 12, 11, 8, 6, 5, 5],
+]
+
+
+def _ripemd_tables() -> dict[str, list[int]]:
+    """Message order: rho per round, on the right line after word 9 i + 5;
+    constants: 2^30 times square (left) and cube (right) roots of 2, 3, 5, 7."""
+    order = {"l": list(range(16)), "r": [(9 * i + 5) % 16 for i in range(16)]}
+    out: dict[str, list[int]] = {f"{t}{side}": [] for t in "rs" for side in "lr"}
+    for rotations in _ROTATIONS:
+        for side in "lr":
+            out[f"r{side}"] += order[side]
+            out[f"s{side}"] += [rotations[w] for w in order[side]]
+            order[side] = [_RHO[w] for w in order[side]]
+    roots = (2, 3, 5, 7)
+    out["kl"] = [0] + [math.isqrt(p << 60) for p in roots]
+    out["kr"] = [int(round(p ** (1 / 3) * 2 ** 30, 6)) for p in roots] + [0]
+    return out
+
+
 def _lst(xs) -> str:
     return "[" + ", ".join(str(x) for x in xs) + "]"
 
@@ -213,13 +241,13 @@ def ripemd160_sql(hex32: str) -> str:
 
     # 8 message words, then the padding: 0x80, zeros, bit length 256
     x = "[" + ", ".join([word(i) for i in range(8)] + ["128", "0", "0", "0", "0", "0", "256", "0"]) + "]"
-    left = _line_step("l", "(j // 16)", _lst(V._R_LEFT), _lst(V._S_LEFT), _lst(V._K_LEFT))
-    right = _line_step("r", "((79 - j) // 16)", _lst(V._R_RIGHT), _lst(V._S_RIGHT),
-                       _lst(V._K_RIGHT))
+    t = _ripemd_tables()
+    left = _line_step("l", "(j // 16)", _lst(t["rl"]), _lst(t["sl"]), _lst(t["kl"]))
+    right = _line_step("r", "((79 - j) // 16)", _lst(t["rr"]), _lst(t["sr"]), _lst(t["kr"]))
     step = (f"lambda s, j: struct_pack(x := s.x, "
             f"al := s.el, el := s.dl, dl := {_rol32('s.cl', '10')}, cl := s.bl, bl := {left}, "
             f"ar := s.er, er := s.dr, dr := {_rol32('s.cr', '10')}, cr := s.br, br := {right})")
-    h = V._H0
+    h = [0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476, 0xC3D2E1F0]
     init = ("struct_pack(x := " + x + ", " + ", ".join(
         f"{v}{side} := CAST({h[i]} AS BIGINT)" for side in "lr" for i, v in enumerate("abcde")) + ")")
     final = f"list_reduce(range(80), {step}, {init})"
@@ -279,6 +307,31 @@ block_values AS (
 )"""
 
 
+# Nested records: two transactions per lineitem (tx_idx 0 and 1).
+NESTED_OUT = """
+lines AS (
+  SELECT l.*, CASE WHEN l_linenumber = 7 THEN -1 ELSE CAST(l_suppkey % 8 AS INTEGER) END AS cls,
+         sha256(CAST(CAST(l_shipdate AS DATE) AS VARCHAR)) AS block_hash,
+         CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) * 86400 AS INTEGER) AS t,
+         sha256(CAST(l_partkey AS VARCHAR)) AS ph, sha256(CAST(l_suppkey AS VARCHAR)) AS sh
+  FROM lineitem l
+),
+outs AS (
+  SELECT block_hash, t, 0 AS tx_idx, CAST(l_orderkey AS VARCHAR) AS tx_hash, CAST(0 AS BIGINT) AS idx,
+         CAST(round(l_extendedprice * 100) AS BIGINT) AS value, cls, ph, sh
+  FROM lines WHERE l_linenumber % 4 >= 1
+  UNION ALL
+  SELECT block_hash, t, 0, CAST(l_orderkey AS VARCHAR), 1, CAST(round(l_discount * 100) AS BIGINT),
+         cls, ph, sh FROM lines WHERE l_linenumber % 4 >= 2
+  UNION ALL
+  SELECT block_hash, t, 0, CAST(l_orderkey AS VARCHAR), 2, CAST(round(l_tax * 100) AS BIGINT),
+         cls, ph, sh FROM lines WHERE l_linenumber % 4 = 3
+  UNION ALL
+  SELECT block_hash, t, 1, concat('p', l_partkey), 0, CAST(round(l_quantity) AS BIGINT),
+         cls, ph, sh FROM lines
+)"""
+
+
 def _with(*ctes: str) -> str:
     return "WITH " + ",".join(ctes) + "\n"
 
@@ -319,6 +372,19 @@ SELECT {base58check_sql("'00'", 'h')} AS address, balance, n_outputs FROM (
     q["address_validation"] = _with(E, UNSPENT_KEYS, UNSPENT) + f"""
 SELECT tx_hash, idx, {ADDRESS} AS address, true AS valid, 0 AS version, {HASH160} AS payload_hex
 FROM unspent WHERE cls IN (0, 1, 2)"""
+    q["address_checks"] = f"""
+WITH a AS (
+  SELECT p_partkey, p_partkey % 7 AS k, h, {base58check_sql("'00'", 'h')} AS a
+  FROM (SELECT p_partkey, substring(sha256(CAST(p_partkey AS VARCHAR)), 1, 40) AS h FROM part) x
+)
+SELECT p_partkey, CASE k
+         WHEN 1 THEN concat(a[:-2], CASE WHEN a[-1:] = '2' THEN '3' ELSE '2' END)
+         WHEN 2 THEN concat('0', a) WHEN 3 THEN a[:3] WHEN 4 THEN '3QJmnh' WHEN 5 THEN NULL
+         ELSE a END AS text,
+       CASE WHEN k = 5 THEN NULL ELSE k IN (0, 4, 6) END AS valid,
+       CAST(CASE WHEN k IN (0, 6) THEN 0 END AS INTEGER) AS version,
+       CASE WHEN k = 4 THEN '' WHEN k IN (0, 6) THEN h END AS payload_hex
+FROM a"""
     q["block_script_structs"] = _with(E) + f"""
 SELECT block_hash AS "blockId", {STRUCTURE} AS "scriptStruct" FROM elements"""
     q["blocks_without_opcodes"] = _with(E) + f"""
@@ -414,6 +480,29 @@ SELECT sha256(CAST(d AS VARCHAR)) AS block_hash,
 FROM (SELECT CAST(o_orderdate AS DATE) AS d, o_orderkey FROM orders) o
 LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY d"""
 
+    # --- nested records -------------------------------------------------------
+    N = NESTED_OUT
+    q["nested_block_values"] = _with(N) + """
+SELECT t, strftime(make_timestamp(CAST(t AS BIGINT) * 1000000), '%Y-%m-%d %H::%M') AS time,
+       block_hash AS hash, CAST(sum(value) AS BIGINT) AS value, CAST(max(n) AS BIGINT) AS no
+FROM outs JOIN (SELECT block_hash, 2 * count(*) AS n FROM lines GROUP BY block_hash) x USING (block_hash)
+GROUP BY t, block_hash"""
+    q["nested_transactions"] = _with(N) + """
+SELECT block_hash, t, 0 AS tx_idx, CAST(l_orderkey AS VARCHAR) AS tx_hash,
+       CAST(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS INTEGER) AS n_inputs,
+       CAST(l_linenumber % 4 AS INTEGER) AS n_outputs FROM lines
+UNION ALL
+SELECT block_hash, t, 1, concat('p', l_partkey), 0, 1 FROM lines"""
+    q["nested_outputs"] = _with(N) + f"""
+SELECT block_hash, tx_hash, idx, value, {SCRIPT_HEX} AS script_hex FROM outs"""
+    q["nested_elements"] = _with(N) + f"""
+SELECT 1 AS type, block_hash, tx_idx, tx_hash, idx, value AS amount, {SCRIPT_HEX} AS script_hex
+FROM outs
+UNION ALL
+SELECT 0, block_hash, 0, CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS BIGINT), CAST(0 AS BIGINT),
+       CASE WHEN l_suppkey % 8 = 2 THEN concat('25512102', ph, '51ae') ELSE '' END
+FROM lines WHERE l_returnflag = 'R'"""
+
     # --- mode ---------------------------------------------------------------
     q["mode_max"] = """
 WITH per AS (SELECT event_type, CAST(floor(value) AS INTEGER) AS v, count(*) AS c

@@ -116,6 +116,56 @@ def flatten_outputs(spark, sf):
             .select("block_hash", "tx_hash", "idx", F.col("amount").alias("value")))
 
 
+def nested_block_values(spark, sf):
+    """Value and transaction count of nested records, summed per block."""
+    v = blocks.block_values_nested(fx.nested_fragments(spark, sf))
+    return v.groupBy("t", "time", "hash").agg(F.sum("value").alias("value"),
+                                              F.sum("no").alias("no"))
+
+
+def nested_transactions(spark, sf):
+    """Transactions of nested records with their block and list sizes."""
+    t = blocks.transactions_with_block(fx.nested_fragments(spark, sf))
+    return t.select("block_hash", "t", "tx_idx", "tx_hash", F.size("inputs").alias("n_inputs"),
+                    F.size("outputs").alias("n_outputs"))
+
+
+def nested_outputs(spark, sf):
+    """Outputs of nested records, two levels flattened."""
+    o = blocks.flatten_outputs_nested(fx.nested_fragments(spark, sf))
+    return o.select("block_hash", "tx_hash", "idx", "value",
+                    enc.hex_lower(F.col("script")).alias("script_hex"))
+
+
+def nested_elements(spark, sf):
+    """Flat inputs and outputs of nested records."""
+    e = blocks.elements_from_blocks(fx.nested_fragments(spark, sf))
+    return e.select("type", "block_hash", "tx_idx", "tx_hash", "idx", "amount",
+                    enc.hex_lower(F.col("script")).alias("script_hex"))
+
+
+def address_checks(spark, sf):
+    """Whole and damaged address texts, decoded and checked (G8): by part key, the
+    text as it is, its last character changed, an illegal character, too short,
+    the empty payload, and NULL."""
+    p = fx.read_table(spark, sf, "part").select("p_partkey")
+    h = F.substring(F.sha2(F.col("p_partkey").cast("string").cast("binary"), 256), 1, 40)
+    a = with_hash160_address(p.withColumn("h", h), "h", "a")
+    last = F.substring("a", -1, 1)
+    cut = F.substring("a", F.lit(1), F.length("a") - 1)
+    case = F.col("p_partkey") % 7
+    text = (F.when(case == 1, F.concat(cut, F.when(last == "2", F.lit("3")).otherwise(F.lit("2"))))
+            .when(case == 2, F.concat(F.lit("0"), F.col("a")))
+            .when(case == 3, F.substring("a", 1, 3))
+            .when(case == 4, F.lit("3QJmnh"))
+            .when(case == 5, F.lit(None).cast("string"))
+            .otherwise(F.col("a")))
+    d = a.select("p_partkey", text.alias("text"))
+    c = decode_address(F.col("text"))
+    return d.select("p_partkey", "text", c["valid"].alias("valid"), c["version"].alias("version"),
+                    c["payload_hex"].alias("payload_hex"))
+
+
 QUERIES: dict[str, Query] = {
     # sources / views
     "elements_scan": elements_scan,
@@ -135,6 +185,7 @@ QUERIES: dict[str, Query] = {
     "top_addresses": lambda s, d: utxo.top_addresses(_el(s, d), 10_000),
     "address_balances": lambda s, d: utxo.address_balances(_el(s, d)),
     "address_validation": address_validation,
+    "address_checks": address_checks,
     "pubkey_addresses": pubkey_addresses,
     # scripts
     "block_script_structs": lambda s, d: scriptstats.block_script_structs(_el(s, d)),
@@ -167,8 +218,13 @@ QUERIES: dict[str, Query] = {
     # block values
     "block_values": block_values,
     "recent_blocks": lambda s, d: blocks.recent_block_values(
-        fx.transactions_flat(s, d), _el(s, d), 30),
+        fx.transactions_flat(s, d), fx.outputs_with_time(s, d), 30),
     "flatten_outputs": flatten_outputs,
+    # nested records
+    "nested_block_values": nested_block_values,
+    "nested_transactions": nested_transactions,
+    "nested_outputs": nested_outputs,
+    "nested_elements": nested_elements,
     # other aggregates
     "mode_max": lambda s, d: modes.mode_max(fx.mode_input(s, d), "event_type", "v")
     .withColumnRenamed("mode", "mode_value"),

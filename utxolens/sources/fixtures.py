@@ -154,6 +154,52 @@ def transactions_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def outputs_with_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``block_hash, t, amount``: one row per output with its block's time, so
+    that a time bound reaches the orders before they are joined."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice")
+    od = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").hint("merge")
+    d = F.col("o_orderdate").cast("date")
+    return li.join(od, li.l_orderkey == od.o_orderkey).select(
+        _sha_hex(d).alias("block_hash"),
+        (F.unix_date(d) * 86400).cast("int").alias("t"),
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("amount"))
+
+
+def nested_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``block_hash, t, transactions``: nested block records, one per lineitem.
+
+    Each is a fragment of the block of its ship date with two transactions:
+    the line's own (an input if it was returned; price, discount and tax as
+    outputs, of which the first ``l_linenumber % 4``) and one of its part
+    without inputs (one output: the quantity). Nothing is grouped, so a
+    record's size does not depend on the data.
+    """
+    li = read_table(spark, sf_dir, "lineitem")
+    d = F.col("l_shipdate").cast("date")
+    key = F.col("l_orderkey").cast("string")
+    script = F.unhex(_output_script_hex(F.col("l_linenumber"), F.col("l_suppkey"),
+                                        F.col("l_partkey")))
+
+    def output(value: Column) -> Column:
+        return F.struct(F.round(value).cast("bigint").alias("value"), script.alias("script"))
+
+    spent = F.struct(key.alias("prev_hash"),
+                     F.col("l_linenumber").cast("bigint").alias("prev_idx"),
+                     F.unhex(_input_script_hex(F.col("l_suppkey"), F.col("l_partkey"))).alias("script"))
+    returned = F.array(F.when(F.col("l_returnflag") == "R", spent))
+    outputs = F.array(output(F.col("l_extendedprice") * 100), output(F.col("l_discount") * 100),
+                      output(F.col("l_tax") * 100))
+    own = F.struct(key.alias("tx_hash"), F.array_compact(returned).alias("inputs"),
+                   F.slice(outputs, F.lit(1), F.col("l_linenumber") % 4).alias("outputs"))
+    part = F.struct(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("tx_hash"),
+                    F.array_compact(F.array(F.when(F.lit(False), spent))).alias("inputs"),
+                    F.array(output(F.col("l_quantity"))).alias("outputs"))
+    return li.select(_sha_hex(d).alias("block_hash"),
+                     (F.unix_date(d) * 86400).cast("int").alias("t"),
+                     F.array(own, part).alias("transactions"))
+
+
 def mode_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``event_type, v``: the integer values whose per-group mode is taken."""
     ev = read_table(spark, sf_dir, "events")
