@@ -43,18 +43,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     A cluster has to name a folder that the driver and all executors share;
     only a local session without the setting gets a fresh scratch folder.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = (spark.conf.get("spark.checkpoint.dir", None)
+            or spark.sparkContext.getConf().get("spark.checkpoint.dir", None))
     if not path:
-        path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not path and not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not path:
-        path = tempfile.mkdtemp(prefix="utxolens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        # the setting itself cannot be changed in a running session
+        app = spark.sparkContext.applicationId
+        if app not in _SCRATCH:
+            _SCRATCH[app] = tempfile.mkdtemp(prefix="utxolens-ckpt-")
+        path = _SCRATCH[app]
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+_SCRATCH: dict[str, str] = {}        # of local sessions without the setting
+
+
 _SHIPPED: set[str] = set()
 
 
