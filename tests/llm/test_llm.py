@@ -502,3 +502,24 @@ def test_pipeline_stages(spark):
     assert sum(d in left for d in toxic) < 0.4 * len(toxic)
     ids = C.encode_tokens(spark, mixed, sf)
     assert ids.count() == mixed.count()
+
+
+def test_guess_cost_of_very_long_values_takes_time_in_proportion():
+    import time
+
+    from utxolens.llm.secretscan import guess_cost
+
+    start = time.perf_counter()
+    assert guess_cost("a" * 50_000) == pytest.approx(1 + np.log10(50_000))
+    assert guess_cost("qw" * 25_000) == pytest.approx(2 + np.log10(25_000))
+    assert guess_cost("1234567890" * 5_000) == pytest.approx(np.log10(50) + np.log10(50_000))
+    assert time.perf_counter() - start < 60
+
+
+def test_guess_cost_of_short_values():
+    from utxolens.llm.secretscan import guess_cost
+
+    assert guess_cost("") == 0
+    assert guess_cost("~") == 1
+    assert guess_cost("zzz") == pytest.approx(1 + np.log10(3))
+    assert guess_cost("aaaaapple") == pytest.approx(guess_cost("aaaa") + guess_cost("apple"))

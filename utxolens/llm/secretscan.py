@@ -61,6 +61,8 @@ WORDS = ("password pass admin love qwerty welcome monkey dragon letmein master l
          "friend family john david james robert daniel thomas george charlie jordan killer "
          "trustno cheese coffee banana apple london paris berlin null none true false value "
          "string number here there insert replace placeholder dummy").split()
+#: longest overlap of a run's ends with other parts (words and dates are shorter)
+EDGE = 16
 _ALIKE = str.maketrans("01345789@$!", "oleastbgasi")
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./",
          "abcdefghijklmnopqrstuvwxyz", "0123456789")
@@ -80,8 +82,32 @@ def _next() -> frozenset[str]:
     return frozenset(pairs | {p[::-1] for p in pairs})
 
 
+def _runs(same: list[bool], reach: int):
+    """(start, end) of every longest stretch of places that go on alike."""
+    a = None
+    for p, x in enumerate([*same, False]):
+        if x and a is None:
+            a = p
+        elif not x and a is not None:
+            yield a, p + reach
+            a = None
+
+
+def _inside(a: int, b: int):
+    """(start, end) of the parts of a run that a cheapest cut can use. A run costs
+    less than its pieces, so a long one is only cut where a word or date, or
+    another run, overlaps its ends; those overlaps are at most ``EDGE`` long."""
+    places = range(a, b + 1) if b - a <= 2 * EDGE else [
+        *range(a, a + EDGE + 1), *range(b - EDGE, b + 1)]
+    for x, i in enumerate(places):
+        for j in places[x + 1:]:
+            if j - i >= 3:
+                yield i, j
+
+
 def _parts(v: str):
-    """(start, end, cost) of every part of the value that is cheap to guess."""
+    """(start, end, cost) of every part of the value that is cheap to guess; the
+    parts grow with the value's length, also where one run fills it."""
     low, alike, n = v.lower(), v.lower().translate(_ALIKE), len(v)
     ranks, near = _ranks(), _next()
     longest = max(map(len, WORDS))
@@ -92,17 +118,6 @@ def _parts(v: str):
                     changed = log10(2) if v[i:j] != low[i:j] else 0.0
                     yield i, j, log10(ranks[s] + 1) + changed + more
                     break
-        for size in range(1, 5):                       # repeated blocks
-            block, k = v[i:i + size], 1
-            while len(block) == size and v.startswith(block, i + k * size):
-                k += 1
-                if k * size >= 3:
-                    yield i, i + k * size, size + log10(k)
-        j = i
-        while j + 1 < n and low[j:j + 2] in near:      # walks
-            j += 1
-            if j - i >= 2:
-                yield i, j + 1, log10(50) + log10(j - i + 1)
         m = _YEAR.match(v, i)
         if m:
             yield i, m.end(), log10(120)
@@ -111,6 +126,14 @@ def _parts(v: str):
             a, b = (m[3], m[4]) if m[1] else (m[5], m[7])
             if 1 <= min(int(a), int(b)) <= 12 and 1 <= max(int(a), int(b)) <= 31:
                 yield i, m.end(), log10(365 * 120) + (log10(4) if m[2] or m[6] else 0.0)
+    for size in range(1, 5):                           # repeated blocks
+        for a, b in _runs([v[p] == v[p + size] for p in range(n - size)], size):
+            for i, j in _inside(a, b):
+                if (j - i) % size == 0 and j - i > size:
+                    yield i, j, size + log10((j - i) // size)
+    for a, b in _runs([low[p:p + 2] in near for p in range(n - 1)], 1):      # walks
+        for i, j in _inside(a, b):
+            yield i, j, log10(50) + log10(j - i)
 
 
 def guess_cost(value: str) -> float:
