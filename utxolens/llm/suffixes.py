@@ -113,17 +113,28 @@ def anchors(x: np.ndarray, last: np.ndarray, length: int = LENGTH, gram: int = G
     stop = np.r_[first[1:], n] - 1
     keep = valid[first]
     first, stop = first[keep], stop[keep]
-    out = []
+    place = np.empty(len(first), np.int64)
     reach = np.arange(width)
-    while len(first):                                  # a run goes on beyond its minimizer only
-        place = np.empty(len(first), np.int64)         # where the same bytes come again
-        for i in range(0, len(first), 1 << 14):
-            at = first[i:i + (1 << 14)]
-            place[i:i + (1 << 14)] = at + (h[at[:, None] + reach] == least[at][:, None]).argmax(axis=1)
-        out.append((least[first], place, first, np.minimum(stop, place)))
-        on = place < stop
-        first, stop = place[on] + 1, stop[on]
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.uint64), none, none, none)
+    for i in range(0, len(first), 1 << 14):
+        at = first[i:i + (1 << 14)]
+        place[i:i + (1 << 14)] = at + (h[at[:, None] + reach] == least[at][:, None]).argmax(axis=1)
+    out = [(least[first], place, first, np.minimum(stop, place))]
+    # where the same bytes come again, a run goes on beyond its minimizer: each
+    # further occurrence owns the windows after the one before
+    on = place < stop
+    first, stop, place = first[on], stop[on], place[on]
+    many = stop + width - 1 - place
+    run = np.repeat(np.arange(len(first)), many)
+    p = place[run] + 1 + np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many)
+    hit = h[p] == least[first][run]
+    run, p = run[hit], p[hit]
+    previous = np.r_[0, p[:-1]][:len(p)]
+    begins = np.r_[True, run[1:] != run[:-1]][:len(p)]
+    previous[begins] = place[run[begins]]
+    own = previous < stop[run]
+    run, p, previous = run[own], p[own], previous[own]
+    out.append((least[first][run], p, previous + 1, np.minimum(stop[run], p)))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def pieces(texts: list[bytes], length: int = LENGTH, size: int = PIECE):
