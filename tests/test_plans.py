@@ -84,3 +84,20 @@ def test_address_queries_scan_once(spark):
             assert "SortAggregate" not in p and "BroadcastExchange" not in p
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_recent_nested_blocks_prune_months(spark, tmp_path):
+    from utxolens.operators import blocks
+
+    day = 86400
+    path = str(tmp_path / "blocks")
+    (spark.createDataFrame([(f"b{d}", d * day) for d in range(0, 120, 10)], "block_hash string, t int")
+     .withColumn("month", F.date_format(F.timestamp_seconds("t"), "yyyy-MM"))
+     .write.partitionBy("month").parquet(path))
+    b = spark.read.parquet(path)
+    out = blocks.recent_blocks_nested(b, 30)
+    assert sorted(r.t // day for r in out.collect()) == [90, 100, 110]
+    filters = [x.split("], PushedFilters")[0] for x in _plan(out).split("PartitionFilters: [")[1:]]
+    assert any("month" in x for x in filters)
+    plain = b.drop("month")
+    assert blocks.recent_blocks_nested(plain, 30).count() == 3
