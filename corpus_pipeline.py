@@ -22,7 +22,7 @@ TARGETS = {"toxic": 0.05}
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio."""
     ship_package(spark)
-    kept = quality.quality(docs, table(spark, sf_dir, "labels"))
+    kept = quality.quality(docs, table(spark, sf_dir, "labels"), once=True)
     return kept.where("kept").select(*docs.columns)
 
 

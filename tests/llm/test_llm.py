@@ -99,6 +99,43 @@ def test_quality_query_brute_force(spark):
         assert tuple(r)[1:7] == brute_quality(docs[r.doc_id])
 
 
+@pytest.mark.parametrize("near", [False, True])
+def test_quality_keeps_copied_clean_texts(spark, tmp_path, near):
+    sf = SF_SMALL.replace("0.001", "0.01")
+    docs, lab = table(spark, sf, "documents"), table(spark, sf, "labels")
+    known = {r.doc_id for r in lab.collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    pick = sorted((-r.llr, r.doc_id) for r in queries.op1_quality(spark, sf).collect()
+                  if r.kept and r.doc_id not in known and 150 <= r.n_words <= 400)
+    own = text[pick[len(pick) // 2][1]].split(" ")
+    rng, total = random.Random(3), len(text)
+    for n in (total // 50, total // 2):                # 2 % and a third of all rows
+        rows = []
+        for i in range(n):
+            w = list(own)
+            if near:
+                w[rng.randrange(len(w))] = f"other{i}"
+            rows.append((10_000_000 + i, " ".join(w)))
+        more = spark.createDataFrame(rows, "doc_id bigint, text string")
+        sf_dir = f"{tmp_path}/{n}"
+        docs.unionByName(more, allowMissingColumns=True).write.parquet(f"{sf_dir}/documents.parquet")
+        lab.write.parquet(f"{sf_dir}/labels.parquet")
+        got = [r for r in queries.op1_quality(spark, sf_dir).collect() if r.doc_id >= 10_000_000]
+        assert len(got) == n and all(r.kept for r in got), (n, min(r.llr for r in got))
+
+
+def test_quality_weights_of_texts(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(base)), (2, " ".join(base)), (2, " ".join(base)), (3, " ".join([*base, "end"])),
+            (4, " ".join(f"v{i}" for i in range(60))), (5, None), (None, ""), (6, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    keys = spark.createDataFrame([(2, 1), (4, 1)], "_key bigint, _target int")
+    got = [(round(r._weight, 6), r._target) for r in quality.text_weights(docs, keys).collect()]
+    # three equal rows beside a near copy; the near copy; a trusted text; two empty rows; a short one
+    assert sorted(got, key=str) == sorted(
+        [(round(1 / 6, 6), 1), (0.5, None), (1.0, 1), (0.5, None), (1.0, None)], key=str)
+
+
 def test_sharding(spark, odd):
     df = odd.select("doc_id", "text", "shard")
     weights = [1.0, 2.0, 1.0]

@@ -6,6 +6,14 @@ are given as trusted), one of the whole raw corpus. A document's verdict is
 its log-likelihood ratio divided by its number of n-grams, held against a
 fixed threshold; nothing is sampled, so equal texts get equal verdicts.
 
+With ``once``, as the queries have it, all documents count but each text weighs
+once in both multinomials, however many copies it has: the equal texts share a
+weight of one (trusted if one of their rows is), and so do near copies. A copy
+group would else shift the raw side alone and reject itself. Texts count as near
+copies by their ``MARKS`` smallest hashes of ``RUN`` words in a row: the middle
+one of the numbers of texts with each mark is the size of the group, so one
+passage in common does not make texts near copies.
+
 Only built-in Spark functions run here. Counting explodes the hashed n-grams
 and sums them per bucket (map-side first, at most ``buckets`` rows per task);
 scoring is a projection without a shuffle, against the model of ``buckets``
@@ -32,6 +40,8 @@ THRESHOLD = -0.1          # least log-likelihood ratio per n-gram of a kept docu
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8                # words of a window that counts as repeated
+RUN = 4                   # words of a run that near copies have in common
+MARKS = 8                 # run hashes kept of a text
 
 _TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
@@ -51,21 +61,68 @@ def ngram_buckets(text: str, buckets: int = BUCKETS) -> Column:
     return let(tokens, both)
 
 
+def run_marks(text: str) -> Column:
+    """The ``MARKS`` smallest hashes of the text's runs of ``RUN`` words."""
+    def pairs(h: Column, step: int) -> Column:
+        n = F.greatest(F.size(h) - step, F.lit(0))
+        return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(1 + step), n),
+                          lambda a, b: F.xxhash64(a, b))
+
+    one = F.transform(words(text), lambda w: F.xxhash64(w))
+    runs = let(one, lambda h: let(pairs(h, 1), lambda g: pairs(g, RUN // 2)))
+    return F.slice(F.sort_array(F.array_distinct(runs)), 1, MARKS)
+
+
+def text_weights(docs: DataFrame, keys: DataFrame, *, key: str = "doc_id",
+                 text: str = "text") -> DataFrame:
+    """(_hash, _weight, _target) of each distinct text: the weight of each of its
+    rows, and whether a row of it is trusted. ``keys`` has the trusted ``_key``.
+
+    Only hashes are moved; tables are written so that the rows of one id or one
+    mark can be split in the joins."""
+    spark = docs.sparkSession
+    rows = materialize(spark, docs.select(
+        F.col(key).alias("_id"), F.xxhash64(text_or_empty(text)).alias("_hash"),
+        run_marks(text).alias("_marks")), "text_hashes")
+    texts = rows.join(keys, F.col("_id") == F.col("_key"), "left").groupBy("_hash").agg(
+        F.count(F.lit(1)).alias("_rows"), F.max("_target").alias("_target"))
+    marked = materialize(spark, rows.select("_hash", F.explode("_marks").alias("_mark")).distinct(),
+                         "text_marks")
+    shared = materialize(spark, marked.groupBy("_mark").agg(F.count(F.lit(1)).alias("_texts"))
+                         .where("_texts > 1").withColumnRenamed("_mark", "_other"),
+                         "shared_marks").hint("shuffle_hash")
+    near = (marked.join(shared, F.col("_mark") == F.col("_other"), "left").groupBy("_hash")
+            .agg(F.sort_array(F.collect_list(F.coalesce("_texts", F.lit(1)))).alias("n"))
+            .select(F.col("_hash").alias("_same"),
+                    F.get("n", F.floor(F.size("n") / 2).cast("int")).alias("_group")))
+    return materialize(spark, texts.join(near, F.col("_hash") == F.col("_same"), "left").select(
+        "_hash", (1.0 / (F.col("_rows") * F.coalesce("_group", F.lit(1)))).alias("_weight"),
+        "_target"), "text_weights")
+
+
 def fit_ratio(docs: DataFrame, trusted: DataFrame, *, key: str = "doc_id", text: str = "text",
-              buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
+              buckets: int = BUCKETS, smoothing: float = SMOOTHING, once: bool = False) -> list[float]:
     """``buckets`` log ratios of target to raw class probabilities.
 
     ``trusted`` has the keys of the target documents. All documents count:
-    the raw side is every document, the target side every trusted one."""
+    the raw side is every document, the target side every trusted one; with
+    ``once`` the copies of a text, near ones too, weigh as one document."""
     # written, so that many rows with one (or no) id can be split in the join
     keys = materialize(docs.sparkSession, trusted.select(F.col(key).alias("_key"))
                        .where("_key is not null").distinct(), "trusted").withColumn(
         "_target", F.lit(1)).hint("shuffle_hash")
-    feats = (docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-             .join(keys, F.col("_id") == F.col("_key"), "left")
-             .select("_target", F.explode(ngram_buckets("_text", buckets)).alias("bucket")))
-    counts = feats.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"),
-                                         F.count("_target").alias("target")).collect()
+    if once:
+        weights = text_weights(docs, keys, key=key, text=text).withColumnRenamed(
+            "_hash", "_same").hint("shuffle_hash")
+        rows = (docs.select(F.xxhash64(text_or_empty(text)).alias("_hash"), F.col(text).alias("_text"))
+                .join(weights, F.col("_hash") == F.col("_same"), "left"))
+    else:
+        rows = (docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+                .join(keys, F.col("_id") == F.col("_key"), "left").withColumn("_weight", F.lit(1.0)))
+    feats = rows.select("_target", "_weight", F.explode(ngram_buckets("_text", buckets)).alias("bucket"))
+    counts = feats.groupBy("bucket").agg(
+        F.sum("_weight").alias("raw"),
+        F.sum(F.when(F.col("_target") == 1, F.col("_weight")).otherwise(0.0)).alias("target")).collect()
     raw, target = [smoothing] * buckets, [smoothing] * buckets
     for r in counts:                                   # at most ``buckets`` rows
         raw[r.bucket] += r.raw
@@ -137,11 +194,12 @@ def trusted_keys(labels: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame, *, text: str = "text",
-            threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
-    """Documents with their counts, ``llr`` and the verdict ``kept``."""
+            threshold: float = THRESHOLD, buckets: int = BUCKETS, once: bool = False) -> DataFrame:
+    """Documents with their counts, ``llr`` and the verdict ``kept``; ``once``
+    as in ``fit_ratio``."""
     own = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
            "base_failed", "llr", "kept"}
     docs = docs.drop(*[c for c in docs.columns if c in own])
-    model = fit_ratio(docs, trusted_keys(labels), text=text, buckets=buckets)
+    model = fit_ratio(docs, trusted_keys(labels), text=text, buckets=buckets, once=once)
     return with_ratio(with_rules(docs, text=text), model, text=text).withColumn(
         "kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False)))

@@ -17,7 +17,8 @@ TARGETS = {"junk": 0.3, "toxic": 0.1}
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    docs = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                           once=True)
     return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                        "n_repeat_words", "base_failed", "kept", "llr")
 
