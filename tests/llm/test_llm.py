@@ -479,6 +479,28 @@ def test_guess_costs():
     assert cost("aaaaaaaaaaaaaaaa") < 5 and cost("qwertyuiop") < 5 and cost("20190405") < 8
 
 
+@pytest.mark.parametrize("text,value", [
+    ("pwd: gT7#kQ2z", "gT7#kQ2z"), ("login: Zr8!pW4q", "Zr8!pW4q"), ("password=Xk9$2pQ7", "Xk9$2pQ7"),
+    ("pwd: aB3$xY", "aB3$xY"), ("pwd: 8Rk2Wd", "8Rk2Wd"), ("secret: v9#Lq0T", "v9#Lq0T"),
+    ("auth: gT7#blue2z", "gT7#blue2z")])
+def test_short_random_values_are_found(text, value):
+    assert [text[s:e] for s, k, e, *_ in secretscan.find(text) if k == 3] == [value]
+
+
+def test_short_random_values_are_redacted(spark):
+    docs = spark.createDataFrame([(1, "pwd: gT7#kQ2z and"), (2, "login: required")], "doc_id int, text string")
+    assert {r.doc_id: r.text for r in secretscan.redact(docs).collect()} == {
+        1: f"pwd: {secretscan.MARK} and", 2: "login: required"}
+
+
+@pytest.mark.parametrize("value", [
+    "required", "Required", "REQUIRED", "section2", "user123", "start_pos", "Jean-Paul", "10.0.0.15",
+    "getToken", "myFieldId", "password1", "Summer2019", "2019-04-05", "aaaaaaaa", "qwerty12", "123456",
+    "file/path", "optional", "Passw0rd!"])
+def test_ordinary_short_values_stay_clean(value):
+    assert secretscan.find(f"pwd: {value}") == [] and secretscan.find(f"login: {value}.") == []
+
+
 def test_licences(spark, odd):
     rows = {r.doc_id: r for r in licences.scan(odd).collect()}
     r = rows[11]

@@ -8,6 +8,10 @@ parts, of the base-10 logarithm of the guesses each part takes: common words
 (also capitalised or with look-alike digits), dates, repeated blocks, walks
 along keyboard rows, alphabet or digits, and brute force for the rest. One pass
 over the value finds the least sum at every place (dynamic programming).
+Brute force of a character takes as many guesses as the classes of characters
+in the value have members (``prices``), so six mixed characters can be a secret;
+letters that look like a word, and the joiners of names, paths and numbers, take
+ten.
 
 Texts are scanned whole, a row at a time inside Arrow batches; nothing is
 shuffled. Positions are code points, ends exclusive.
@@ -68,6 +72,11 @@ _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./",
          "abcdefghijklmnopqrstuvwxyz", "0123456789")
 _DATE = re.compile(r"(?:(\d{4})([-/._]?)(\d{1,2})\2(\d{1,2})|(\d{1,2})([-/._]?)(\d{1,2})\6(\d{4}|\d{2}))")
 _YEAR = re.compile(r"(?:19|20)\d\d")
+_JOINERS = "._-:/@"
+_PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_VOWEL = re.compile(r"[aeiouy]", re.I)
+_CLASSES = ((re.compile(r"[a-z]"), 26), (re.compile(r"[A-Z]"), 26), (re.compile(r"[0-9]"), 10),
+            (re.compile(rf"[^A-Za-z0-9{re.escape(_JOINERS)}]"), 33))
 
 
 @lru_cache(maxsize=1)
@@ -136,15 +145,29 @@ def _parts(v: str):
             yield i, j, log10(50) + log10(j - i)
 
 
-def guess_cost(value: str) -> float:
-    """Least log10 of guesses over all segmentations of the value."""
+def prices(value: str) -> list[float]:
+    """log10 of the guesses that brute force takes for each character: the size
+    of the value's classes together; ten guesses for a joiner and for a letter of
+    a piece of three or more that has a vowel and the case of a word."""
+    size = sum(n for c, n in _CLASSES if c.search(value))
+    out = [1.0 if c in _JOINERS else max(1.0, log10(max(size, 1))) for c in value]
+    for m in _PIECE.finditer(value):
+        if m.end() - m.start() >= 3 and _VOWEL.search(m[0]):
+            out[m.start():m.end()] = [1.0] * (m.end() - m.start())
+    return out
+
+
+def guess_cost(value: str, each: list[float] | None = None) -> float:
+    """Least log10 of guesses over all segmentations of the value; ``each`` has
+    brute force's price of every character, 1 if not given."""
     n = len(value)
+    each = [1.0] * n if each is None else each
     ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
     for i, j, c in _parts(value):
         ending[j].append((i, c))
     best = [0.0] + [inf] * n
     for j in range(1, n + 1):
-        best[j] = best[j - 1] + 1.0                    # brute force: ten guesses a character
+        best[j] = best[j - 1] + each[j - 1]            # brute force
         for i, c in ending[j]:
             best[j] = min(best[j], best[i] + c)
     return best[n]
@@ -163,7 +186,7 @@ def find(text: str, cost: float = COST) -> list[tuple[int, int, int, int, float
     if any(x in low for x in _HINTS):
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".)]}!?#*$%&|")
-            c = guess_cost(value) if len(value) >= 6 else 0.0
+            c = guess_cost(value, prices(value)) if len(value) >= 6 else 0.0
             if c >= cost:
                 s = m.start(1)
                 out.append((s, 3, s + len(value), s, c))
