@@ -45,7 +45,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate, rounded half up, says."""
     ship_package(spark)
-    return mixing.resample(docs, mixing.label_domains(table(spark, sf_dir, "labels")), TARGETS)
+    return mixing.resample(docs, mixing.label_domains(table(spark, sf_dir, "labels")), TARGETS,
+                           half_up=True)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -236,6 +236,28 @@ def test_mixing_meets_targets_and_separates(spark):
     assert (h.domain == h.domain_true).mean() > 0.9    # held-out accuracy
 
 
+def test_mixing_copies_meet_targets(spark):
+    sf = SF_SMALL.replace("0.001", "0.1")
+    docs, lab = table(spark, sf, "documents"), mixing.label_domains(table(spark, sf, "labels"))
+    want = {"junk": 0.3, "toxic": 0.1}
+    m = mixing.mix(docs, lab, want).toPandas()
+    p, n, c = np.array(m.p.tolist()), m.n_tokens.values, m.copies.values
+    now, made = n @ p, (n * c) @ p                     # clean, junk, toxic
+    spread = np.sqrt((n * n * (m.rate % 1) * (1 - m.rate % 1)).values @ (p * p))
+    assert (np.abs(made - now * [1, 0.3, 0.1]) <= 4 * spread + 1e-3 * now).all()
+    assert (c[m.domain == "junk"] > 0).any()
+    made = mixing.resample(docs, lab, want).groupBy("doc_id").count().toPandas()
+    assert dict(zip(made.doc_id, made["count"])) == dict(zip(m.doc_id[c > 0], c[c > 0]))
+
+
+def test_copies_of_equal_and_other_rows():
+    marks = np.random.default_rng(4).integers(-2 ** 63, 2 ** 63, 4000)
+    assert abs(mixing._copies(np.full(4000, 0.3), marks).mean() - 0.3) < 0.03
+    assert abs(mixing._copies(np.full(4000, 2.6), marks).mean() - 2.6) < 0.03
+    assert abs(mixing._copies(np.full(4000, 0.3), np.full(4000, 7)).mean() - 0.3) < 0.01
+    assert (mixing._copies(np.ones(4000), marks) == 1).all() and len(mixing._copies(np.zeros(0), marks[:0])) == 0
+
+
 def test_projected_steps_match_dense_solution():
     rng = np.random.default_rng(5)
     p, n = rng.dirichlet([1, 1, 1], 300), rng.integers(1, 50, 300).astype(float)

@@ -12,6 +12,12 @@ A step needs all gaps so far and the document's own row only. So an iteration
 is one pass over the narrow posterior table that replays the gaps and returns
 one number per domain; no rates are stored or shuffled between iterations.
 
+A rate is made copies by its whole part, and one more where a hash of the
+document's id and text in [0, 1) is below the rest: the expected copies are the
+rate, so what is made meets the targets too, up to the spread of the draws.
+Rows equal in id and text would draw alike; those of a batch are spread over
+[0, 1) instead, so which of several equal rows is taken follows the batches.
+
 Edge cases: null or blank texts have no tokens and the class shares as
 posteriors; labels of missing documents, null labels and null ids are left out;
 repeated rows each have their rate; without labels there is one domain,
@@ -25,7 +31,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -140,8 +146,29 @@ def _judge(texts: list[str], place: dict[str, int], w: np.ndarray, domains: int)
     return z / z.sum(axis=1, keepdims=True)
 
 
+def _mark(key: str, text: str) -> Column:
+    return F.xxhash64(F.col(key), text_or_empty(text))
+
+
+def _copies(rates: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Copies of a batch's rows: the rate's whole part, one more where the draw
+    is below the rest. The draw is the mark as a number in [0, 1); of rows with
+    one mark, each next one is moved on by the golden section."""
+    at = np.argsort(marks, kind="stable")
+    ordered = marks[at]
+    starts = np.r_[True, ordered[1:] != ordered[:-1]] if len(at) else np.zeros(0, bool)
+    place = np.arange(len(at))
+    turn = np.empty(len(at))
+    turn[at] = place - np.maximum.accumulate(np.where(starts, place, 0))
+    draw = ((marks.astype(np.int64).view(np.uint64) >> np.uint64(11)) * 2.0 ** -53
+            + turn * (np.sqrt(5) - 1) / 2) % 1.0
+    whole = np.floor(rates)
+    return (whole + (draw < rates - whole)).astype(np.int32)
+
+
 def posteriors(docs: DataFrame, model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, p): word count and domain posteriors of each document."""
+    """(key, n_tokens, p, mark): word count and domain posteriors of each
+    document, and the hash of its id and text."""
     names, place, w = model
     kind = dict(docs.dtypes)[key]
 
@@ -151,11 +178,12 @@ def posteriors(docs: DataFrame, model, *, key: str = "doc_id", text: str = "text
             n = np.array([len(t.split()) for t in texts], np.int64)
             z = _judge(texts, place, w, len(names))
             yield pa.RecordBatch.from_arrays(
-                [b.column("key"), pa.array(n), pa.array(list(z), pa.list_(pa.float64()))],
-                names=["key", "n_tokens", "p"])
+                [b.column("key"), pa.array(n), pa.array(list(z), pa.list_(pa.float64())),
+                 b.column("mark")], names=["key", "n_tokens", "p", "mark"])
 
-    return (docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
-            .mapInArrow(judge, f"key {kind}, n_tokens bigint, p array<double>")
+    return (docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"),
+                        _mark(key, text).alias("mark"))
+            .mapInArrow(judge, f"key {kind}, n_tokens bigint, p array<double>, mark bigint")
             .withColumnRenamed("key", key))
 
 
@@ -213,18 +241,21 @@ def _fitted(docs: DataFrame, domains: DataFrame, target: Mapping[str, float], ke
 
 
 def resample(docs: DataFrame, domains: DataFrame, target: Mapping[str, float], *,
-             key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, each as often as its rate, rounded half up, says. The
-    model judges each row where it is, so texts are not moved."""
+             key: str = "doc_id", text: str = "text", half_up: bool = False) -> DataFrame:
+    """The documents, each as often as its copies say. The model judges each row
+    where it is, so texts are not moved. ``half_up`` rounds the rate half up: that
+    misses targets, but repeats or drops no document whose rate is near one."""
     _, _, turns, model = _fitted(docs, domains, target, key, text)
     names, place, w = model
 
     @arrow_udf(T.IntegerType())
-    def copies(texts: pa.Array) -> pa.Array:
+    def copies(texts: pa.Array, marks: pa.Array) -> pa.Array:
         p = _judge(texts.to_pylist(), place, w, len(names))
-        return pa.array(np.floor(_replay(p, turns) + 0.5).astype(np.int32))
+        rates = _replay(p, turns)
+        return pa.array(np.floor(rates + 0.5).astype(np.int32) if half_up
+                        else _copies(rates, marks.to_numpy(zero_copy_only=False)))
 
-    return (docs.withColumn("_copies", copies(text_or_empty(text))).where("_copies > 0")
+    return (docs.withColumn("_copies", copies(text_or_empty(text), _mark(key, text))).where("_copies > 0")
             .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
             .select(*docs.columns))
 
@@ -234,7 +265,7 @@ def mix(docs: DataFrame, domains: DataFrame, target: Mapping[str, float], *,
     """(key, n_tokens, domain, posterior, rate, copies, p) of every document.
 
     ``target`` gives each domain's wanted total as a share of its expected
-    tokens now (1 if not named). ``copies`` is the rate rounded half up."""
+    tokens now (1 if not named). ``copies`` has the rate as its expectation."""
     names, table, turns, _ = _fitted(docs, domains, target, key, text)
     kind = dict(docs.dtypes)[key]
 
@@ -246,7 +277,8 @@ def mix(docs: DataFrame, domains: DataFrame, target: Mapping[str, float], *,
             yield pa.RecordBatch.from_arrays(
                 [b.column(key), b.column("n_tokens"), pa.array([names[i] for i in top], pa.string()),
                  pa.array(p[np.arange(len(p)), top]), pa.array(w),
-                 pa.array(np.floor(w + 0.5).astype(np.int32)), b.column("p")],
+                 pa.array(_copies(w, b.column("mark").to_numpy(zero_copy_only=False))),
+                 b.column("p")],
                 names=["key", "n_tokens", "domain", "posterior", "rate", "copies", "p"])
 
     return table.mapInArrow(rate, f"key {kind}, n_tokens bigint, domain string, posterior double, "
