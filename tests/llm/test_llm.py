@@ -236,6 +236,17 @@ def test_mixing_meets_targets_and_separates(spark):
     assert (h.domain == h.domain_true).mean() > 0.9    # held-out accuracy
 
 
+def test_mixing_sample_has_one_row_of_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(1, "text 0")] * 50 + [(2, "b"), (3, None)],
+                                 "doc_id bigint, text string")
+    domains = spark.createDataFrame([(1, "clean"), (2, "junk"), (3, "junk")], "doc_id bigint, domain string")
+    rows, sizes = mixing.sample(docs, domains, "doc_id", "text")
+    got = sorted(map(tuple, rows.collect()))
+    assert len(got) == 3 and got[1:] == [("junk", ""), ("junk", "b")] and sizes == {"clean": 1, "junk": 2}
+    again, _ = mixing.sample(docs.repartition(5), domains, "doc_id", "text")
+    assert got == sorted(map(tuple, again.collect()))
+
+
 def test_mixing_copies_meet_targets(spark):
     sf = SF_SMALL.replace("0.001", "0.1")
     docs, lab = table(spark, sf, "documents"), mixing.label_domains(table(spark, sf, "labels"))

@@ -57,8 +57,9 @@ def tokens(text: str) -> list[str]:
 def sample(docs: DataFrame, domains: DataFrame, key: str, text: str
            ) -> tuple[DataFrame, dict[str, int]]:
     """Labelled documents (domain, text), at most ``PER_DOMAIN`` of each: those
-    with the smallest hash of their id, so the same at every run. Also how many
-    documents are labelled with each domain."""
+    with the smallest hash of their id, so the same at every run. Of several rows
+    of an id the text with the smallest hash is taken. Also how many documents
+    are labelled with each domain."""
     spark = docs.sparkSession
     known = domains.where(f"`{key}` is not null and domain is not null").groupBy(key).agg(
         F.min("domain").alias("domain"))
@@ -73,9 +74,12 @@ def sample(docs: DataFrame, domains: DataFrame, key: str, text: str
     if picked is None:
         return spark.createDataFrame([], "domain string, text string"), sizes
     ids = picked.select(F.col(key).alias("_key"), "domain")
-    # at most MAX_DOMAINS * PER_DOMAIN ids
-    return materialize(spark, docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("text"))
-                       .join(F.broadcast(ids), "_key").select("domain", "text"), "labelled"), sizes
+    # at most MAX_DOMAINS * PER_DOMAIN ids, and as many rows: one of an id leaves a task
+    rows = docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("text")).join(
+        F.broadcast(ids), "_key")
+    return materialize(spark, rows.groupBy("_key", "domain").agg(
+        F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+        .select("domain", F.col("least.text").alias("text")), "labelled"), sizes
 
 
 def fit(labelled: DataFrame, known: Mapping[str, int]) -> tuple[list[str], dict[str, int], np.ndarray]:
