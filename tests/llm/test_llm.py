@@ -247,6 +247,16 @@ def test_mixing_sample_has_one_row_of_an_id(spark):
     assert got == sorted(map(tuple, again.collect()))
 
 
+def test_mixing_sample_leaves_out_labels_of_missing_documents(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PER_DOMAIN", 3)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(100, 110)], "doc_id bigint, text string")
+    domains = spark.createDataFrame([(i, "junk" if i % 2 else "clean") for i in range(200)],
+                                    "doc_id bigint, domain string")
+    rows, sizes = mixing.sample(docs, domains, "doc_id", "text")
+    assert sizes == {"clean": 5, "junk": 5}
+    assert [r.domain for r in sorted(rows.collect())] == ["clean"] * 3 + ["junk"] * 3
+
+
 def test_mixing_copies_meet_targets(spark):
     sf = SF_SMALL.replace("0.001", "0.1")
     docs, lab = table(spark, sf, "documents"), mixing.label_domains(table(spark, sf, "labels"))

@@ -58,11 +58,13 @@ def sample(docs: DataFrame, domains: DataFrame, key: str, text: str
            ) -> tuple[DataFrame, dict[str, int]]:
     """Labelled documents (domain, text), at most ``PER_DOMAIN`` of each: those
     with the smallest hash of their id, so the same at every run. Of several rows
-    of an id the text with the smallest hash is taken. Also how many documents
-    are labelled with each domain."""
+    of an id the text with the smallest hash is taken. Also how many ids of the
+    documents are labelled with each domain; labels of other ids are left out."""
     spark = docs.sparkSession
     known = domains.where(f"`{key}` is not null and domain is not null").groupBy(key).agg(
         F.min("domain").alias("domain"))
+    here = docs.select(F.col(key).alias("_key")).where("_key is not null").distinct()
+    known = materialize(spark, known.join(here, F.col(key) == F.col("_key"), "left_semi"), "known")
     sizes = {r.domain: r["count"] for r in
              known.groupBy("domain").count().limit(MAX_DOMAINS + 1).collect()}
     if len(sizes) > MAX_DOMAINS:
