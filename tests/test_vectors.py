@@ -88,6 +88,15 @@ def test_base58_of_any_length(spark):
         assert r["b"] == (None if r["h"] is None else b58encode(bytes.fromhex(r["h"]))), r
 
 
+def test_base58_of_odd_and_illegal_hex(spark):
+    texts = ["f", "00f", "A", "0", "", None, "zz", "a b", "6162\u00e9"]
+    rows = spark.createDataFrame([(t,) for t in texts], "h string").select(
+        "h", enc.base58_hex(F.col("h")).alias("b")).collect()
+    want = {"f": "G", "00f": "1G", "A": "B", "0": "1", "": ""}
+    for r in rows:
+        assert r.b == want.get(r.h), r.h
+
+
 def test_decode_checked():
     assert decode_checked("1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa") == (True, 0, GENESIS_HASH160)
     assert decode_checked("1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNb")[0] is False

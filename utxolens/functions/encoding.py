@@ -5,6 +5,8 @@ Hex strings are lower case. Nothing here leaves the JVM.
 
 from __future__ import annotations
 
+import binascii
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -74,15 +76,26 @@ def _base58_rows(raw: np.ndarray) -> list[str]:
     return [r.decode().lstrip("1") for r in text.view(f"S{text.shape[1]}").ravel()]
 
 
+def _bytes_of_hex(h: str | None) -> bytes | None:
+    """Bytes of a hex text; an odd digit in front is a byte of its own, as in
+    ``unhex``. None for NULL and for texts with any other character."""
+    if h is None or h != h:
+        return None
+    try:
+        return binascii.unhexlify(h if len(h) % 2 == 0 else "0" + h)
+    except ValueError:
+        return None
+
+
 def base58_encode_batch(hex_values: pd.Series) -> pd.Series:
-    """Base58 text for a batch of hex byte strings of any length (NULL stays
-    NULL). Leading zero bytes become leading ones; rows whose other bytes are
-    equally many are converted together."""
+    """Base58 text for a batch of hex byte strings of any length (NULL and
+    texts that are not hex give NULL). Leading zero bytes become leading ones;
+    rows whose other bytes are equally many are converted together."""
     out = np.full(len(hex_values), None, dtype=object)
     by_size: dict[int, list[tuple[int, int, bytes]]] = {}
     for i, h in enumerate(hex_values):
-        if h is not None and h == h:
-            whole = bytes.fromhex(h)
+        whole = _bytes_of_hex(h)
+        if whole is not None:
             rest = whole.lstrip(b"\x00")
             by_size.setdefault(len(rest), []).append((i, len(whole) - len(rest), rest))
     for size, rows in by_size.items():
@@ -98,7 +111,8 @@ def _base58_udf(s: pd.Series) -> pd.Series:
 
 
 def base58_hex(hex_col: Column) -> Column:
-    """Base58 text of a hex byte string column of any length; NULL stays NULL."""
+    """Base58 text of a hex byte string column of any length; NULL and
+    texts that are not hex give NULL."""
     return _base58_udf(hex_col)
 
 
