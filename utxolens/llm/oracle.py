@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .licences import COVER, K, PHRASES, SLACK, STRETCH, TEMPLATES
+from .phrases import FACTOR, INSIDE, LEAST, LONGEST, TOP
 from .queries import SHARDS
 from .sharding import DIGITS
 
@@ -73,5 +74,42 @@ select w.doc_id, len(w.w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_b
 from w left join bases using (doc_id) left join good using (doc_id)"""
 
 
+def op12_phrases() -> str:
+    grams = " union all ".join(
+        f"select lang, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: w[i : i + {n - 1}])) as ws from seq"
+        for n in range(2, LONGEST + 1))
+    return rf"""
+with pieces as (select coalesce(lang, 'und') as lang,
+        unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) as piece from documents),
+seq as (select lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') as w
+        from pieces),
+uni as (select lang, [w] as ws, count(*) as f from (select lang, unnest(w) as w from seq) group by all),
+total as (select lang, sum(f)::bigint as n from uni group by lang),
+cand as (select lang, ws, count(*) as f from ({grams}) group by all having count(*) >= {LEAST}),
+part as (select * from uni where f >= {LEAST} union all select * from cand),
+cut as (select lang, ws, f, unnest(range(1, len(ws))) as k from cand),
+scored as (select cut.lang, cut.ws, cut.f as a, k, l.f as l, r.f as r,
+        ({FACTOR}::hugeint * cut.f) // (l.f + r.f) as score
+        from cut join part l on l.lang = cut.lang and l.ws = cut.ws[1:k]
+        join part r on r.lang = cut.lang and r.ws = cut.ws[k+1:len(cut.ws)]),
+low as (select * from scored
+        qualify row_number() over (partition by lang, ws order by score, k) = 1),
+inner_ as (select lang, ws as big, f, unnest(range(2, len(ws))) as size from cand),
+sub as (select lang, f, big[s : s + size - 1] as ws from
+        (select *, unnest(range(1, len(big) - size + 2)) as s from inner_)),
+top as (select lang, ws, max(f) as longer from sub group by all),
+kept as (select low.* from low left join top using (lang, ws)
+         where longer is null or 100::hugeint * longer < {INSIDE}::hugeint * a),
+named as (select *, array_to_string(ws, ' ') as phrase from kept),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank
+           from named)
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n,
+       score::bigint as score
+from ranked join total using (lang) where rank <= {TOP}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": op2_sharding(), "op10_licences": op10_licences()}
+    return {"op2_sharding": op2_sharding(), "op10_licences": op10_licences(),
+            "op12_phrases": op12_phrases()}

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (ann, bpe, licences, mixing, quality, secretscan, sharding, simhash, suffixes, tokenfile)
+from . import (ann, bpe, licences, mixing, phrases, quality, secretscan, sharding, simhash, suffixes,
+               tokenfile, whitening)
 from .common import materialize, table, text_or_empty
 
 SHARDS = 40
@@ -100,6 +101,18 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    # from some millions of vectors on a deviation can pass 64 bits: then null there, whole beside it
+    return out.select("vec_id", "component", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"),
+                      "whitened", "explained", "identity_error",
+                      F.col("deviation").alias("deviation_whole"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -108,4 +121,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_sharding, op3_nearest, op4_mixing, op5_simhash, op6_bpe, op7_suffixes,
-    op8_tokenfile, op9_secrets, op10_licences, pipeline)}
+    op8_tokenfile, op9_secrets, op10_licences, op12_phrases, op13_whitening, pipeline)}
