@@ -8,10 +8,15 @@ parses scripts (Arrow batches); everything around it is native.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scripts as S
+from ..functions import scriptscan as V
 from ..functions.address import script_type
 from ..functions.encoding import hex_lower
 from . import utxo
@@ -21,8 +26,8 @@ KEY = ["tx_hash", "idx"]
 
 def block_script_structs(elements: DataFrame) -> DataFrame:
     """``blockId, scriptStruct`` for every input and output."""
-    return elements.select(F.col("block_hash").alias("blockId"),
-                           S.script_structure(F.col("script")).alias("scriptStruct"))
+    return S.with_structure(elements.select(F.col("block_hash").alias("blockId"), "script"),
+                            "script", "scriptStruct").drop("script")
 
 
 def blocks_without_opcodes(elements: DataFrame, k: int = 30) -> DataFrame:
@@ -41,7 +46,7 @@ def blocks_without_opcodes(elements: DataFrame, k: int = 30) -> DataFrame:
 def script_distribution(elements: DataFrame) -> DataFrame:
     """``scriptType, count``: structure strings over all outputs."""
     outs = elements.where(F.col("type") == 1)
-    return (outs.select(S.script_structure(F.col("script")).alias("scriptType"))
+    return (S.with_structure(outs.select("script"), "script", "scriptType")
                 .groupBy("scriptType").agg(F.count(F.lit(1)).alias("count"))
                 .orderBy("count", "scriptType"))
 
@@ -49,7 +54,7 @@ def script_distribution(elements: DataFrame) -> DataFrame:
 def unspent_script_types(elements: DataFrame, compact_keys: bool = False) -> DataFrame:
     """``scriptStruct, count``: structure strings over unspent outputs."""
     u = utxo.unspent_outputs(elements.select("type", *KEY, "script"), compact_keys)
-    return (u.select(S.script_structure(F.col("script")).alias("scriptStruct"))
+    return (S.with_structure(u.select("script"), "script", "scriptStruct")
              .groupBy("scriptStruct").agg(F.count(F.lit(1)).alias("count")))
 
 
@@ -60,29 +65,29 @@ def script_type_distribution(elements: DataFrame) -> DataFrame:
                 .groupBy("script_type").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _parsed(elements: DataFrame) -> DataFrame:
-    return elements.withColumn("_p", S.parsed_script(F.col("script")))
-
-
 def script_chunks(elements: DataFrame) -> DataFrame:
     """One row per chunk of every well-formed script:
     ``type, tx_hash, idx, pos, opcode, name, data_hex, start``."""
-    p = _parsed(elements).select("type", *KEY, S.chunks_of(F.col("_p")).alias("chunks"))
-    c = p.select("type", *KEY, F.posexplode("chunks").alias("pos", "c"))
-    code = F.col("c.opcode")
-    name = F.when(code > 0x4E, S.opcode_name_col(code)).otherwise(S.push_name_col(code))
-    return c.select("type", *KEY, F.col("pos").cast("int").alias("pos"),
-                    code.alias("opcode"), name.alias("name"),
-                    hex_lower(F.col("c.data")).alias("data_hex"),
-                    F.col("c.start").alias("start"))
+    c = elements.select("type", *KEY, F.explode(S.script_chunk_rows(F.col("script"))).alias("c"))
+    return c.select("type", *KEY, "c.pos", "c.opcode", "c.name", "c.data_hex", "c.start")
 
 
 def opcode_histogram(elements: DataFrame) -> DataFrame:
-    """``name, n``: how often each opcode occurs across all well-formed scripts."""
-    p = _parsed(elements).select(S.chunks_of(F.col("_p")).alias("chunks"))
-    ops = p.select(F.explode(F.filter("chunks", lambda c: c["opcode"] > 0x4E)).alias("c"))
-    return (ops.groupBy(F.col("c.opcode").alias("opcode")).agg(F.count(F.lit(1)).alias("n"))
-               .select(S.opcode_name_col(F.col("opcode")).alias("name"), "n"))
+    """``name, n``: how often each opcode occurs across all well-formed scripts.
+
+    A task hands on at most 256 counts per Arrow batch, not a row per opcode."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, np.int64)
+        for b in batches:
+            for scan in V.slices(b.column(0)):
+                total += V.opcode_counts(scan)
+        codes = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int32)), pa.array(total[codes])],
+                                         names=["opcode", "n"])
+
+    per_task = elements.select("script").mapInArrow(count, "opcode int, n bigint")
+    return (per_task.groupBy("opcode").agg(F.sum("n").alias("n"))
+            .select(S.opcode_name_col(F.col("opcode")).alias("name"), "n"))
 
 
 def script_asm(elements: DataFrame) -> DataFrame:
@@ -91,12 +96,8 @@ def script_asm(elements: DataFrame) -> DataFrame:
 
 def script_flags(elements: DataFrame) -> DataFrame:
     """``type, tx_hash, idx, is_multisig, is_cltv, is_op_return`` (false when malformed)."""
-    p = _parsed(elements).select("type", *KEY, S.chunks_of(F.col("_p")).alias("ch"))
-    ch = F.col("ch")
-    return p.select("type", *KEY,
-                    F.coalesce(S.is_multisig(ch), F.lit(False)).alias("is_multisig"),
-                    F.coalesce(S.is_cltv_channel(ch), F.lit(False)).alias("is_cltv"),
-                    F.coalesce(S.is_op_return(ch), F.lit(False)).alias("is_op_return"))
+    f = S.script_flags(F.col("script"))
+    return elements.select("type", *KEY, *[f[c].alias(c) for c in ("is_multisig", "is_cltv", "is_op_return")])
 
 
 def script_pubkeys(elements: DataFrame) -> DataFrame:
@@ -105,10 +106,10 @@ def script_pubkeys(elements: DataFrame) -> DataFrame:
     Both key forms start with a push (first byte <= 0x4e); other scripts are
     dropped natively before the parser runs."""
     first = F.conv(hex_lower(F.substring(F.col("script"), 1, 1)), 16, 10).cast("int")
-    p = (_parsed(elements.where(first <= 0x4E))
-         .select("type", *KEY, S.chunks_of(F.col("_p")).alias("ch")))
-    return (p.select("type", *KEY, S.pubkey_hex(F.col("ch")).alias("pubkey_hex"))
-             .where(F.col("pubkey_hex").isNotNull()))
+    # exploding a list of none or one parses each script once; a filter on the
+    # key would be pushed down and parse it again
+    return elements.where(first <= 0x4E).select(
+        "type", *KEY, F.explode(S.script_pubkeys(F.col("script"))).alias("pubkey_hex"))
 
 
 def cltv_channels(elements: DataFrame) -> DataFrame:
@@ -117,17 +118,17 @@ def cltv_channels(elements: DataFrame) -> DataFrame:
     # the channel shape starts with IF and ends with CHECKSIG: a native
     # necessary condition, so only candidates reach the parser
     cand = elements.where((F.col("type") == 1) & h.startswith("63") & h.endswith("ac"))
-    p = _parsed(cand).select(*KEY, S.chunks_of(F.col("_p")).alias("ch"))
+    one = F.array(S.chunks_of(S.parsed_script(F.col("script"))))
+    p = cand.select(*KEY, F.explode(F.filter(one, S.is_cltv_channel)).alias("ch"))
     ch = F.col("ch")
-    return (p.where(S.is_cltv_channel(ch))
-             .select(*KEY, S.cltv_sender_hex(ch).alias("sender_hex"),
-                     S.cltv_recipient_hex(ch).alias("recipient_hex"),
-                     S.cltv_expiry(ch).alias("expiry")))
+    return p.select(*KEY, S.cltv_sender_hex(ch).alias("sender_hex"),
+                    S.cltv_recipient_hex(ch).alias("recipient_hex"),
+                    S.cltv_expiry(ch).alias("expiry"))
 
 
 def sigops_per_block(elements: DataFrame) -> DataFrame:
     """``block_hash, sigops``: legacy signature operations of all scripts in a block."""
-    return (elements.select("block_hash", S.script_sigops(F.col("script")).alias("s"))
+    return (S.with_sigops(elements.select("block_hash", "script"), "script", "s")
                     .groupBy("block_hash").agg(F.sum("s").alias("sigops")))
 
 
@@ -144,11 +145,6 @@ def p2sh_sigops_per_block(elements: DataFrame) -> DataFrame:
 def nonminimal_pushes(elements: DataFrame) -> DataFrame:
     """``block_hash, n_nonminimal``: pushes not using their shortest encoding,
     per block (blocks with none are omitted)."""
-    p = _parsed(elements).select("block_hash", S.chunks_of(F.col("_p")).alias("ch"))
-    bad = p.select("block_hash", F.size(F.filter(
-        "ch", lambda c: F.coalesce(~S.is_minimal_push(c), F.lit(False)))).alias("k"))
-    # filter after the aggregate: a row filter on the parsed chunks would be
-    # pushed below the join and parse every script a second time
-    return (bad.groupBy("block_hash")
-               .agg(F.sum("k").cast("bigint").alias("n_nonminimal"))
+    bad = elements.select("block_hash", S.script_nonminimal(F.col("script")).alias("k"))
+    return (bad.groupBy("block_hash").agg(F.sum("k").alias("n_nonminimal"))
                .where(F.col("n_nonminimal") > 0))

@@ -8,12 +8,15 @@ skipped). Hashes are double SHA-256, shown as lower-case hex in reversed
 byte order (the usual display order); an input's previous-output hash uses
 the same form, so outpoints match transaction hashes.
 
-Spark reads the files with the ``binaryFile`` source (one file per row;
-files are bounded in size) and decodes them with ``mapInArrow`` — one
-Python call per batch of files, emitting Arrow batches of at most
-``blocks_per_batch`` blocks. Damaged records are skipped by resynchronising
-on the next magic; the rest of the file is still decoded. Decode once and
-write Parquet; query the Parquet.
+Files are read by the ``blockfile`` data source (``blockscan``): its
+partitions are byte ranges, so a file of any size is read by many tasks of
+bounded memory. Here are the block decoder, which fills Arrow columns
+directly, the integrity checks, and the DataFrame readers. With
+``verify=True`` a block counts only if its transactions hash to the merkle
+root of its header (and witness data to the coinbase's commitment); any other
+record is a rejected range. Damaged ranges fail a read unless
+``on_damage="skip"``; ``rejected_ranges`` lists them. Decode once and write
+Parquet; query the Parquet.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,14 +34,25 @@ from .. import schemas
 
 # Fixed value: the main network's record marker.
 MAINNET_MAGIC = bytes.fromhex("f9beb4d9")
+# Fixed value: how a coinbase output commits to the witness data (RETURN, a
+# push of 36 bytes, the commitment header; the 32-byte commitment follows).
+WITNESS_COMMITMENT = bytes.fromhex("6a24aa21a9ed")
+
+MAX_BLOCK = 8 << 20       # longest block that is read
+SPLIT_BYTES = 64 << 20    # bytes of a file per task
+BATCH_BYTES = 16 << 20    # bytes of blocks in one Arrow batch
 
 BLOCK_FILE_ROWS = T.StructType(
     [T.StructField("file", T.StringType()), T.StructField("size", T.IntegerType())]
     + list(schemas.BLOCKS_NESTED.fields))
 
 
-class _Truncated(ValueError):
-    pass
+class DamagedBlock(ValueError):
+    """Bytes that are no block, or one that fails its own hashes."""
+
+
+class DamagedBlockFile(ValueError):
+    """A byte range of a block file that is neither a block nor zero fill."""
 
 
 def _sha256d(b: bytes) -> bytes:
@@ -57,7 +72,7 @@ class _Reader:
 
     def take(self, n: int) -> bytes:
         if self.pos + n > self.end:
-            raise _Truncated("record ends early")
+            raise DamagedBlock("record ends early")
         b = self.buf[self.pos:self.pos + n]
         self.pos += n
         return b
@@ -76,165 +91,222 @@ class _Reader:
         return int.from_bytes(self.take(n), "little")
 
 
-def _transaction(r: _Reader) -> dict:
+@dataclass
+class Block:
+    """One decoded block as flat columns: the lists below ``n_inputs`` and
+    ``n_outputs`` run over all its transactions."""
+
+    block_hash: str
+    t: int
+    merkle_root: bytes
+    tx_hash: list[bytes] = field(default_factory=list)
+    witness_hash: list[bytes] = field(default_factory=list)
+    n_inputs: list[int] = field(default_factory=list)
+    prev_hash: list[str] = field(default_factory=list)
+    prev_idx: list[int] = field(default_factory=list)
+    in_script: list[bytes] = field(default_factory=list)
+    n_outputs: list[int] = field(default_factory=list)
+    value: list[int] = field(default_factory=list)
+    out_script: list[bytes] = field(default_factory=list)
+    has_witness: bool = False
+    reserved: bytes | None = None              # first witness item of the coinbase
+
+
+def _read_transaction(r: _Reader, b: Block, verify: bool) -> None:
     start = r.pos
     version = r.take(4)
     segwit = r.pos + 2 <= r.end and r.buf[r.pos] == 0 and r.buf[r.pos + 1] == 1
     if segwit:
         r.take(2)
     body_start = r.pos
-    inputs = []
-    for _ in range(r.varint()):
-        prev = r.take(32)
-        prev_idx = r.u32()
-        script = r.take(r.varint())
+    n_in = r.varint()
+    for _ in range(n_in):
+        b.prev_hash.append(_display(r.take(32)))
+        b.prev_idx.append(r.u32())
+        b.in_script.append(r.take(r.varint()))
         r.take(4)                                   # sequence
-        inputs.append({"prev_hash": _display(prev), "prev_idx": prev_idx, "script": script})
-    outputs = []
-    for _ in range(r.varint()):
-        value = r.i64()
-        outputs.append({"value": value, "script": r.take(r.varint())})
+    b.n_inputs.append(n_in)
+    n_out = r.varint()
+    for _ in range(n_out):
+        b.value.append(r.i64())
+        b.out_script.append(r.take(r.varint()))
+    b.n_outputs.append(n_out)
     body_end = r.pos
     if segwit:
-        for _ in inputs:
-            for _ in range(r.varint()):
-                r.take(r.varint())
+        b.has_witness = True
+        for i in range(n_in):
+            for k in range(r.varint()):
+                item = r.take(r.varint())
+                if not b.tx_hash and i == 0 and k == 0:
+                    b.reserved = item
     locktime = r.take(4)
     if segwit:
-        stripped = version + r.buf[body_start:body_end] + locktime
+        b.tx_hash.append(_sha256d(version + r.buf[body_start:body_end] + locktime))
+        b.witness_hash.append(_sha256d(r.buf[start:r.pos]) if verify else b"")
     else:
-        stripped = r.buf[start:r.pos]
-    return {"tx_hash": _display(_sha256d(stripped)), "inputs": inputs, "outputs": outputs}
-
-
-def decode_block(raw: bytes) -> dict:
-    """One serialised block → ``{block_hash, t, transactions}``."""
+        b.tx_hash.append(_sha256d(r.buf[start:r.pos]))
+        b.witness_hash.append(b.tx_hash[-1])
+
+
+def merkle_root(hashes: list[bytes]) -> bytes:
+    """Root of the hash tree over ``hashes``, level by level; the last of an odd
+    level is paired with itself. Two equal hashes that are a real pair would
+    give the same root as a shorter list, so they are refused."""
+    level = list(hashes)
+    while len(level) > 1:
+        if any(level[i] == level[i + 1] for i in range(0, len(level) - 1, 2)):
+            raise DamagedBlock("ambiguous merkle tree")
+        if len(level) % 2:
+            level.append(level[-1])
+        level = [_sha256d(level[i] + level[i + 1]) for i in range(0, len(level), 2)]
+    return level[0] if level else b"\x00" * 32
+
+
+def check_integrity(b: Block) -> None:
+    """The transactions hash to the header's root, and witness data, if there
+    is any, to the coinbase's commitment."""
+    if merkle_root(b.tx_hash) != b.merkle_root:
+        raise DamagedBlock("transactions do not hash to the merkle root")
+    if not b.has_witness:
+        return
+    own = [s for s in b.out_script[:b.n_outputs[0]]
+           if s.startswith(WITNESS_COMMITMENT) and len(s) >= len(WITNESS_COMMITMENT) + 32]
+    if not own or b.reserved is None:
+        raise DamagedBlock("witness data without a commitment")
+    root = merkle_root([b"\x00" * 32, *b.witness_hash[1:]])
+    at = len(WITNESS_COMMITMENT)
+    if _sha256d(root + b.reserved) != own[-1][at:at + 32]:
+        raise DamagedBlock("witness data does not hash to its commitment")
+
+
+def parse_block(raw: bytes, verify: bool = False) -> Block:
+    """One serialised block; raises ``DamagedBlock`` for anything else."""
     r = _Reader(raw)
-    header = r.take(80)
-    # header time as a signed 32-bit int (the ``t int`` column; a value past
-    # 2**31 wraps as in a Java int instead of failing the whole file)
-    t = struct.unpack_from("<i", header, 68)[0]
-    txs = [_transaction(r) for _ in range(r.varint())]
-    if r.pos != len(raw):
-        raise _Truncated(f"{len(raw) - r.pos} bytes after the last transaction")
-    return {"block_hash": _display(_sha256d(header)), "t": t, "transactions": txs}
-
+    try:
+        header = r.take(80)
+        # header time as a signed 32-bit int (the ``t int`` column; a value past
+        # 2**31 wraps as in a Java int instead of failing the whole file)
+        b = Block(_display(_sha256d(header)), struct.unpack_from("<i", header, 68)[0], header[36:68])
+        for _ in range(r.varint()):
+            _read_transaction(r, b, verify)
+        if r.pos != len(raw):
+            raise DamagedBlock(f"{len(raw) - r.pos} bytes after the last transaction")
+    except (KeyError, struct.error) as e:
+        raise DamagedBlock(str(e)) from e
+    if verify:
+        check_integrity(b)
+    return b
+
+
+def decode_block(raw: bytes, verify: bool = False) -> dict:
+    """One serialised block → ``{block_hash, t, transactions}``."""
+    b = parse_block(raw, verify)
+    ins, outs, txs = zip(b.prev_hash, b.prev_idx, b.in_script), zip(b.value, b.out_script), []
+    for h, n_in, n_out in zip(b.tx_hash, b.n_inputs, b.n_outputs):
+        txs.append({
+            "tx_hash": _display(h),
+            "inputs": [dict(zip(("prev_hash", "prev_idx", "script"), next(ins))) for _ in range(n_in)],
+            "outputs": [dict(zip(("value", "script"), next(outs))) for _ in range(n_out)]})
+    return {"block_hash": b.block_hash, "t": b.t, "transactions": txs}
+
+
+_INPUTS = pa.struct([("prev_hash", pa.string()), ("prev_idx", pa.int64()), ("script", pa.binary())])
+_OUTPUTS = pa.struct([("value", pa.int64()), ("script", pa.binary())])
+ARROW_ROWS = pa.schema([
+    ("file", pa.string()), ("size", pa.int32()), ("block_hash", pa.string()), ("t", pa.int32()),
+    ("transactions", pa.list_(pa.struct([("tx_hash", pa.string()), ("inputs", pa.list_(_INPUTS)),
+                                         ("outputs", pa.list_(_OUTPUTS))])))])
+
+
+class BlockColumns:
+    """Decoded blocks gathered as Arrow columns; no object per transaction."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[str, int, str, int]] = []
+        self.n_tx: list[int] = []
+        self.all = Block("", 0, b"")
+        self.bytes = 0
+
+    def add(self, file: str, size: int, b: Block) -> None:
+        self.rows.append((file, size, b.block_hash, b.t))
+        self.n_tx.append(len(b.tx_hash))
+        for name in ("tx_hash", "n_inputs", "prev_hash", "prev_idx", "in_script", "n_outputs", "value",
+                     "out_script"):
+            getattr(self.all, name).extend(getattr(b, name))
+        self.bytes += size
+
+    @staticmethod
+    def _lists(counts: list[int], values: pa.Array) -> pa.ListArray:
+        ends = [0]
+        for n in counts:
+            ends.append(ends[-1] + n)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+    def batch(self) -> pa.RecordBatch:
+        a = self.all
+        inputs = pa.StructArray.from_arrays(
+            [pa.array(a.prev_hash, pa.string()), pa.array(a.prev_idx, pa.int64()),
+             pa.array(a.in_script, pa.binary())], fields=list(_INPUTS))
+        outputs = pa.StructArray.from_arrays(
+            [pa.array(a.value, pa.int64()), pa.array(a.out_script, pa.binary())], fields=list(_OUTPUTS))
+        txs = pa.StructArray.from_arrays(
+            [pa.array([_display(h) for h in a.tx_hash], pa.string()), self._lists(a.n_inputs, inputs),
+             self._lists(a.n_outputs, outputs)], fields=list(ARROW_ROWS.field("transactions").type.value_type))
+        file, size, block_hash, t = zip(*self.rows)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(file, pa.string()), pa.array(size, pa.int32()), pa.array(block_hash, pa.string()),
+             pa.array(t, pa.int32()), self._lists(self.n_tx, txs)], schema=ARROW_ROWS)
+
+
+def batches_of(found: Iterator[tuple[str, int, Block]], blocks_per_batch: int
+               ) -> Iterator[pa.RecordBatch]:
+    """(file, size, block) as Arrow batches of bounded size."""
+    held = BlockColumns()
+    for file, size, block in found:
+        held.add(file, size, block)
+        if len(held.rows) >= blocks_per_batch or held.bytes >= BATCH_BYTES:
+            yield held.batch()
+            held = BlockColumns()
+    if held.rows:
+        yield held.batch()
 
-class DamagedBlockFile(ValueError):
-    """A byte range of a block file that is neither a block nor zero fill."""
 
+def read_block_files(spark: SparkSession, path: str, magic: bytes = MAINNET_MAGIC,
+                     blocks_per_batch: int = 64, on_damage: str = "fail", verify: bool = False,
+                     split_bytes: int = SPLIT_BYTES, max_block: int = MAX_BLOCK) -> DataFrame:
+    """``file, size, block_hash, t, transactions`` for every block in the files
+    at ``path`` (a file, directory or glob), read in ranges of ``split_bytes``;
+    the rows do not depend on the ranges. Damaged ranges fail the read unless
+    ``on_damage="skip"``; ``rejected_ranges`` lists them."""
+    from . import blockscan
 
-def scan_blocks(data: bytes, magic: bytes = MAINNET_MAGIC) -> Iterator[dict]:
-    """Every byte range of one file: decoded blocks, and rejected ranges as
-    ``{offset, length, reason}``. Zero bytes between records are fill."""
-    pos, n = 0, len(data)
-    bad: tuple[int, str] | None = None                 # start of a rejected range, reason
-
-    def rejected(end: int) -> list[dict]:
-        if bad is None or not data[bad[0]:end].strip(b"\x00"):
-            return []
-        return [{"offset": bad[0], "length": end - bad[0], "reason": bad[1]}]
-
-    while pos < n:
-        reason = "no record magic"
-        if data[pos:pos + 4] == magic and pos + 8 <= n:
-            size = int.from_bytes(data[pos + 4:pos + 8], "little")
-            start = pos + 8
-            if size < 80:
-                reason = "record shorter than a header"
-            elif start + size > n:
-                reason = "record truncated"
-            else:
-                try:
-                    block = decode_block(data[start:start + size])
-                except (_Truncated, KeyError, struct.error) as e:
-                    reason = f"undecodable block: {e}"
-                else:
-                    yield from rejected(pos)
-                    bad = None
-                    block["size"] = size
-                    yield block
-                    pos = start + size
-                    continue
-        if bad is None or (bad[1] == "no record magic" and reason != bad[1]):
-            yield from rejected(pos)
-            bad = pos, reason
-        nxt = data.find(magic, pos + 1)
-        pos = n if nxt < 0 else nxt
-    yield from rejected(n)
-
-
-def iter_blocks(data: bytes, magic: bytes = MAINNET_MAGIC, on_damage: str = "fail",
-                name: str = "block file") -> Iterator[dict]:
-    """Blocks of one file. A damaged range raises ``DamagedBlockFile``, or is
-    left out with ``on_damage="skip"`` (``rejected_ranges`` then lists it)."""
-    for found in scan_blocks(data, magic):
-        if "block_hash" in found:
-            yield found
-        elif on_damage != "skip":
-            raise DamagedBlockFile(f"{name}: {found['length']} bytes at {found['offset']}: "
-                                   f"{found['reason']}")
-
-
-def _decoder(magic: bytes, blocks_per_batch: int, on_damage: str = "fail"):
-    arrow_schema = pa.schema([
-        pa.field("file", pa.string()),
-        pa.field("size", pa.int32()),
-        pa.field("block_hash", pa.string()),
-        pa.field("t", pa.int32()),
-        pa.field("transactions", pa.list_(pa.struct([
-            pa.field("tx_hash", pa.string()),
-            pa.field("inputs", pa.list_(pa.struct([
-                pa.field("prev_hash", pa.string()),
-                pa.field("prev_idx", pa.int64()),
-                pa.field("script", pa.binary())]))),
-            pa.field("outputs", pa.list_(pa.struct([
-                pa.field("value", pa.int64()),
-                pa.field("script", pa.binary())]))),
-        ]))),
-    ])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            paths = batch.column("path").to_pylist()
-            contents = batch.column("content")
-            for i, path in enumerate(paths):
-                data = contents[i].as_py() or b""
-                rows = []
-                for block in iter_blocks(data, magic, on_damage, path):
-                    block["file"] = path
-                    rows.append(block)
-                    if len(rows) >= blocks_per_batch:
-                        yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema)
-
-    return run
+    return blockscan.reader(spark, magic, verify, split_bytes, max_block).option(
+        "blocksPerBatch", str(blocks_per_batch)).option("onDamage", on_damage).load(path)
 
 
-def read_block_files(spark: SparkSession, path: str, magic: bytes = MAINNET_MAGIC,
-                     blocks_per_batch: int = 64, on_damage: str = "fail") -> DataFrame:
-    """``file, block_hash, t, transactions`` for every block in the files at
-    ``path`` (a file, directory or glob). Damaged ranges fail the read unless
-    ``on_damage="skip"``; ``rejected_ranges`` lists them."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_decoder(magic, blocks_per_batch, on_damage), BLOCK_FILE_ROWS)
+def rejected_ranges(spark: SparkSession, path: str, magic: bytes = MAINNET_MAGIC, verify: bool = False,
+                    split_bytes: int = SPLIT_BYTES, max_block: int = MAX_BLOCK) -> DataFrame:
+    """``file, offset, length, reason`` of every byte range that is not read:
+    what lies before the first damaged record of a run, and the run from it on.
 
+    Tasks report pieces; those that touch are joined per file (a file's pieces
+    are as many as its damaged records and ranges)."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
 
-def rejected_ranges(spark: SparkSession, path: str, magic: bytes = MAINNET_MAGIC) -> DataFrame:
-    """``file, offset, length, reason`` of every byte range that is not read."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [{"file": p} | r for p, data in zip(batch.column("path").to_pylist(),
-                                                       batch.column("content").to_pylist())
-                    for r in scan_blocks(data or b"", magic) if "reason" in r]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([
-                ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()),
-                ("reason", pa.string())]))
+    from . import blockscan
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, offset bigint, length bigint, reason string")
+    pieces = blockscan.reader(spark, magic, verify, split_bytes, max_block).option(
+        "rows", "rejected").load(path)
+    w = Window.partitionBy("file").orderBy("offset")
+    touches = F.coalesce(F.lag(F.col("offset") + F.col("length")).over(w) == F.col("offset"), F.lit(False))
+    run = F.sum(F.when(touches, 0).otherwise(1)).over(w)
+    failed = F.min(F.when(F.col("damaged"), F.col("offset"))).over(Window.partitionBy("file", "run"))
+    return (pieces.withColumn("run", run).withColumn("tail", F.coalesce(F.col("offset") >= failed, F.lit(False)))
+            .groupBy("file", "run", "tail")
+            .agg(F.min("offset").alias("offset"), F.sum("length").alias("length"),
+                 F.min_by("reason", "offset").alias("reason"), F.bool_or("filled").alias("filled"))
+            .where("filled").select("file", "offset", "length", "reason"))
 
 
 def block_file_index(blocks: DataFrame) -> DataFrame:
@@ -252,19 +324,24 @@ def block_file_index(blocks: DataFrame) -> DataFrame:
 
 
 def decode_to_parquet(spark: SparkSession, path: str, out: str,
-                      magic: bytes = MAINNET_MAGIC, by_month: bool = True) -> None:
+                      magic: bytes = MAINNET_MAGIC, by_month: bool = True,
+                      verify: bool = False) -> None:
     """Decode block files once and store the nested records as Parquet.
 
     With ``by_month`` the table is partitioned by the block's UTC month
     (``month = 'yyyy-MM'``): block files are roughly time ordered, so each
     task writes few partitions, and time-bounded queries prune the rest."""
+    blocks = read_block_files(spark, path, magic, verify=verify)
+    w = blocks.write.mode("overwrite")
+    if by_month:
+        w = with_month(blocks).write.mode("overwrite").partitionBy("month")
+    w.parquet(out)
+
+
+def with_month(blocks: DataFrame) -> DataFrame:
+    """Blocks with ``month``, the UTC month of their time as ``yyyy-MM``."""
     from pyspark.sql import functions as F
 
     from ..functions.timefmt import epoch_to_ts
 
-    blocks = read_block_files(spark, path, magic)
-    w = blocks.write.mode("overwrite")
-    if by_month:
-        blocks = blocks.withColumn("month", F.date_format(epoch_to_ts(F.col("t")), "yyyy-MM"))
-        w = blocks.write.mode("overwrite").partitionBy("month")
-    w.parquet(out)
+    return blocks.withColumn("month", F.date_format(epoch_to_ts(F.col("t")), "yyyy-MM"))

@@ -2,8 +2,8 @@
 
 The reference has no streaming queries; ledgers only grow by appending
 block files, so the one streaming piece is the decoder run as a file
-stream: new files under ``source_dir`` are decoded (same ``mapInArrow``
-decoder as the batch source) and appended to a Parquet table, with
+stream: new files under ``source_dir`` are decoded (same record scan as the
+batch source, a file per row) and appended to a Parquet table, with
 exactly-once bookkeeping in a checkpoint that the caller names. A table has
 to be restarted with the checkpoint it was begun with: with another one the
 sink's own log would take new files for old ones.
@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..session import ship_package
-from ..sources.blockfile import BLOCK_FILE_ROWS, MAINNET_MAGIC, _decoder
+from ..sources.blockfile import BLOCK_FILE_ROWS, MAINNET_MAGIC
+from ..sources.blockscan import decode_paths
 
 BINARY_FILE = T.StructType([
     T.StructField("path", T.StringType()),
@@ -37,7 +38,8 @@ def ingest_block_files(spark: SparkSession, source_dir: str, table_path: str, ch
              .option("pathGlobFilter", glob)
              .option("maxFilesPerTrigger", max_files_per_trigger)
              .load(source_dir))
-    blocks = files.select("path", "content").mapInArrow(_decoder(magic, 64), BLOCK_FILE_ROWS)
+    # only names and lengths are taken from the stream; each task opens its files
+    blocks = files.select("path", "length").mapInArrow(decode_paths(magic, 64), BLOCK_FILE_ROWS)
     writer = (blocks.writeStream.format("parquet")
               .option("path", table_path)
               .option("checkpointLocation", checkpoint)
