@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from ..session import materialize
 WORD_GAP = r"[\x20\x09-\x0D]+"
 _GAP_CHARS = " \t\n\x0b\f\r"
 
-__all__ = ["WORD_GAP", "let", "materialize", "small_batches", "table", "text_or_empty", "words"]
+__all__ = ["WORD_GAP", "add_blobs", "let", "materialize", "small_batches", "table", "text_or_empty", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,3 +43,22 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Texts can be very long: keep the Arrow batches of this session small, so
     a Python worker holds some megabytes of text at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+FAN_IN = 64               # tasks' sums are first added up in this many groups
+
+
+def add_blobs(parts: DataFrame, add: Callable[[bytes, bytes], bytes]) -> DataFrame:
+    """(block, blob): blobs of (part, block, blob) added per block, in two steps,
+    so no task reads more than a share of all tasks' sums; one blob is held."""
+    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for blob in b.column("blob").to_pylist():
+                total = blob if total is None else add(total, blob)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()),
+                                          pa.array([total], pa.binary())], names=["block", "blob"])
+
+    few = parts.withColumn("part", F.col("part") % FAN_IN).groupBy("block", "part").applyInArrow(
+        merge, "block int, blob binary")
+    return few.groupBy("block").applyInArrow(merge, "block int, blob binary")

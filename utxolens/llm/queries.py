@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (ann, bpe, licences, mixing, phrases, quality, secretscan, sharding, simhash, suffixes,
-               tokenfile, whitening)
+               tokenfile, whitening, wordvectors)
 from .common import materialize, table, text_or_empty
 
 SHARDS = 40
@@ -101,6 +101,19 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels")
+
+    def held_out(key: str):
+        return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+    model = wordvectors.fit(docs, labels.where(~held_out("doc_id")))
+    return model.score(docs.select("doc_id", "text")).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -121,4 +134,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_sharding, op3_nearest, op4_mixing, op5_simhash, op6_bpe, op7_suffixes,
-    op8_tokenfile, op9_secrets, op10_licences, op12_phrases, op13_whitening, pipeline)}
+    op8_tokenfile, op9_secrets, op10_licences, op11_classifier,
+    op12_phrases, op13_whitening, pipeline)}

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import add_blobs, materialize
 
 SCALE = 1024              # x = floor(SCALE * c) + SHIFT
 SHIFT = 100_000
@@ -49,7 +49,8 @@ CLOSE = 2e-13             # residual of a certified pair, as a share of the larg
 LANCZOS = 12              # steps of the run that places the lower end of the spectrum
 RANK = 1e-12              # eigenvalues below this share of the largest one count as zero
 MAX_LENGTHS = 64
-FAN_IN = 64               # sums of tasks are added up in this many groups first
+
+_PARTS = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("blob", pa.binary())])
 
 
 def integer_vectors(df: DataFrame, key: str, vec: str) -> DataFrame:
@@ -74,20 +75,6 @@ def _matrices(col: pa.Array) -> np.ndarray:
     return flat[ends[0]:ends[-1]].reshape(len(col), -1)
 
 
-def _add_up(parts: DataFrame, add) -> DataFrame:
-    """Rows (part, blob) added by ``add(list of blobs)``, in two steps so that no
-    task holds more than a share of the tasks' sums."""
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for b in batches:
-            for blob in b.column("blob").to_pylist():
-                total = blob if total is None else add(total, blob)
-        yield pa.RecordBatch.from_pydict({"blob": [total]}, schema=pa.schema([("blob", pa.binary())]))
-
-    few = parts.groupBy("part").applyInArrow(merge, "blob binary")
-    return few.select(F.lit(0).alias("part"), "blob").groupBy("part").applyInArrow(merge, "blob binary")
-
-
 class Moments(NamedTuple):
     n: int
     sums: np.ndarray      # object array of exact integers
@@ -126,13 +113,13 @@ class Product:
                     c = _matrices(b.column("x")) - mean
                     total += c.T @ (c @ q)
             yield pa.RecordBatch.from_pydict(
-                {"part": [TaskContext.get().partitionId() % FAN_IN], "blob": [total.tobytes()]},
-                schema=pa.schema([("part", pa.int32()), ("blob", pa.binary())]))
+                {"part": [TaskContext.get().partitionId()], "block": [0], "blob": [total.tobytes()]},
+                schema=_PARTS)
 
         def add(a: bytes, b: bytes) -> bytes:
             return (np.frombuffer(a) + np.frombuffer(b)).tobytes()
 
-        got = _add_up(self.rows.select("x").mapInArrow(part, "part int, blob binary"), add).collect()
+        got = add_blobs(self.rows.select("x").mapInArrow(part, "part int, block int, blob binary"), add).collect()
         self.passes += 1
         return np.frombuffer(got[0].blob).reshape(shape) / self.moments.n
 
@@ -299,10 +286,10 @@ def _identity_error(rows: DataFrame, m: Moments, s: Spectrum) -> float:
                 total = own if total is None else merged(total, own)
         if total is not None:
             yield pa.RecordBatch.from_pydict(
-                {"part": [TaskContext.get().partitionId() % FAN_IN], "blob": [pack(total)]},
-                schema=pa.schema([("part", pa.int32()), ("blob", pa.binary())]))
+                {"part": [TaskContext.get().partitionId()], "block": [0], "blob": [pack(total)]},
+                schema=_PARTS)
 
-    got = _add_up(rows.select("x").mapInArrow(part, "part int, blob binary"),
+    got = add_blobs(rows.select("x").mapInArrow(part, "part int, block int, blob binary"),
                   lambda a, b: pack(merged(unpack(a), unpack(b)))).collect()
     n, _, c = unpack(got[0].blob)
     return float(np.abs(c / n - np.eye(k)).max())
