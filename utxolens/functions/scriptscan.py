@@ -344,3 +344,27 @@ def pubkeys(s: Scan) -> pa.Array:
     data, size = s.payload(chosen[found])
     return pa.ListArray.from_arrays(pa.array(_offsets(counts)),
                                     _to_binary(_HEX[data].ravel(), 2 * size, None, pa.string()))
+
+
+CLTV = pa.struct([("sender_hex", pa.string()), ("recipient_hex", pa.string()), ("expiry", pa.int64())])
+
+
+def cltv(s: Scan) -> pa.Array:
+    """Sender, recipient and expiry of lock-time channels, null for other
+    scripts; the expiry is a little-endian number whose top bit is the sign,
+    null beyond five bytes."""
+    found = np.flatnonzero(flags(s).field("is_cltv").to_numpy(zero_copy_only=False))
+    out: list[dict | None] = [None] * len(s)
+
+    def data(i: int, k: int) -> bytes:
+        at = s.cut[i] + k
+        begin = s.start[at] + s.head[at]
+        return s.data[begin:begin + s.size[at]].tobytes()
+
+    for i in found:                                     # channels alone, not scripts
+        raw = data(i, 4)
+        value = int.from_bytes(raw[:-1] + bytes([raw[-1] & 0x7F]), "little") if raw else 0
+        value = -value if raw and raw[-1] & 0x80 else value
+        out[i] = {"sender_hex": data(i, 8).hex(), "recipient_hex": data(i, 1).hex(),
+                  "expiry": value if len(raw) <= 5 else None}
+    return pa.array(out, CLTV)

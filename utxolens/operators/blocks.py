@@ -112,20 +112,22 @@ def tx_index_from_blocks(blocks: DataFrame) -> DataFrame:
         F.size("outputs").alias("outputNo"))
 
 
-def elements_from_blocks(blocks: DataFrame) -> DataFrame:
-    """Nested block records → the flat ``elements`` table (inputs + outputs)."""
-    tx = blocks.select("block_hash", F.posexplode("transactions").alias("tx_idx", "tx"))
-    outs = tx.select(F.lit(1).alias("type"), "block_hash", F.col("tx_idx").cast("int"),
-                     F.col("tx.tx_hash").alias("tx_hash"),
-                     F.posexplode("tx.outputs").alias("idx", "o")).select(
-        "type", "block_hash", "tx_idx", "tx_hash", F.col("idx").cast("bigint"),
-        F.col("o.value").alias("amount"), F.col("o.script").alias("script"))
-    ins = tx.select(F.lit(0).alias("type"), "block_hash", F.col("tx_idx").cast("int"),
-                    F.explode("tx.inputs").alias("i")).select(
-        "type", "block_hash", "tx_idx", F.col("i.prev_hash").alias("tx_hash"),
-        F.col("i.prev_idx").alias("idx"), F.lit(0).cast("bigint").alias("amount"),
-        F.col("i.script").alias("script"))
-    return outs.unionByName(ins)
+def elements_from_blocks(blocks: DataFrame, *more: str) -> DataFrame:
+    """Nested block records → the flat ``elements`` table (inputs + outputs), and
+    ``more`` columns of the block: one scan, a transaction's outputs and inputs
+    exploded together."""
+    tx = blocks.select("block_hash", *more, F.posexplode("transactions").alias("tx_idx", "tx"))
+    none = F.lit(0).cast("bigint")
+    outs = F.transform("tx.outputs", lambda o, i: F.struct(
+        F.lit(1).alias("type"), F.col("tx.tx_hash").alias("tx_hash"), i.cast("bigint").alias("idx"),
+        o["value"].alias("amount"), o["script"].alias("script")))
+    ins = F.transform("tx.inputs", lambda x: F.struct(
+        F.lit(0).alias("type"), x["prev_hash"].alias("tx_hash"), x["prev_idx"].alias("idx"),
+        none.alias("amount"), x["script"].alias("script")))
+    both = F.concat(F.coalesce(outs, F.array()), F.coalesce(ins, F.array()))
+    e = tx.select("block_hash", *more, F.col("tx_idx").cast("int").alias("tx_idx"),
+                  F.explode(both).alias("e"))
+    return e.select("e.type", "block_hash", "tx_idx", "e.tx_hash", "e.idx", "e.amount", "e.script", *more)
 
 
 # --- flat form of the block values (any table source) ----------------------

@@ -13,12 +13,16 @@ to one row per map task before the shuffle. Wide payloads (block hash,
 script) are never carried through that shuffle:
 
 * full sets join the surviving keys back to the outputs (shuffle join on
-  the same key, so AQE can split a skewed side);
+  the same key, so AQE can split a skewed side); a Bloom filter of the
+  surviving keys drops spent outputs before that shuffle, as far as its
+  size stays in bound (``keyfilter``);
 * addresses need only 20 bytes, which ride through the fold as three
   integers and are rebuilt on the survivors;
-* top-k results take k numeric rows first and fetch the payload with a
-  broadcast join whose size is bounded by k (checked against
-  ``MAX_BROADCAST_ROWS``; above it the join is left to the planner).
+* top-k results take k numeric rows first. Over a stored table these carry
+  their row's address and only the winners' files are read again
+  (``rowaddress``); otherwise the payload comes through a broadcast join
+  whose size is bounded by k (checked against ``MAX_BROADCAST_ROWS``; above
+  it the join is left to the planner).
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ..functions.address import script_hash160_hex, with_address, with_hash160_address
 from ..functions.encoding import hex_lower
+from . import keyfilter, rowaddress
 
 KEY = ["tx_hash", "idx"]
 
@@ -109,24 +114,49 @@ def unspent_keys(elements: DataFrame, *numeric: str | Column,
 
 def _semi_unspent(outputs: DataFrame, elements: DataFrame, compact: bool) -> DataFrame:
     """``outputs`` rows whose outpoint is unspent in ``elements`` (shuffle semi-join)."""
-    keys = unspent_keys(elements, compact_keys=compact)
+    return semi_keys(outputs, unspent_keys(elements, compact_keys=compact), compact)
+
+
+def semi_keys(outputs: DataFrame, keys: DataFrame, compact: bool = False) -> DataFrame:
+    """``outputs`` rows whose outpoint is in ``keys``."""
     outs, key = _keyed(outputs, compact)
     return outs.join(keys, on=key, how="left_semi").select(*outputs.columns)
 
 
+def _filtered_unspent(outputs: DataFrame, keys: DataFrame, compact: bool,
+                      max_bytes: int = keyfilter.MAX_BYTES) -> DataFrame:
+    """``outputs`` rows whose outpoint is in ``keys``, those without one dropped
+    before the shuffle. The keys are written first: the filter, the join and a
+    lost executor read them from there."""
+    from ..session import materialize
+
+    keys = materialize(outputs.sparkSession, keys, "unspent_keys")
+    outs, key = _keyed(outputs, compact)
+    held = keyfilter.build(keys, key, keys.count(), max_bytes=max_bytes)
+    if held is not None:
+        outputs = outs.where(held.test(*key)).select(*outputs.columns)
+    return semi_keys(outputs, keys, compact)
+
+
 def unspent_outputs(elements: DataFrame, compact_keys: bool = False,
                     strategy: str = "semi") -> DataFrame:
     """Every unspent output row with all its columns (``type`` is 1).
 
     ``strategy="semi"`` (default): numeric fold, then a shuffle semi-join of
     the outputs on the surviving keys — the payload moves once and never
-    through an aggregate. ``"single_pass"``: one aggregate carrying every
+    through an aggregate. ``"filter"``: the same, with the outputs sifted by a
+    Bloom filter of the surviving keys first, so only about as many payloads
+    move as survive; the fold runs when this is called and its keys are stored.
+    ``"single_pass"``: one aggregate carrying every
     column (exact, since survivors are single-row groups); Spark plans it as
     a SortAggregate with a partial step. It reads the elements once, which
     pays off when they are expensive to produce; measured slower on Parquet.
     """
+    outputs = elements.where(F.col("type") == 1)
     if strategy == "semi":
-        return _semi_unspent(elements.where(F.col("type") == 1), elements, compact_keys)
+        return _semi_unspent(outputs, elements, compact_keys)
+    if strategy == "filter":
+        return _filtered_unspent(outputs, unspent_keys(elements, compact_keys=compact_keys), compact_keys)
     if strategy != "single_pass":
         raise ValueError(f"unknown strategy {strategy!r}")
     df, key = _keyed(elements, compact_keys)
@@ -148,13 +178,22 @@ def top_unspent(elements: DataFrame, k: int = 100, with_script: bool = False,
     Without script: ``type, block_hash, tx_idx, tx_hash, idx, amount``.
     With script (no block id, as in the reference):
     ``type, tx_idx, tx_hash, idx, amount, script_hex``.
+
+    Over a stored table the top-k runs when this is called, and the payload is
+    read from the winners' files; over any other source nothing runs yet.
     """
+    stored = rowaddress.with_address(elements) if k <= rowaddress.MAX_ROWS else None
+    if stored is not None:
+        return _top_by_address(elements, stored, k, with_script, compact_keys)
     _, key = _keyed(elements, compact_keys)
     top = (unspent_keys(elements, "amount", "tx_idx", compact_keys=compact_keys)
            .orderBy(F.col("amount").desc(), *key).limit(k))
     payload = ["script"] if with_script else ["block_hash"]
     outs, _ = _keyed(elements.where(F.col("type") == 1).select(*KEY, *payload), compact_keys)
-    j = _join_bounded(outs, top, key, k)
+    return _top_rows(_join_bounded(outs, top, key, k), with_script)
+
+
+def _top_rows(j: DataFrame, with_script: bool) -> DataFrame:
     if with_script:
         res = j.select(F.lit(1).alias("type"), "tx_idx", "tx_hash", "idx", "amount",
                        hex_lower(F.col("script")).alias("script_hex"))
@@ -163,6 +202,53 @@ def top_unspent(elements: DataFrame, k: int = 100, with_script: bool = False,
     return res.orderBy(F.col("amount").desc(), "tx_hash", "idx")
 
 
+def _winners(elements: DataFrame, k: int, compact_keys: bool) -> list:
+    """Address, key, amount and ``tx_idx`` of the k largest unspent outputs of
+    elements with addresses."""
+    _, key = _keyed(elements, compact_keys)
+    top = (unspent_keys(elements, "amount", "tx_idx", *rowaddress.ADDRESS, compact_keys=compact_keys)
+           .orderBy(F.col("amount").desc(), *key).limit(k))
+    return top.select(F.col(key[0]).alias("_key"), F.col("idx").alias("_idx"), "amount", "tx_idx",
+                      *rowaddress.ADDRESS).collect()                   # k rows
+
+
+def _same_key(compact: bool) -> Column:
+    mine = F.unhex("tx_hash") if compact else F.col("tx_hash")
+    return mine.eqNullSafe(F.col("_key")) & F.col("idx").eqNullSafe(F.col("_idx"))
+
+
+def _top_by_address(elements: DataFrame, stored: DataFrame, k: int, with_script: bool,
+                    compact_keys: bool) -> DataFrame:
+    """``top_unspent`` of a stored element table."""
+    winners = _winners(stored, k, compact_keys)
+    payload = "script" if with_script else "block_hash"
+    if not winners:
+        return _top_rows(elements.where(F.lit(False)), with_script)
+    j = rowaddress.fetch(elements.where(F.col("type") == 1), winners, *KEY, payload)
+    return _top_rows(j.where(_same_key(compact_keys)).withColumn("tx_idx", F.col("tx_idx").cast("int")),
+                     with_script)
+
+
+def top_unspent_nested(blocks: DataFrame, k: int = 100, with_script: bool = False) -> DataFrame:
+    """``top_unspent`` of nested block records. Over a stored table the winners
+    carry the address of their block's row, and ``tx_idx`` and ``idx`` say where
+    in it they stand: only the files of those blocks are read again."""
+    from .blocks import elements_from_blocks
+
+    stored = rowaddress.with_address(blocks) if k <= rowaddress.MAX_ROWS else None
+    if stored is None:
+        return top_unspent(elements_from_blocks(blocks), k, with_script, compact_keys=True)
+    winners = _winners(elements_from_blocks(stored, *rowaddress.ADDRESS), k, True)
+    if not winners:
+        return _top_rows(elements_from_blocks(blocks).where(F.lit(False)), with_script)
+    rows = rowaddress.fetch(blocks, winners, "block_hash", "transactions")
+    tx = F.get("transactions", F.col("tx_idx").cast("int"))
+    out = F.get(tx["outputs"], F.col("_idx").cast("int"))
+    j = rows.select("block_hash", F.col("tx_idx").cast("int").alias("tx_idx"), tx["tx_hash"].alias("tx_hash"),
+                    F.col("_idx").alias("idx"), F.col("_idx"), F.col("_key"), "amount", out["script"].alias("script"))
+    return _top_rows(j.where(_same_key(True)), with_script)
+
+
 def _with_address(df: DataFrame, p2sh_version: int = 0) -> DataFrame:
     """Add ``hash160`` and ``address`` from the ``script`` column."""
     return with_address(df, "script", "address", "hash160", p2sh_version)

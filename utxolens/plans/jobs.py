@@ -13,19 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import blocks as B
 from ..operators import scriptstats, utxo
-from ..sources import blockfile, sinks, tables
+from ..sources import manifest, sinks, tables
 
 Job = Callable[[SparkSession, str, str, str | None], None]
 
 
 def _blocks(spark: SparkSession, path: str, fmt: str | None) -> DataFrame:
-    """Nested blocks: a decoded table as is, or raw files decoded once into a
-    table under the shared checkpoint folder (later stages never re-decode)."""
+    """Nested blocks: a decoded table as is, or raw files through the decode
+    store under the shared checkpoint folder, so that all jobs share a decode."""
     if fmt:
         return spark.read.format(fmt).load(path)
-    from ..session import materialize
-
-    return materialize(spark, blockfile.read_block_files(spark, path), "blocks")
+    return manifest.DecodeStore(spark).blocks(path)
 
 
 def _elements(spark: SparkSession, path: str, fmt: str | None) -> DataFrame:
@@ -36,8 +34,7 @@ def _elements(spark: SparkSession, path: str, fmt: str | None) -> DataFrame:
 # shuffle binary keys (compact_keys).
 
 def _amounts(spark, inp, out, fmt=None):
-    sinks.write_single_csv(utxo.top_unspent(_elements(spark, inp, fmt), 100, compact_keys=True),
-                           out)
+    sinks.write_single_csv(utxo.top_unspent_nested(_blocks(spark, inp, fmt), 100), out)
 
 
 def _addresses(spark, inp, out, fmt=None):
@@ -46,8 +43,7 @@ def _addresses(spark, inp, out, fmt=None):
 
 
 def _unspent_scripts(spark, inp, out, fmt=None):
-    sinks.write_single_csv(utxo.top_unspent(_elements(spark, inp, fmt), 100, with_script=True,
-                                            compact_keys=True), out)
+    sinks.write_single_csv(utxo.top_unspent_nested(_blocks(spark, inp, fmt), 100, with_script=True), out)
 
 
 def _block_with_script(spark, inp, out, fmt=None):

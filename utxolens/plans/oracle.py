@@ -503,6 +503,18 @@ SELECT 0, block_hash, 0, CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS BIGIN
        CASE WHEN l_suppkey % 8 = 2 THEN concat('25512102', ph, '51ae') ELSE '' END
 FROM lines WHERE l_returnflag = 'R'"""
 
+    # --- stored tables, raw files, cells, SQL table functions ----------------
+    q["top_unspent_by_address"] = q["top_unspent"]
+    q["unspent_outputs_filtered"] = q["unspent_outputs"]
+    q["sql_script_chunks"] = q["script_chunks"]
+    q["block_index_cells"] = q["block_index_scan"]
+    q["tx_index_cells"] = q["tx_index_scan"]
+    # a transaction without inputs is written with the null input
+    q["block_file_scan"] = _with(N) + """
+SELECT t, n AS n_records, 2 * n AS n_transactions, 2 * n AS n_inputs, CAST(n_out AS BIGINT) AS n_outputs, value
+FROM (SELECT t, count(*) AS n, sum(l_linenumber % 4) + count(*) AS n_out FROM lines GROUP BY t) a
+JOIN (SELECT t, CAST(sum(value) AS BIGINT) AS value FROM outs GROUP BY t) b USING (t)"""
+
     # --- mode ---------------------------------------------------------------
     q["mode_max"] = """
 WITH per AS (SELECT event_type, CAST(floor(value) AS INTEGER) AS v, count(*) AS c

@@ -7,6 +7,7 @@ match ``plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,10 @@ from pyspark.sql import functions as F
 from ..functions import encoding as enc
 from ..functions.validate import decode_address, pubkey_to_hash160
 from ..functions.address import with_hash160_address
+from ..functions.tablefuncs import register_table_functions
 from ..operators import blocks, modes, scriptstats, utxo
+from ..session import checkpoint_dir, materialize
+from ..sources import blockfile, blockwrite, cells
 from ..sources import fixtures as fx
 from ..sources.tables import register_views
 
@@ -166,6 +170,61 @@ def address_checks(spark, sf):
                     c["payload_hex"].alias("payload_hex"))
 
 
+def _stored_elements(spark, sf):
+    """The element table as a stored table, as a decode leaves it."""
+    return materialize(spark, _el(spark, sf), "elements")
+
+
+def top_unspent_by_address(spark, sf):
+    """The largest unspent outputs of a stored table: addresses of the winners'
+    rows ride through the top-k, and only their files are read again (T1)."""
+    return utxo.top_unspent(_stored_elements(spark, sf), 100)
+
+
+def unspent_outputs_filtered(spark, sf):
+    """Every unspent output, spent ones dropped by a Bloom filter of the
+    surviving keys before the payload is shuffled (A1, F1)."""
+    u = utxo.unspent_outputs(_el(spark, sf), strategy="filter")
+    return u.select("type", "block_hash", "tx_idx", "tx_hash", "idx", "amount",
+                    enc.hex_lower(F.col("script")).alias("script_hex"))
+
+
+def sql_script_chunks(spark, sf):
+    """Script chunks by a table function in SQL."""
+    register_table_functions(spark)
+    name = register_views(spark, sf, prefix="ul_")["elements"]
+    return spark.sql(f"""
+        SELECT e.type, e.tx_hash, e.idx, c.pos, c.opcode, c.name, c.data_hex, c.start
+        FROM {name} e, LATERAL script_chunks_of(e.script) c""")
+
+
+def block_index_cells(spark, sf):
+    """The block index from exported cells through its catalog."""
+    return cells.read_cells(cells.to_cells(_bi(spark, sf), cells.BLOCK_CATALOG), cells.BLOCK_CATALOG)
+
+
+def tx_index_cells(spark, sf):
+    """The transaction index from exported cells through its catalog."""
+    return cells.read_cells(cells.to_cells(fx.tx_index(spark, sf), cells.TRANSACTION_CATALOG),
+                            cells.TRANSACTION_CATALOG)
+
+
+def block_file_scan(spark, sf):
+    """Raw block files made of the tables' nested records, read by byte ranges
+    with their hashes checked, summed per block time (S1, S2, S3)."""
+    # the test tables are one file each: dealt anew, so that many tasks write
+    folder = blockwrite.write_block_files(fx.nested_fragments(spark, sf).repartition("t"),
+                                          f"{checkpoint_dir(spark).rstrip('/')}/utxolens/blocks-{uuid.uuid4().hex}")
+    found = blockfile.read_block_files(spark, folder, verify=True, split_bytes=4 << 20)
+    v = found.select("t", F.size("transactions").alias("n_tx"),
+                     blocks.block_output_value(F.col("transactions")).alias("value"),
+                     F.aggregate("transactions", F.lit(0), lambda a, x: a + F.size(x["inputs"])).alias("n_in"),
+                     F.aggregate("transactions", F.lit(0), lambda a, x: a + F.size(x["outputs"])).alias("n_out"))
+    return v.groupBy("t").agg(F.count(F.lit(1)).alias("n_records"), F.sum("n_tx").alias("n_transactions"),
+                              F.sum("n_in").alias("n_inputs"), F.sum("n_out").alias("n_outputs"),
+                              F.sum("value").alias("value"))
+
+
 QUERIES: dict[str, Query] = {
     # sources / views
     "elements_scan": elements_scan,
@@ -225,6 +284,13 @@ QUERIES: dict[str, Query] = {
     "nested_transactions": nested_transactions,
     "nested_outputs": nested_outputs,
     "nested_elements": nested_elements,
+    # stored tables, raw files, cells, SQL table functions
+    "top_unspent_by_address": top_unspent_by_address,
+    "unspent_outputs_filtered": unspent_outputs_filtered,
+    "block_file_scan": block_file_scan,
+    "block_index_cells": block_index_cells,
+    "tx_index_cells": tx_index_cells,
+    "sql_script_chunks": sql_script_chunks,
     # other aggregates
     "mode_max": lambda s, d: modes.mode_max(fx.mode_input(s, d), "event_type", "v")
     .withColumnRenamed("mode", "mode_value"),
