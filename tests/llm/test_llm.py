@@ -625,3 +625,43 @@ def test_guess_cost_of_short_values():
     assert guess_cost("~") == 1
     assert guess_cost("zzz") == pytest.approx(1 + np.log10(3))
     assert guess_cost("aaaaapple") == pytest.approx(guess_cost("aaaa") + guess_cost("apple"))
+
+
+def test_hot_words_never_pass_their_bound(spark):
+    many = spark.range(1000).select(F.concat(F.lit("w"), "id").alias("word"), F.lit(200_000).alias("n"))
+    few = spark.range(5).select(F.concat(F.lit("v"), "id").alias("word"), F.lit(10 ** 12).alias("n"))
+    rare = spark.range(50).select(F.concat(F.lit("r"), "id").alias("word"), F.col("id").alias("n"))
+    every = many.unionAll(few).unionAll(rare).withColumn("n", F.col("n").cast("bigint"))
+    assert bpe.hot_words(many.withColumn("n", F.col("n").cast("bigint")), 10).count() == 0
+    assert {r.word[0] for r in bpe.hot_words(every, 10).collect()} == {"v"}
+    assert bpe.hot_words(every, 1005).count() == 1005
+    assert bpe.hot_words(every, 1010).count() == 1010
+    assert bpe.hot_words(every, 10_000).count() == 1055
+
+
+def test_bpe_leaves_the_session_as_it_was(spark, odd):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    bpe.digests(odd, bpe.default_path(), ["doc_id"], hot=10).collect()
+    bpe.encode(odd, bpe.default_path()).count()
+    assert spark.conf.get(name) == before
+
+
+def test_licence_scan_grows_with_the_text(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, " ".join(f"w{i % 977}" for i in range(n))
+                                     + " released under the mit license all rights reserved")],
+                                   "doc_id bigint, text string")
+        best = 1e9
+        for _ in range(2):
+            t = time.perf_counter()
+            r = licences.scan(df).first()
+            best = min(best, time.perf_counter() - t)
+            assert r.labels == "mit,reserved" and r.n_words == n + 8
+        return best
+    seconds(1000)
+    few, many = seconds(60_000), seconds(240_000)
+    assert many < 8 * few + 4, (few, many)              # quadratic: 16 times and more
+    assert seconds(800_000) < 20

@@ -5,14 +5,18 @@ task adds up its own words first); ``word_table`` encodes each distinct word
 once and is written to the shared folder. ``encode`` then splits the texts
 again and puts each word's ids at its place. The table grows with the corpus,
 so it is joined in two parts: the most frequent words (at most ``HOT_WORDS``
-of at most ``HOT_CHARS`` characters, a fixed size bound, found by a threshold
-on the counts) are broadcast; a word outside of them is rare by definition and
-is encoded in the task that meets it, once as long as its bounded memo lasts.
-Sending the rare words' ids through a shuffle instead would move every text or
-every id once more (README has the figures).
-
-``decode`` joins ids with the vocabulary's pieces (fixed size) and decodes the
-bytes as the library does.
+of at most ``HOT_CHARS`` characters, whatever their counts) are broadcast and
+joined in the tasks; a word outside of them is rare and is encoded in the task
+that meets it, once as long as its bounded memo lasts. This departs from the
+method, by which each word is encoded once and ids go back by position: sending
+the rare words' ids through a shuffle would move every text or every id once
+more (README has the figures).
+
+``decode`` looks each id up in the table of the vocabulary's pieces (fixed
+size, made in the task from the vocabulary file) and decodes the bytes as the
+library does; that table is a part of the tokenizer, so no shuffle is needed.
+``digests`` does all of it in one pass of a task: ids, their digest, the decoded
+text and its digest, so that a task has one Python worker.
 
 Edge cases: a null text is empty and has no ids; a text holding an added
 token's string gives that token; repeated rows are encoded each; an empty table
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import materialize, small_batches, text_or_empty
+from .common import arrow_rows, materialize, text_or_empty
 from .pieces import Memo, byte_chars, splitter, tokenizer_path
 
 HOT_WORDS = 300_000       # most words that are broadcast
@@ -74,43 +79,74 @@ def word_table(words: DataFrame, path: str) -> DataFrame:
         encode, "word string, n bigint, ids array<int>"), "words")
 
 
+def _rank(n: Column) -> Column:
+    """A number that grows with a count and has few values: the count itself up
+    to 100,000, beyond it its logarithm in steps of a hundredth of a percent."""
+    return F.when(n <= 100_000, n).otherwise(
+        F.lit(100_000) + F.floor((F.log(n.cast("double")) - float(np.log(100_000))) * 10_000)).cast("bigint")
+
+
 def hot_words(table: DataFrame, most: int = HOT_WORDS, chars: int = HOT_CHARS) -> DataFrame:
-    """The most frequent words of the table, at most ``most`` of them."""
+    """The most frequent words of the table, never more than ``most``: words
+    of like counts come together or not at all."""
     short = table.where(F.length("word") <= chars)
     # how many words stand how often: few rows, as counts repeat
-    steps = short.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().collect()
-    least, total = 100_001, 0
-    for r in sorted(steps, key=lambda r: -r.n):
+    steps = short.groupBy(_rank(F.col("n")).alias("rank")).count().collect()
+    least, total = None, 0
+    for r in sorted(steps, key=lambda r: -r.rank):
         total += r["count"]
         if total > most:
             break
-        least = r.n
-    return short.where(F.col("n") >= least)
+        least = r.rank
+    return short.where(F.lit(False) if least is None else _rank(F.col("n")) >= least)
+
+
+class _Known:
+    """The hot words' table for the tasks; a Python worker unpacks it once."""
+
+    _of: dict[int, dict[str, bytes]] = {}          # of this worker, by broadcast
+
+    def __init__(self, words: DataFrame, path: str, hot: int):
+        top = hot_words(words, hot).select("word", "ids").toArrow()      # at most ``hot`` rows
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, top.schema) as w:
+            w.write_table(top)
+        self.path = path
+        self.shared = words.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+        self.name = id(self.shared), path
+
+    def memo(self) -> Memo:
+        found = _Known._of.get(self.name)
+        if found is None:
+            _Known._of.clear()                     # a worker serves one table at a time
+            t = pa.ipc.open_stream(self.shared.value).read_all().combine_chunks()
+            start: dict[str, bytes] = {}
+            if len(t):
+                ids = t.column("ids").chunk(0)
+                ends = ids.offsets.to_numpy().astype(np.int64) * 4
+                raw = ids.values.to_numpy().astype("<i4", copy=False).tobytes()
+                start = {w: raw[s:e] for w, s, e in zip(t.column("word").to_pylist(),
+                                                        ends.tolist(), ends[1:].tolist())}
+            _Known._of[self.name] = found = Memo(splitter(self.path), "<i4", start)
+        return found
+
+
+def _known_words(docs: DataFrame, path: str, text: str, hot: int) -> _Known:
+    spark = docs.sparkSession
+    with arrow_rows(spark):
+        return _Known(word_table(distinct_words(docs, path, text), path), path, hot)
 
 
 def encode(docs: DataFrame, path: str, *, text: str = "text", out: str = "ids",
            hot: int = HOT_WORDS) -> DataFrame:
     """Documents with their token ids (array<int>) as a further column."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    table = word_table(distinct_words(docs, path, text), path)
-    top = hot_words(table, hot).select("word", "ids").toArrow()      # at most ``hot`` rows
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, top.schema) as w:
-        w.write_table(top)
-    known = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
-    memo: dict[int, Memo] = {}
+    known = _known_words(docs, path, text, hot)
 
     @arrow_udf(T.ArrayType(T.IntegerType()))
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if not memo:
-            t = pa.ipc.open_stream(known.value).read_all()
-            memo[0] = Memo(splitter(path), "<i4", {
-                w: np.array(i, "<i4").tobytes()
-                for w, i in zip(t.column("word").to_pylist(), t.column("ids").to_pylist())})
-        m = memo[0]
+        m = known.memo()
         for texts in batches:
-            got = [m.encode(m.split.pieces(t)) for t in texts.to_pylist()]
+            got = [m.encode(m.split.pieces(t.as_py())) for t in texts]
             ends = np.cumsum([0, *(len(g) // 4 for g in got)], dtype=np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(
                 b"".join(got), "<i4")))
@@ -118,7 +154,43 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", out: str = "ids",
     return docs.withColumn(out, ids_of(text_or_empty(text)))
 
 
-def _piece_bytes(path: str) -> list[bytes]:
+DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
+                        T.StructField("decoded_sha256", T.StringType())])
+
+
+def digests(docs: DataFrame, path: str, keep: list[str], *, text: str = "text",
+            hot: int = HOT_WORDS) -> DataFrame:
+    """The columns ``keep`` of the documents and the struct ``digest``: how many
+    ids a text has, their hex SHA-256 as little-endian unsigned 32-bit integers,
+    and that of the text that they decode to. Small, so it is written, which
+    keeps the batches of texts short without a change to the session."""
+    known = _known_words(docs, path, text, hot)
+
+    @arrow_udf(DIGESTS)
+    def digest_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from hashlib import sha256
+
+        m, get = known.memo(), _pieces(path).__getitem__
+        for texts in batches:
+            n, of_ids, of_text = [], [], []
+            for t in texts:
+                raw = m.encode(m.split.pieces(t.as_py()))
+                ids = np.frombuffer(raw, "<i4")
+                back = b"".join(map(get, ids.tolist())).decode("utf-8", "replace")
+                n.append(len(ids))
+                of_ids.append(sha256(raw).hexdigest())
+                of_text.append(sha256(back.encode()).hexdigest())
+            yield pa.StructArray.from_arrays(
+                [pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())],
+                names=[f.name for f in DIGESTS])
+
+    with arrow_rows(docs.sparkSession):
+        return materialize(docs.sparkSession, docs.select(
+            *[F.col(f"`{c}`") for c in keep], digest_of(text_or_empty(text)).alias("digest")), "digests")
+
+
+@lru_cache(maxsize=2)
+def _pieces(path: str) -> list[bytes]:
     """Bytes of each id's piece in a byte-level vocabulary."""
     to_byte = {c: b for b, c in enumerate(byte_chars())}
     tok = splitter(path).tok
@@ -132,13 +204,9 @@ def _piece_bytes(path: str) -> list[bytes]:
 
 def decode(ids: str, path: str) -> Column:
     """Text of a column of ids, special tokens included."""
-    pieces: list[bytes] = []
-
     @arrow_udf(T.StringType())
     def text_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if not pieces:
-            pieces.extend(_piece_bytes(path))
-        get = pieces.__getitem__
+        get = _pieces(path).__getitem__
         for b in batches:
             flat, ends = b.values.to_numpy(), b.offsets.to_numpy()
             yield pa.array([b"".join(map(get, flat[s:e].tolist())).decode("utf-8", "replace")
@@ -147,19 +215,5 @@ def decode(ids: str, path: str) -> Column:
     return text_of(F.coalesce(F.col(ids), F.array().cast("array<int>")))
 
 
-@arrow_udf(T.StringType())
-def _ids_sha256(ids: pa.Array) -> pa.Array:
-    from hashlib import sha256
-
-    flat, ends = ids.values.to_numpy().astype("<u4", copy=False), ids.offsets.to_numpy()
-    return pa.array([sha256(flat[s:e].tobytes()).hexdigest() for s, e in zip(ends, ends[1:])],
-                    pa.string())
-
-
-def ids_sha256(ids: str) -> Column:
-    """Hex digest of ids as little-endian unsigned 32-bit integers."""
-    return _ids_sha256(F.col(ids))
-
-
 def default_path() -> str:
     return tokenizer_path("byte_bpe_50k.json")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from ..session import materialize
 WORD_GAP = r"[\x20\x09-\x0D]+"
 _GAP_CHARS = " \t\n\x0b\f\r"
 
-__all__ = ["WORD_GAP", "add_blobs", "let", "materialize", "small_batches", "table", "text_or_empty", "words"]
+__all__ = ["WORD_GAP", "add_blobs", "arrow_rows", "let", "materialize", "small_batches", "table", "text_or_empty", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,19 @@ def words(text: str) -> Column:
         F.split(trimmed, WORD_GAP))
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what runs within; the session
+    has its own setting back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Texts can be very long: keep the Arrow batches of this session small, so
     a Python worker holds some megabytes of text at a time."""

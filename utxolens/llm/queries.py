@@ -51,11 +51,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = bpe.default_path()
-    ids = bpe.encode(table(spark, sf_dir, "documents"), path)
-    return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
-                      bpe.ids_sha256("ids").alias("ids_sha256"),
-                      F.sha2(F.encode(bpe.decode("ids", path), "UTF-8"), 256).alias("decoded_sha256"))
+    return bpe.digests(table(spark, sf_dir, "documents"), bpe.default_path(), ["doc_id"]).select(
+        "doc_id", "digest.*")
 
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
