@@ -9,7 +9,8 @@ applies a Chebyshev polynomial in V by its three-term recurrence, scaled to
 stay in [-1, 1] over the unwanted part of the spectrum and to grow fast beyond
 it; then QR and Rayleigh-Ritz. The unwanted interval is taken from the block's
 own Ritz values above and from a short Lanczos run below, so a wrong guess
-costs rounds, not correctness. The rounds end when they are certified: the
+costs rounds, not correctness. Pairs that are sure stay as they are and are
+projected out of the others' products. The rounds end when they are certified: the
 wanted pairs' residuals ``|V q - e q|`` are at rounding level, and a fresh
 random probe, filtered and orthogonal to the block, shows no direction of a
 larger eigenvalue outside of it.
@@ -154,15 +155,21 @@ def _lowest(product, d: int, rng: np.random.Generator) -> tuple[float, float]:
     return max(0.0, values[0] - off[0]), values[-1] + off[-1]
 
 
-def _filter(product, q: np.ndarray, low: float, high: float, top: float, degree: int) -> np.ndarray:
+def _filter(product, q: np.ndarray, low: float, high: float, top: float, degree: int,
+            done: np.ndarray) -> np.ndarray:
     """The Chebyshev polynomial of ``degree`` for [low, high] in V, applied to
-    ``q`` and scaled by its value at ``top`` so that nothing overflows."""
-    e, c = max((high - low) / 2, 1e-300), (high + low) / 2
-    sigma = first = e / (top - c)
-    before, now = q, (product(q) - c * q) * (first / e)
+    ``q`` and scaled by its value at ``top`` so that nothing overflows. The
+    pairs found already, ``done``, are projected out at every step."""
+    def apart(y: np.ndarray) -> np.ndarray:
+        return y - done @ (done.T @ y)
+
+    e, c = max((high - low) / 2, 1e-14 * top), (high + low) / 2
+    sigma = first = e / max(top - c, e)            # a flat spectrum: nothing to tell apart
+    q = apart(q)
+    before, now = q, apart(product(q) - c * q) * (first / e)
     for _ in range(2, degree + 1):
         after = 1.0 / (2.0 / first - sigma)
-        before, now = now, (product(now) - c * now) * (2 * after / e) - (sigma * after) * before
+        before, now = now, apart((product(now) - c * now) * (2 * after / e) - (sigma * after) * before)
         sigma = after
     return now
 
@@ -173,7 +180,7 @@ def leading(product, d: int, k: int = COMPONENTS, seed: int = 7) -> Spectrum:
     m = min(d, k + GUARD)
     low, _ = _lowest(product, d, rng) if m < d else (0.0, 0.0)
     q = np.linalg.qr(rng.standard_normal((d, m)))[0]
-    high = top = None
+    want = min(k, m)
     for _ in range(ROUNDS):
         vq = product(q)
         values, turn = np.linalg.eigh((q.T @ vq + vq.T @ q) / 2)        # Rayleigh-Ritz
@@ -182,22 +189,25 @@ def leading(product, d: int, k: int = COMPONENTS, seed: int = 7) -> Spectrum:
         top = max(values[0], 0.0)
         if m == d or top == 0.0:                  # the block is the whole space
             break
-        want = min(k, m)
-        residual = np.linalg.norm(vq[:, :want] - q[:, :want] * values[:want], axis=0).max()
-        high = max(values[-1], low)
-        if residual <= CLOSE * top * np.sqrt(d):
+        off = np.linalg.norm(vq[:, :want] - q[:, :want] * values[:want], axis=0)
+        sure = off <= CLOSE * top * np.sqrt(d)
+        locked = want if sure.all() else int(np.argmin(sure))
+        done, high = q[:, :locked], max(values[-1], low)
+        if locked == want:
             # a fresh direction, filtered at the last wanted value: nothing larger may be left
             probe = rng.standard_normal((d, 1))
-            probe = _filter(product, probe - q @ (q.T @ probe), low, values[want - 1], top, DEGREE)
+            last = max(values[want - 1], low, RANK * top)
+            probe = _filter(product, probe, low, last, last * (1 + 1e-3), DEGREE, q)
             for _ in range(2):
                 probe = probe - q @ (q.T @ probe)
             size = np.linalg.norm(probe)
             if size <= 1e-10 or float((probe.T @ product(probe))[0, 0]) / size ** 2 \
-                    <= values[want - 1] * (1 + 1e-9):
+                    <= last + 1e-9 * top:
                 break
             q = np.linalg.qr(np.hstack([q[:, :-1], probe / size]))[0]   # a miss: take it in
             continue
-        q = np.linalg.qr(_filter(product, q, low, high, top, DEGREE))[0]
+        fresh = _filter(product, q[:, locked:], low, high, max(values[locked], high), DEGREE, done)
+        q = np.linalg.qr(np.hstack([done, fresh]))[0]
     else:
         raise ArithmeticError(f"not certified after {ROUNDS} rounds")
     vq = product(q[:, :k])
