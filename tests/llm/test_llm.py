@@ -665,3 +665,25 @@ def test_licence_scan_grows_with_the_text(spark):
     few, many = seconds(60_000), seconds(240_000)
     assert many < 8 * few + 4, (few, many)              # quadratic: 16 times and more
     assert seconds(800_000) < 20
+
+
+def test_nearest_of_repeated_ids_and_every_length(spark):
+    rng = np.random.default_rng(5)
+    x, short = rng.normal(size=(300, 24)), rng.normal(size=(40, 3))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, v.tolist()) for i, v in enumerate(short)]
+    rows += [(50, x[50].tolist()), (50, x[50].tolist()), (50, short[7].tolist()), (7, x[8].tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("row", F.lit("clash"))
+    got = ann.nearest(df, F.col("vec_id") % 50 == 0).collect()
+
+    def best(pool, q, at):
+        own = [(-float(np.dot(v, q) / np.linalg.norm(v) / np.linalg.norm(q)), i) for i, v in pool if i != at]
+        return [i for _, i in sorted(own)[:5]]
+    long = [(i, v) for i, v in rows if len(v) == 24]
+    little = [(i, v) for i, v in rows if len(v) == 3]
+    of = {}
+    for r in got:
+        of.setdefault(r.query_id, []).append(r)
+    assert set(of) == {0, 50, 100, 150, 200, 250, 1000}
+    assert len(of[50]) == 20 and sorted(r["rank"] for r in of[50]) == sorted([1, 2, 3, 4, 5] * 4)
+    assert sorted(r.vec_id for r in of[50]) == sorted(best(long, x[50], 50) * 3 + best(little, short[7], 50))
+    assert [r.vec_id for r in sorted(of[1000], key=lambda r: r.rank)] == best(little, short[0], 1000)

@@ -15,9 +15,11 @@ queries, however the vectors crowd; cells are independent tasks, and the best
 k of each meet per query.
 
 Edge cases: vectors that are null, empty or zero, or hold null or non-finite
-components, take no part, nor do those of another length than the most common
-one; equal scores go to the smaller id; repeated ids count as rows of their
-own but are never their own neighbours; an empty table gives an empty result.
+components, take no part; those of one length are searched among themselves
+(more than ``MAX_LENGTHS`` lengths raise); equal scores go to the smaller id;
+every query row has its own neighbours, also where ids repeat, and rows of a
+query's id are no neighbours of it; an empty table gives an empty result; other
+columns take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ BLOCK = 16                # dimensions of a block
 EPS = 2.1
 CELL = 4_096              # candidates of a cell
 QUERIES = 1_024           # queries of a cell
+MAX_LENGTHS = 64          # most lengths of vectors
 
 
 def usable(v: Column) -> Column:
@@ -124,17 +127,31 @@ def _best(q, c, dist, k: int) -> np.ndarray:
 
 def nearest(vectors: DataFrame, is_query: Column, *, key: str = "vec_id",
             vector: str = "embedding", k: int = 5, probe: float = PROBE) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query row's k nearest found."""
+    """(query_id, rank, vec_id, score): each query row's k nearest found, among
+    the vectors of its own length."""
     spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     good = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"),
                           F.coalesce(is_query, F.lit(False)).alias("asks")).where(
         usable(F.col("v")) & F.col("id").isNotNull())
-    dims = good.groupBy(F.size("v").alias("d")).count().collect()   # one row per length
-    if not dims:
-        return empty
-    dim, n = max(((r.d, r["count"]) for r in dims), key=lambda x: (x[1], x[0]))
-    good = good.where(F.size("v") == dim).withColumn("v", F.col("v").cast("array<double>"))
+    # one row per length
+    dims = good.groupBy(F.size("v").alias("d")).agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or("asks").alias("asked")).limit(MAX_LENGTHS + 1).collect()
+    if len(dims) > MAX_LENGTHS:
+        raise ValueError(f"vectors of more than {MAX_LENGTHS} lengths")
+    out = None
+    for r in sorted(dims, key=lambda r: r.d):
+        if r.asked:
+            found = _nearest_of_length(good.where(F.size("v") == r.d), r.d, r.n, k, probe)
+            out = found if out is None else out.unionAll(found)
+    if out is None:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    return out
+
+
+def _nearest_of_length(good: DataFrame, dim: int, n: int, k: int, probe: float) -> DataFrame:
+    """``nearest`` of (id, v, asks) rows whose vectors have ``dim`` components."""
+    spark = good.sparkSession
+    good = good.withColumn("v", F.col("v").cast("array<double>"))
     taken = good.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
     centroids, turn = fit(_matrix(taken.column("v"), dim), n)
 
@@ -144,10 +161,12 @@ def nearest(vectors: DataFrame, is_query: Column, *, key: str = "vec_id",
             yield pa.RecordBatch.from_arrays(
                 [pa.array((x @ centroids.T).argmax(axis=1).astype(np.int32)), *b.columns,
                  pa.array(list((x @ turn).astype(np.float32)), pa.list_(pa.float32()))],
-                names=["list", "id", "v", "asks", "r"])
+                names=["list", "row", "id", "v", "asks", "r"])
 
-    index = materialize(spark, good.mapInArrow(
-        place, "list int, id bigint, v array<double>, asks boolean, r array<float>"), "lists")
+    # a mark of its own for every row: ids may repeat
+    marked = good.select(F.monotonically_increasing_id().alias("row"), "id", "v", "asks")
+    index = materialize(spark, marked.mapInArrow(
+        place, "list int, row bigint, id bigint, v array<double>, asks boolean, r array<float>"), "lists")
     sizes = {r.list: r["count"] for r in index.groupBy("list").count().collect()}   # per list
     held = np.array([sizes.get(i, 0) for i in range(len(centroids))])
     probes = max(1, int(np.ceil(probe * len(centroids))))
@@ -161,12 +180,12 @@ def nearest(vectors: DataFrame, is_query: Column, *, key: str = "vec_id",
                                                 len(centroids)))
             lists = [o[:c][held[o[:c]] > 0].tolist() for o, c in zip(order, count)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("v"), b.column("r"), pa.array(lists, pa.list_(pa.int32()))],
-                names=["id", "v", "r", "lists"])
+                [b.column("row"), b.column("id"), b.column("v"), b.column("r"),
+                 pa.array(lists, pa.list_(pa.int32()))], names=["row", "id", "v", "r", "lists"])
 
-    asks = index.where("asks").select("id", "v", "r").mapInArrow(
-        aim, "id bigint, v array<double>, r array<float>, lists array<int>").select(
-        "id", "v", "r", F.explode("lists").alias("list"))
+    asks = index.where("asks").select("row", "id", "v", "r").mapInArrow(
+        aim, "row bigint, id bigint, v array<double>, r array<float>, lists array<int>").select(
+        "row", "id", "v", "r", F.explode("lists").alias("list"))
     # cells per list: candidate cuts by its size, query cuts by how many probe it
     probed = {r.list: r["count"] for r in asks.groupBy("list").count().collect()}
     cuts = spark.createDataFrame(
@@ -174,14 +193,14 @@ def nearest(vectors: DataFrame, is_query: Column, *, key: str = "vec_id",
          for i, h in enumerate(held)], "list int, nc int, nq int")     # one row per list
     cuts = F.broadcast(cuts)
     left = index.join(cuts, "list").withColumn(
-        "cut", F.pmod(F.xxhash64("id"), "nc").cast("int")).select(
+        "cut", F.pmod(F.xxhash64("row"), "nc").cast("int")).select(
         "list", "cut", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qcut"), "id", "v", "r")
     right = asks.join(cuts, "list").withColumn(
-        "qcut", F.pmod(F.xxhash64("id"), "nq").cast("int")).select(
-        "list", F.explode(F.sequence(F.lit(0), F.col("nc") - 1)).alias("cut"), "qcut", "id", "v", "r")
+        "qcut", F.pmod(F.xxhash64("row"), "nq").cast("int")).select(
+        "list", F.explode(F.sequence(F.lit(0), F.col("nc") - 1)).alias("cut"), "qcut", "row", "id", "v", "r")
 
     def solve(cands: pa.Table, queries: pa.Table) -> pa.Table:
-        none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()),
+        none = pa.table({"row": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()),
                          "score": pa.array([], pa.float64())})
         if not len(cands) or not len(queries):
             return none
@@ -200,11 +219,11 @@ def nearest(vectors: DataFrame, is_query: Column, *, key: str = "vec_id",
         start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
         rank = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
         keep = rank < k
-        return pa.table({"query_id": qi[q[keep]], "vec_id": ci[c[keep]], "score": score[keep]})
+        return pa.table({"row": queries.column("row").to_numpy()[q[keep]], "query_id": qi[q[keep]], "vec_id": ci[c[keep]], "score": score[keep]})
 
     found = left.groupBy("list", "cut", "qcut").cogroup(
         right.groupBy("list", "cut", "qcut")).applyInArrow(
-        solve, "query_id bigint, vec_id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        solve, "row bigint, query_id bigint, vec_id bigint, score double")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
