@@ -1,8 +1,8 @@
 """Licence scans by diagonal voting, in DataFrame operations only.
 
-Every run of ``K`` words of a text is hashed and joined with the runs of the
-templates (a fixed, small list, so that side is broadcast); the words are
-compared after the hash. A match of text place p with template place q votes
+Every run of ``K`` words of a text is hashed; those with the hash of a run of
+the templates are joined with them (a fixed, small list, so that side is
+broadcast), and the words are compared after the hash. A match of text place p with template place q votes
 for the diagonal p - q. Votes are summed per document, template and diagonal;
 diagonals at most ``SLACK`` words apart are merged, so an inserted or missing
 word does not split a span; a merged span is verified by the share of the
@@ -107,15 +107,22 @@ def phrase_places(w: Column, phrase: str) -> Column:
 def votes(docs: DataFrame, templates=TEMPLATES, *, key: str = "doc_id", text: str = "text",
           k: int = K, slack: int = SLACK) -> DataFrame:
     """Merged diagonals: key, text hash, template, votes and the span's words."""
-    t = text_or_empty(text)
-    own = (docs.select(F.col(key).alias("key"), F.xxhash64(t).alias("h0"),
-                       normal_words(text).alias("w"))
-           .select("key", "h0", "w", F.explode(runs(F.col("w"), k)).alias("x")))
-    here = F.array_join(F.slice("w", F.col("x.p") + 1, F.lit(k)), " ")
+    known = template_runs(docs.sparkSession, templates, k)
+    hashes = [r.h for r in known.select("h").distinct().collect()]       # the templates' words, at most
+
+    def hits(w: Column) -> Column:
+        """Runs whose hash a template has, with their own words: a row carries
+        no more of its text, so the work grows with the text's length."""
+        return F.transform(F.filter(runs(w, k), lambda x: x["h"].isin(hashes)), lambda x: F.struct(
+            x["p"].alias("p"), x["h"].alias("h"),
+            F.array_join(F.slice(w, x["p"] + 1, F.lit(k)), " ").alias("here")))
+
+    own = docs.select(F.col(key).alias("key"), F.xxhash64(text_or_empty(text)).alias("h0"),
+                      F.explode(let(normal_words(text), hits)).alias("x"))
     # joined by hash; the words are compared for what the hash lets through
+    here = F.col("x.here")
     same = F.coalesce(here.startswith(F.col("run")) & F.col("run").startswith(here), F.lit(False))
-    found = (own.join(F.broadcast(template_runs(docs.sparkSession, templates, k)),
-                      (F.col("x.h") == F.col("h")) & same)
+    found = (own.join(F.broadcast(known), (F.col("x.h") == F.col("h")) & same)
              .select("key", "h0", "tid", F.col("x.p").alias("p"), "q")
              .distinct())                              # repeated rows match alike: once is enough
     by_diagonal = found.groupBy("key", "h0", "tid", (F.col("p") - F.col("q")).alias("d")).agg(
