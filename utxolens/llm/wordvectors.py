@@ -55,6 +55,7 @@ EPOCHS = 300
 DECAY = 1e-4
 
 _CORE = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+_MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
 def index_vectors() -> np.ndarray:
@@ -66,18 +67,27 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def form(word: bytes) -> bytes:
-    """Case and punctuation of a word: ``Xx``, ``x``, ``XX``, ``9`` or nothing
-    for its letters, other characters (at most three on a side) as they are."""
-    found = _CORE.search(word)
-    if found is None:
-        return word[:4]
-    core = word[found.start():].decode("utf-8", "replace").rstrip("!?.,;:#$%&*|<>()[]{}\"'-_=+/\\~^@`")
-    kind = ("9" if core.isdigit() else "x" if core == core.lower() else
-            "XX" if len(core) > 1 and core == core.upper() else
-            "Xx" if core[1:] == core[1:].lower() else "xX")
-    tail = word[found.start() + len(core.encode()):]
-    return word[:found.start()][:3] + kind.encode() + tail[:3]
+def _kind(core) -> bytes:
+    return (b"9" if core.isdigit() else b"x" if core == core.lower() else
+            b"XX" if len(core) > 1 and core == core.upper() else
+            b"Xx" if core[1:] == core[1:].lower() else b"xX")
+
+
+def letters_and_form(word: bytes) -> tuple[bytes, bytes]:
+    """A word's letters and digits in lower case, and its form: case (``Xx``,
+    ``x``, ``XX``, ``xX``, ``9``) with the punctuation (at most three bytes) on
+    either side."""
+    if word.isascii():
+        core = word.strip(_MARKS)
+        if not core:
+            return b"", word[:4]
+        low, at = core.lower(), word.index(core)
+        return (low if low.isalnum() else b"".join(_CORE.findall(low)),
+                word[:at][:3] + _kind(core) + word[at + len(core):][:3])
+    core = word.strip(_MARKS)
+    text, at = core.decode("utf-8", "replace"), word.index(core)
+    return (b"".join(_CORE.findall(text.lower().encode())),
+            word[:at][:3] + _kind(text) + word[at + len(core):][:3])
 
 
 class Lexicon(dict):
@@ -88,9 +98,9 @@ class Lexicon(dict):
         self.core, self.form = array("i"), array("i")
 
     def __missing__(self, word: bytes) -> int:
-        core = b"".join(_CORE.findall(word)).decode("utf-8", "replace").lower().encode()
+        core, shape = letters_and_form(word)
         self.core.append(zlib.crc32(core) % ROWS)
-        self.form.append(zlib.crc32(form(word), 0x5EED) % ROWS)
+        self.form.append(zlib.crc32(shape, 0x5EED) % ROWS)
         at = self[word] = len(self)
         return at
 
@@ -99,6 +109,9 @@ class Lexicon(dict):
             self.clear()
             self.core, self.form = array("i"), array("i")
 
+    def numbers(self, tokens: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+
     def rows(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.array(self.core, np.int32)[numbers], np.array(self.form, np.int32)[numbers]
 
@@ -128,32 +141,32 @@ def _slices(texts: list[bytes | None], words: Lexicon
             flat += tokens
             size += len(t)
         if size >= SLICE:
-            yield np.array(docs), np.array(starts), np.array([words[w] for w in flat], np.int64)
+            yield np.array(docs), np.array(starts), words.numbers(flat)
             docs, starts, flat, size = [], [], [], 0
             words.trim()
     if flat:
-        yield np.array(docs), np.array(starts), np.array([words[w] for w in flat], np.int64)
+        yield np.array(docs), np.array(starts), words.numbers(flat)
         words.trim()
 
 
 def _contexts(index: np.ndarray, core: np.ndarray, shape: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sum of index vectors at a place (twice) and at the two beside it."""
-    own = index[core] + index[shape]
+    """Sum of index vectors at a place (twice) and at the two beside it, as
+    (DIMS, places)."""
+    own = index.take(core, axis=1)
+    own += index.take(shape, axis=1)
+    beside = np.ones(len(core), np.int8)
+    beside[starts] = 0                            # no neighbour before a text's first word
     out = own * np.int8(2)
-    beside = np.ones(len(core), bool)
-    beside[starts] = False                        # no neighbour before a text's first word
-    at = np.flatnonzero(beside)
-    out[at] += own[at - 1]
-    out[at - 1] += own[at]
+    out[:, 1:] += own[:, :-1] * beside[1:]
+    out[:, :-1] += own[:, 1:] * beside[1:]
     return out
 
 
 def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sums of their value rows."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.diff(keys, prepend=-1))
-    return keys[first], np.add.reduceat(values[order], first, axis=0, dtype=np.int32)
+    """Distinct keys and the sums of their columns of ``values``."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")          # ROWS fit; a radix sort
+    first = np.flatnonzero(np.diff(keys[order], prepend=-1))
+    return keys[order[first]], np.add.reduceat(values.take(order, axis=1), first, axis=1, dtype=np.int32)
 
 
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -161,16 +174,16 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        index, words = index_vectors(), Lexicon()
+        index, words = np.ascontiguousarray(index_vectors().T), Lexicon()
         total = np.zeros((ROWS, DIMS + 1), np.int64)     # the last place counts
         part = TaskContext.get().partitionId()
         for b in batches:
             for _, starts, numbers in _slices(b.column(0).cast(pa.binary()).to_pylist(), words):
-                core, shape = words.rows(numbers) if len(words) else (None, None)
-                around = _contexts(index, core, shape, starts)
-                for at in (core, shape):
+                both = words.rows(numbers)
+                around = _contexts(index, *both, starts)
+                for at in both:
                     rows, sums = _grouped(at, around)
-                    total[rows, :DIMS] += sums
+                    total[rows, :DIMS] += sums.T
                     total[:, DIMS] += np.bincount(at, minlength=ROWS)
         wide = np.abs(total).max() >= 2 ** 31
         for block in range(0, ROWS, BLOCK):
@@ -197,21 +210,27 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     return np.divide(v, size, out=np.zeros_like(v), where=size > 0).astype(np.float32)
 
 
-def pool(texts: list[bytes | None], vectors: np.ndarray, words: Lexicon) -> np.ndarray:
-    """Pooled vectors of texts, one row each."""
-    n = np.zeros((len(texts), 1))
-    sums = np.zeros((3, len(texts), DIMS))
-    for docs, starts, numbers in _slices(texts, words):
-        # the lexicon is trimmed after a slice is used, as the generator goes on
-        core, shape = words.rows(numbers)
-        v = vectors[core]
-        for k, rows in enumerate((v, vectors[shape], v * v)):
-            np.add.at(sums[k], docs, np.add.reduceat(rows, starts, axis=0))
-        np.add.at(n[:, 0], docs, np.diff([*starts, len(numbers)]))
-    least = np.maximum(n, 1.0)
-    mean, forms, squares = sums / least
-    spread = np.sqrt(np.maximum(squares - mean * mean, 0.0))
-    return np.hstack([mean, forms, spread, np.log1p(n)]).astype(np.float32)
+class Pool:
+    """Pooled vectors of texts by the word-vector table."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.first = np.ascontiguousarray(vectors.T)          # (DIMS, ROWS): a text's places lie together
+        self.second = self.first * self.first
+        self.words = Lexicon()
+
+    def __call__(self, texts: list[bytes | None]) -> np.ndarray:
+        """One row for each text."""
+        n = np.zeros((len(texts), 1))
+        sums = np.zeros((3, len(texts), DIMS))
+        for docs, starts, numbers in _slices(texts, self.words):
+            core, shape = self.words.rows(numbers)
+            for k, (table, rows) in enumerate(((self.first, core), (self.first, shape), (self.second, core))):
+                # a long text is several segments of a slice or of slices
+                np.add.at(sums[k], docs, np.add.reduceat(table.take(rows, axis=1), starts, axis=1).T)
+            np.add.at(n[:, 0], docs, np.diff([*starts, len(numbers)]))
+        mean, forms, squares = sums / np.maximum(n, 1.0)
+        spread = np.sqrt(np.maximum(squares - mean * mean, 0.0))
+        return np.hstack([mean, forms, spread, np.log1p(n)]).astype(np.float32)
 
 
 def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
@@ -319,13 +338,13 @@ class Model:
         @F.arrow_udf("double")
         def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             vectors, network, constant = known.value
-            words = Lexicon()
+            pool = Pool(vectors)
             for b in batches:
                 if network is None:
                     yield pa.array(np.full(len(b), constant))
                 else:
                     yield pa.array(network.probability(
-                        pool(b.cast(pa.binary()).to_pylist(), vectors, words)).astype(np.float64))
+                        pool(b.cast(pa.binary()).to_pylist())).astype(np.float64))
 
         return docs.withColumn(out, scores(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
 
@@ -340,10 +359,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Lexicon()
+        pool = Pool(known.value)
         for b in batches:
             if b.num_rows:
-                x = pool(b.column("text").cast(pa.binary()).to_pylist(), known.value, words)
+                x = pool(b.column("text").cast(pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_pydict(
                     {"order": b.column("hash"), "y": b.column("y"),
                      "x": pa.array([r.tobytes() for r in x], pa.binary())})
