@@ -167,13 +167,13 @@ def test_other_scripts_have_no_template(spark):
     assert [tuple(r) for r in df.select(code, S.template_structure(code)).collect()] == [(None, None)] * 2
 
 
-def test_unspent_types_move_open_scripts_only(spark, stored):
+def test_unspent_types_move_structures_not_scripts(spark, stored):
     df, _ = stored
     got = scriptstats.unspent_script_types(df)
+    plan = got._jdf.queryExecution().executedPlan().toString()
     want = (utxo.unspent_outputs(df).select(S.script_structure(F.col("script")).alias("s"))
             .groupBy("s").agg(F.count(F.lit(1)).alias("n")))
     assert rows(got) == rows(want)
-    got.collect()
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    final = plan.split("+- == Initial Plan ==")[0]
-    assert final.count("Exchange hashpartitioning") <= 5, final
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("FileScan") == 1
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x or "partial_max" in x]
+    assert not any("script#" in x for x in moved), moved

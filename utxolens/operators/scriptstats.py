@@ -54,20 +54,12 @@ def script_distribution(elements: DataFrame) -> DataFrame:
 def unspent_script_types(elements: DataFrame, compact_keys: bool = False) -> DataFrame:
     """``scriptStruct, count``: structure strings over unspent outputs.
 
-    Scripts that a template decides ride through the outpoint fold as the
-    template's number. The scripts of other outputs (few in a real ledger) are
-    semi-joined with the surviving keys; no other script is moved."""
-    code = F.when(F.col("type") == 1, S.template_code(F.col("script")))
-    folded = utxo.unspent_keys(elements.select("type", *KEY, code.alias("_code")), "_code",
-                               compact_keys=compact_keys)
-    decided = (folded.where(F.col("_code").isNotNull()).groupBy("_code").agg(F.count(F.lit(1)).alias("count"))
-               .select(S.template_structure(F.col("_code")).alias("scriptStruct"), "count"))
-    rest = elements.where(F.col("type") == 1).select("type", *KEY, "script").where(
-        S.template_code(F.col("script")).isNull())
-    open_ = utxo.semi_keys(rest, folded.where(F.col("_code").isNull()), compact_keys)
-    parsed = (open_.select(S.parsed_structure(F.col("script")).alias("scriptStruct"))
-              .groupBy("scriptStruct").agg(F.count(F.lit(1)).alias("count")))
-    return (decided.unionByName(parsed).groupBy("scriptStruct").agg(F.sum("count").alias("count")))
+    The structure (a short text) rides through the outpoint fold in place of the
+    script: one scan, one shuffle of keys, one of distinct structures."""
+    own = elements.select("type", *KEY, F.when(F.col("type") == 1, F.col("script")).alias("script"))
+    told = S.with_structure(own, "script", "scriptStruct").drop("script")
+    return (utxo.unspent_keys(told, "scriptStruct", compact_keys=compact_keys)
+            .groupBy("scriptStruct").agg(F.count(F.lit(1)).alias("count")))
 
 
 def script_type_distribution(elements: DataFrame) -> DataFrame:

@@ -69,8 +69,8 @@ def outpoint_fold(elements: DataFrame, *numeric: str | Column,
     """``<key>, n, max_type[, numeric payload…]`` per outpoint (key =
     ``tx_hash, idx`` or ``_k, idx`` with compact keys).
 
-    Payload columns must be numeric (they are taken with ``max``, exact for
-    single-row groups) so the aggregate stays a HashAggregate.
+    Payload columns are taken with ``max``, exact for single-row groups. Numeric
+    ones keep the aggregate a HashAggregate; a text makes it a SortAggregate.
     """
     df, key = _keyed(elements, compact_keys)
     aggs = [F.count(F.lit(1)).alias("n"), F.max("type").alias("max_type")]
