@@ -168,11 +168,12 @@ def test_ranges_of_a_spark_read(spark):
             f.write(messy_file(seed))
     path = os.path.join(d, "*.dat")
     kept, lost = None, None
-    for split in (700, 4096, 1 << 30):
-        df = bf.read_block_files(spark, path, on_damage="skip", verify=True, split_bytes=split)
+    for split in (700, 4096, 1 << 30, None):               # the last: whole files through Spark's reader
+        how = {"whole_files": True} if split is None else {"split_bytes": split}
+        df = bf.read_block_files(spark, path, on_damage="skip", verify=True, **how)
         rows = sorted((r.file, r.t, r["size"], r.block_hash, r.n) for r in df.select(
             "file", "t", "size", "block_hash", F.size("transactions").alias("n")).collect())
-        gone = sorted(map(tuple, bf.rejected_ranges(spark, path, verify=True, split_bytes=split).collect()))
+        gone = sorted(map(tuple, bf.rejected_ranges(spark, path, verify=True, **how).collect()))
         if kept is None:
             kept, lost = rows, gone
             assert df.rdd.getNumPartitions() > 20

@@ -273,19 +273,22 @@ def batches_of(found: Iterator[tuple[str, int, Block]], blocks_per_batch: int
 
 def read_block_files(spark: SparkSession, path: str, magic: bytes = MAINNET_MAGIC,
                      blocks_per_batch: int = 64, on_damage: str = "fail", verify: bool = False,
-                     split_bytes: int = SPLIT_BYTES, max_block: int = MAX_BLOCK) -> DataFrame:
+                     split_bytes: int = SPLIT_BYTES, max_block: int = MAX_BLOCK,
+                     whole_files: bool = False) -> DataFrame:
     """``file, size, block_hash, t, transactions`` for every block in the files
     at ``path`` (a file, directory or glob), read in ranges of ``split_bytes``;
     the rows do not depend on the ranges. Damaged ranges fail the read unless
-    ``on_damage="skip"``; ``rejected_ranges`` lists them."""
+    ``on_damage="skip"``; ``rejected_ranges`` lists them. ``whole_files`` reads
+    through Spark's own file systems, a file a task."""
     from . import blockscan
 
-    return blockscan.reader(spark, magic, verify, split_bytes, max_block).option(
-        "blocksPerBatch", str(blocks_per_batch)).option("onDamage", on_damage).load(path)
+    return blockscan.load(spark, path, whole_files, magic=magic, verify=verify, splitBytes=split_bytes,
+                          maxBlock=max_block, blocksPerBatch=blocks_per_batch, onDamage=on_damage)
 
 
 def rejected_ranges(spark: SparkSession, path: str, magic: bytes = MAINNET_MAGIC, verify: bool = False,
-                    split_bytes: int = SPLIT_BYTES, max_block: int = MAX_BLOCK) -> DataFrame:
+                    split_bytes: int = SPLIT_BYTES, max_block: int = MAX_BLOCK,
+                    whole_files: bool = False) -> DataFrame:
     """``file, offset, length, reason`` of every byte range that is not read:
     what lies before the first damaged record of a run, and the run from it on.
 
@@ -296,8 +299,8 @@ def rejected_ranges(spark: SparkSession, path: str, magic: bytes = MAINNET_MAGIC
 
     from . import blockscan
 
-    pieces = blockscan.reader(spark, magic, verify, split_bytes, max_block).option(
-        "rows", "rejected").load(path)
+    pieces = blockscan.load(spark, path, whole_files, magic=magic, verify=verify, splitBytes=split_bytes,
+                            maxBlock=max_block, rows="rejected")
     w = Window.partitionBy("file").orderBy("offset")
     touches = F.coalesce(F.lag(F.col("offset") + F.col("length")).over(w) == F.col("offset"), F.lit(False))
     run = F.sum(F.when(touches, 0).otherwise(1)).over(w)

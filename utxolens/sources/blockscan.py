@@ -19,7 +19,8 @@ the one that does; in undamaged files that is one block decoded twice.
 Options: ``magic`` (hex), ``splitBytes``, ``maxBlock``, ``blocksPerBatch``,
 ``onDamage`` (``fail`` or ``skip``), ``verify`` (``true`` or ``false``),
 ``rows`` (``blocks`` or ``rejected``: pieces of byte ranges that hold no block).
-Paths are local or any that Arrow's file systems open on all executors.
+Paths are local or any that Arrow's file systems open on all executors; for
+others ``read_block_files(whole_files=True)`` reads whole files through Spark.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from typing import NamedTuple
 from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrameReader, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .blockfile import (BLOCK_FILE_ROWS, MAINNET_MAGIC, MAX_BLOCK, SPLIT_BYTES, Block, DamagedBlock,
@@ -142,6 +143,16 @@ class ByteFile:
         return False
 
 
+class HeldFile(ByteFile):
+    """A file whose bytes are in memory."""
+
+    def __init__(self, path: str, data: bytes):
+        self.path, self.length, self.at, self.chunk = path, len(data), 0, data
+
+    def close(self) -> None:
+        self.chunk = b""
+
+
 # --- records -----------------------------------------------------------------
 
 class Piece(NamedTuple):
@@ -258,35 +269,48 @@ class BlockFileReader(DataSourceReader):
         files = [f for p in self.path.split("\n") for f in list_files(p)]
         return plan(files, self.split) or [Ranges([])]
 
-    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
-        found = self._pieces(partition) if self.rejected else batches_of(self._blocks(partition),
-                                                                         self.per_batch)
-        yield from found
+    def read(self, partition: Ranges, held: ByteFile | None = None) -> Iterator[pa.RecordBatch]:
+        found = self._scan(partition, held)
+        yield from self._pieces(found) if self.rejected else batches_of(self._blocks(found), self.per_batch)
 
-    def _scan(self, partition: Ranges) -> Iterator[tuple[ByteFile, tuple[int, Block] | Piece]]:
+    def _scan(self, partition: Ranges, held: ByteFile | None
+              ) -> Iterator[tuple[ByteFile, tuple[int, Block] | Piece]]:
         for path, start, end, length in partition.ranges:
-            file = ByteFile(path, length)
+            file = held or ByteFile(path, length)
             try:
                 for x in Scan(file, self.magic, self.verify, self.max_block).range(start, end):
                     yield file, x
             finally:
                 file.close()
 
-    def _blocks(self, partition: Ranges) -> Iterator[tuple[str, int, Block]]:
-        for file, x in self._scan(partition):
+    def _blocks(self, found) -> Iterator[tuple[str, int, Block]]:
+        for file, x in found:
             if not isinstance(x, Piece):
                 yield file.path, *x
             elif self.on_damage == "fail" and file.filled(x.offset, x.offset + x.length):
                 raise DamagedBlockFile(f"{file.path}: {x.length} bytes at {x.offset}: {x.reason}")
 
-    def _pieces(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
-        for file, x in self._scan(partition):
+    def _pieces(self, found) -> Iterator[pa.RecordBatch]:
+        for file, x in found:
             if isinstance(x, Piece):
                 yield pa.RecordBatch.from_pylist(
                     [{"file": file.path, **x._asdict(),
                       "filled": file.filled(x.offset, x.offset + x.length)}], schema=PIECES)
 
 
+def decode_contents(named: dict):
+    """A ``mapInArrow`` function from (path, content) rows to the rows that the
+    source gives with the options ``named``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = BlockFileReader({"path": "-"} | named)
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content")):
+                data = content.as_py() or b""
+                yield from own.read(Ranges([(path, 0, len(data), len(data))]), HeldFile(path, data))
+
+    return run
+
+
 def decode_paths(magic: bytes, blocks_per_batch: int):
     """A ``mapInArrow`` function from (path, length) rows to block rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,10 +338,14 @@ class BlockFileSource(DataSource):
         return BlockFileReader(dict(self.options))
 
 
-def reader(spark: SparkSession, magic: bytes, verify: bool, split_bytes: int,
-           max_block: int) -> DataFrameReader:
-    """A DataFrame reader of the source with its options set."""
+def load(spark: SparkSession, path: str, whole_files: bool, **options) -> DataFrame:
+    """The source's rows for ``path``. With ``whole_files`` Spark's own reader
+    opens the files, one a task and at most 2 GiB each: for file systems that
+    only Spark can open."""
+    named = {k: v.hex() if isinstance(v, bytes) else str(v).lower() for k, v in options.items()}
+    if whole_files:
+        schema = BlockFileSource({"path": path} | named).schema()
+        return (spark.read.format("binaryFile").load(path.split("\n")).select("path", "content")
+                .mapInArrow(decode_contents(named), schema))
     spark.dataSource.register(BlockFileSource)
-    return (spark.read.format("blockfile").option("magic", magic.hex())
-            .option("verify", str(verify).lower()).option("splitBytes", str(split_bytes))
-            .option("maxBlock", str(max_block)))
+    return spark.read.format("blockfile").options(**named).load(path)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 from .blockfile import BLOCK_FILE_ROWS, MAINNET_MAGIC, read_block_files
-from .blockscan import FileInfo, list_files
+from .blockscan import FileInfo
 
 ENTRY = ("path string, length bigint, modified bigint, magic string, verify boolean, run string, "
          "part string, decoded bigint")
@@ -51,10 +51,18 @@ class Entry(NamedTuple):
 
 
 class DecodeStore:
-    def __init__(self, spark: SparkSession, root: str | None = None, keep: int = KEEP):
-        self.spark, self.keep = spark, keep
+    def __init__(self, spark: SparkSession, root: str | None = None, keep: int = KEEP,
+                 whole_files: bool = False):
+        self.spark, self.keep, self.whole_files = spark, keep, whole_files
         self.root = (root or f"{checkpoint_dir(spark).rstrip('/')}/utxolens/decoded").rstrip("/")
 
+    def _files(self, path: str) -> list[FileInfo]:
+        """Files at a path, listed by Spark (their contents are not read)."""
+        rows = (self.spark.read.format("binaryFile").load(path)
+                .select("path", "length", F.unix_millis("modificationTime").alias("modified"))
+                .orderBy("path").collect())
+        return [FileInfo(*r) for r in rows]
+
     def entries(self) -> list[Entry]:
         """The manifest."""
         try:
@@ -80,7 +88,8 @@ class DecodeStore:
         run, now = uuid.uuid4().hex, int(time.time())
         made = [Entry(*f, magic.hex(), verify, run, f"{i:06d}", now) for i, f in enumerate(files)]
         parts = self.spark.createDataFrame([(e.path, e.part) for e in made], "file string, part string")
-        blocks = read_block_files(self.spark, "\n".join(f.path for f in files), magic, verify=verify)
+        blocks = read_block_files(self.spark, "\n".join(f.path for f in files), magic, verify=verify,
+                                  whole_files=self.whole_files)
         (blocks.join(F.broadcast(parts), "file").select(*blocks.columns, "part")
          .write.partitionBy("part").parquet(f"{self.root}/blocks/run={run}"))
         (self.spark.createDataFrame(made, ENTRY).coalesce(1)
@@ -89,7 +98,7 @@ class DecodeStore:
 
     def blocks(self, path: str, magic: bytes = MAINNET_MAGIC, verify: bool = False) -> DataFrame:
         """``file, size, block_hash, t, transactions`` of the block files at ``path``."""
-        files = list_files(path)
+        files = self._files(path)
         known = {e.key: e for e in sorted(self.entries(), key=lambda e: e.decoded)}
         wanted = {f: (*f, magic.hex(), verify) for f in files}
         new = [f for f in files if wanted[f] not in known]
@@ -113,7 +122,7 @@ class DecodeStore:
 
     def forget(self, path: str) -> None:
         """Remove the decodes of the files at ``path``, whatever their age."""
-        names = {f.path for f in list_files(path)}
+        names = {f.path for f in self._files(path)}
         rest = []
         for e in self.entries():
             if e.path in names:
