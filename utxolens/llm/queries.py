@@ -61,6 +61,7 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = materialize(spark, cut.select(
         "tkey", "first", F.octet_length("kept").cast("bigint").alias("n_kept"),
         F.col("n_spans").alias("spans"), F.sha2("kept", 256).alias("sha")), "kept")
+    suffixes.drop_tables(spark)
     is_first = F.col("key").eqNullSafe(F.col("first")) & (F.col("copy") == 1)
     covered = ~is_first & (F.col("n_bytes") >= suffixes.LENGTH)      # a later copy goes whole
     return rows.join(found, "tkey").select(

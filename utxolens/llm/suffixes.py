@@ -19,8 +19,11 @@ it also starts earlier: in a document with a smaller key, or before in its own.
    sorted first and one of each kind goes on, then the windows of the kinds;
    what has a hash of its own over all its bytes is not sorted.
 4. A minimizer that occurs more than ``HOT`` times is not brought together:
-   its windows meet by their own 128-bit hash in a grouped minimum, which
-   combines map-side.
+   of its windows each text hands on the distinct ones (their bytes compared;
+   further ones in the same text are repeats there and then), and those meet by
+   their own 128-bit hash in a grouped minimum, which combines map-side. These
+   alone are not compared byte by byte: the bytes of all windows of a crowded
+   minimizer would be many times the texts they are in.
 
 Edge cases: a null text has no bytes; texts under LENGTH bytes lose nothing; a
 null key comes first; rows with equal key and text are copies of one another;
@@ -34,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -46,7 +49,9 @@ LENGTH = 100              # bytes of a repeated string
 GRAM = 32                 # bytes of a minimizer
 MAX_BITS = 1 << 29        # bits of the bitmap of repeated minimizers
 HOT = 200_000             # occurrences beyond which a minimizer's windows meet by hash
-TASK_SEGMENTS = 20_000    # segments of a sorting task
+CROWD_BITS = 1 << 27      # most bits of the table of minimizers that occur more often
+TASK_SEGMENTS = 20_000    # segments that are sorted at once
+TASK_ROWS = 2_000_000     # segments that a task reads, sorted by minimizer
 PIECE = 1 << 20           # bytes that are hashed at a time
 BLOCK_WINDOWS = 1 << 20   # windows that are sorted at a time
 
@@ -389,6 +394,24 @@ def merge(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray):
     return owner[start], lo[start], np.maximum.reduceat(hi, start)
 
 
+def _first_windows(x: np.ndarray, doc: np.ndarray, p: np.ndarray, w1: np.ndarray, w2: np.ndarray,
+                   block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of each text's distinct windows, the first place of each, and of
+    all others; windows of one hash count as equal if their bytes are."""
+    order = np.lexsort((p, w2, w1, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = ((doc[order][1:] != doc[order][:-1]) | (w1[order][1:] != w1[order][:-1])
+               | (w2[order][1:] != w2[order][:-1]))
+    like = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    rest = np.flatnonzero(~new)
+    for at in range(0, len(rest), block):
+        i = rest[at:at + block]
+        span = np.arange(LENGTH)
+        equal = (x[p[order[i]][:, None] + span] == x[p[like[i]][:, None] + span]).all(axis=1)
+        new[i[~equal]] = True
+    return order[new], order[~new]
+
+
 # --- the distributed steps
 
 def distinct_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -404,9 +427,24 @@ def distinct_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (own.write.format("parquet").option("path", f"{checkpoint_dir(spark).rstrip('/')}/utxolens/{name}")
      .bucketBy(buckets, "tkey").saveAsTable(name))
+    _TABLES.append((spark.sparkContext.applicationId, name))
     return spark.table(name)
 
 
+#: catalog names of texts written in this process, until ``drop_tables``
+_TABLES: list[tuple[str, str]] = []
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Take the names of written texts out of the catalog (bucketing needs a
+    name), when what reads them has run; the files stay in the shared folder."""
+    app = spark.sparkContext.applicationId
+    for known, name in list(_TABLES):
+        if known == app:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        _TABLES.remove((known, name))
+
+
 def _bits(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     mask = np.uint64(bits - 1)
     return h & mask, (h >> np.uint64(33)) * np.uint64(2654435761) & mask
@@ -440,10 +478,18 @@ def spans(texts: DataFrame, *, hot: int = HOT) -> DataFrame:
              .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set")).toArrow())
     bitmap = np.zeros(bits // 64, np.uint64)
     bitmap[words.column("word").to_numpy()] = words.column("set").to_numpy().view(np.uint64)
-    # at most 100,000 minimizers are hot
-    hot = max(hot, total // 100_000)
-    crowded = np.sort(np.array([r.h for r in twice.where(F.col("n") > hot).select("h").collect()],
-                               np.int64).view(np.uint64))
+    # crowded minimizers in a bit table of bounded size: one that shares a bit
+    # with them goes their way too, which is as exact, and so do all its equals
+    many = twice.where(F.col("n") > hot)
+    n_many, crowd_bits = many.count(), 1 << 12
+    while crowd_bits < CROWD_BITS and crowd_bits < 64 * n_many:
+        crowd_bits *= 2
+    place = F.col("h").bitwiseAND(F.lit(crowd_bits - 1))
+    words = (many.groupBy(F.shiftright(place, 6).alias("word"))
+             .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(h & {crowd_bits - 1} & 63 as int))")).alias("set"))
+             .toArrow())
+    crowded = np.zeros(crowd_bits // 64, np.uint64)
+    crowded[words.column("word").to_numpy()] = words.column("set").to_numpy().view(np.uint64)
     shared = spark.sparkContext.broadcast((bitmap, crowded))
 
     def passing(batches: Iterator):
@@ -458,7 +504,9 @@ def spans(texts: DataFrame, *, hot: int = HOT) -> DataFrame:
                     (bitmap[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))
                      & bitmap[(q >> np.uint64(6)).astype(np.int64)] >> (q & np.uint64(63))
                      & np.uint64(1)).astype(bool))
-                is_hot = np.isin(h[at], crowded)
+                c = h[at] & np.uint64(crowd_bits - 1)
+                is_hot = (crowded[(c >> np.uint64(6)).astype(np.int64)] >> (c & np.uint64(63))
+                          & np.uint64(1)).astype(bool)
                 yield (x, tkeys, firsts, doc, shift, h, place, lo, hi, at, is_hot)
 
     def cut(batches: Iterator) -> Iterator:
@@ -473,11 +521,29 @@ def spans(texts: DataFrame, *, hot: int = HOT) -> DataFrame:
                      pa.array([raw[s:e + LENGTH] for s, e in zip(lo[at], hi[at])], pa.binary())],
                     names=["h", "first", "tkey", "lo", "off", "seg"])
 
+    def by_minimizer(batches: Iterator) -> Iterator[pa.Table]:
+        """Rows sorted by minimizer, in runs of whole minimizers of bounded size
+        (a run is ``TASK_SEGMENTS`` rows and at most one minimizer's more)."""
+        held: pa.Table | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = pa.Table.from_batches([b])
+            held = own if held is None else pa.concat_tables([held, own])
+            if len(held) >= TASK_SEGMENTS:
+                h = held.column("h").to_numpy()
+                cut = int(np.searchsorted(h, h[-1]))             # the last one may go on
+                if cut:
+                    yield held.slice(0, cut)
+                    held = held.slice(cut)
+        if held is not None:
+            yield held
+
     def solve(batches: Iterator) -> Iterator:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
+        for t in by_minimizer(batches):
+            yield from solve_run(t)
+
+    def solve_run(t: pa.Table) -> Iterator:
         h = t.column("h").to_numpy().view(np.uint64)
         # bitmap errors and sole occurrences end here
         _, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
@@ -504,12 +570,14 @@ def spans(texts: DataFrame, *, hot: int = HOT) -> DataFrame:
 
     import pyarrow.compute  # noqa: F401  (used in solve)
 
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // TASK_SEGMENTS) + 1)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // TASK_ROWS) + 1)
     table = texts.select("tkey", "first", "text")
     found = (table.mapInArrow(cut, f"h bigint, first {order_type}, tkey binary, lo bigint, off int, seg binary")
-             .repartition(tasks, "h").mapInArrow(solve, "tkey binary, s bigint, e bigint"))
-    if len(crowded):
+             .repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(solve, "tkey binary, s bigint, e bigint"))
+    if n_many:
         def windows(batches: Iterator) -> Iterator:
+            """Distinct windows of each text (``e`` is null), and the ranges of
+            their further occurrences in the same text, which are repeats as it is."""
             for x, tkeys, firsts, doc, shift, h, place, lo, hi, at, is_hot in passing(batches):
                 at = at[is_hot]
                 if not len(at):
@@ -518,20 +586,28 @@ def spans(texts: DataFrame, *, hot: int = HOT) -> DataFrame:
                 one = np.repeat(at, n)
                 p = lo[one] + np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n)
                 w1, w2 = _roll(x, LENGTH, _BYTE)[p], _roll(x, LENGTH, _BYTE2)[p]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)),
-                     firsts.take(pa.array(doc[one])),
-                     pa.array([tkeys[d] for d in doc[one]], pa.binary()), pa.array(p + shift[one])],
-                    names=["w1", "w2", "first", "tkey", "s"])
-
-        each = table.mapInArrow(windows, f"w1 bigint, w2 bigint, first {order_type}, tkey binary, s bigint"
-                                ).withColumn("at", F.struct(F.col("first").isNotNull().alias("some"),
-                                                            "first", "tkey", "s"))
+                new, again = _first_windows(x, doc[one], p, w1, w2)
+                own, s, e = merge(doc[one[again]], p[again] + shift[one[again]],
+                                  p[again] + shift[one[again]] + LENGTH)
+                none = pa.nulls(len(own), pa.int64())
+                for d, columns in ((doc[one[new]], [
+                        pa.array(w1[new].view(np.int64)), pa.array(w2[new].view(np.int64)),
+                        pa.array(p[new] + shift[one[new]]), pa.nulls(len(new), pa.int64())]),
+                        (own, [none, none, pa.array(s), pa.array(e)])):
+                    yield pa.RecordBatch.from_arrays(
+                        [*columns, firsts.take(pa.array(d)), pa.array([tkeys[k] for k in d], pa.binary())],
+                        names=["w1", "w2", "s", "e", "first", "tkey"])
+
+        every = table.mapInArrow(
+            windows, f"w1 bigint, w2 bigint, s bigint, e bigint, first {order_type}, tkey binary")
+        each = every.where("e is null").select("w1", "w2", "tkey", "s", F.struct(
+            F.col("first").isNotNull().alias("some"), "first", "tkey", "s").alias("at"))
         # written, so that a very common window's rows can be split in the join
         least = materialize(spark, each.groupBy("w1", "w2").agg(
             F.min("at").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "windows")
-        found = found.union(each.join(least, ["w1", "w2"]).where("at > least").select(
+        found = (found.union(each.join(least, ["w1", "w2"]).where("at > least").select(
             "tkey", "s", (F.col("s") + LENGTH).alias("e")))
+            .union(every.where("e is not null").select("tkey", "s", "e")))
     return found
 
 
