@@ -2,7 +2,11 @@
 
 ``STAGES`` are (name, function) with function(spark, docs, sf_dir); each works
 on all that its predecessor kept and returns the columns of documents, but the
-last, which returns token ids. ``run`` writes each stage to the shared folder
+last, which returns token ids. In every stage a null text counts as empty (the
+base rules reject it), texts are worked on whole whatever their length, repeated
+rows are judged each (near-dedup keeps one of them, the smallest doc_id first),
+an empty table stays empty, and further columns are handed on as they are,
+whatever their names. ``run`` writes each stage to the shared folder
 and reads it again, so a lost executor costs one stage at most.
 """
 

@@ -687,3 +687,141 @@ def test_nearest_of_repeated_ids_and_every_length(spark):
     assert len(of[50]) == 20 and sorted(r["rank"] for r in of[50]) == sorted([1, 2, 3, 4, 5] * 4)
     assert sorted(r.vec_id for r in of[50]) == sorted(best(long, x[50], 50) * 3 + best(little, short[7], 50))
     assert [r.vec_id for r in sorted(of[1000], key=lambda r: r.rank)] == best(little, short[0], 1000)
+
+
+def brute_spans(t):
+    """Base spans by plain search, position by position."""
+    out, lower = [], "".join(c.lower() if c.isascii() else c for c in t)
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    i = 0
+    while i < len(t):
+        end = None
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if lower.startswith(name, i):
+                j = i + len(name)
+                j += j < len(t) and t[j] in "\"'"
+                while j < len(t) and t[j] == " ":
+                    j += 1
+                if j < len(t) and t[j] in ":=":
+                    j += 1
+                    while j < len(t) and t[j] == " ":
+                        j += 1
+                    starts = [j + 1, j] if j < len(t) and t[j] in "\"'" else [j]
+                    for s in starts:
+                        e = s
+                        while e < len(t) and t[e] in value:
+                            e += 1
+                        if e > s:
+                            end = s, e
+                            break
+                break
+        if end:
+            if end[1] - end[0] >= 6:
+                out.append((i, 0, end[1]))
+            i = end[1]
+        else:
+            i += 1
+    for kind, first, members, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20),
+                                        (2, "", set("0123456789abcdef"), 24)):
+        i = 0
+        while i < len(t):
+            if not t.startswith(first, i) or not first and t[i] not in members:
+                i += 1
+                continue
+            e = i + len(first)
+            while e < len(t) and t[e] in members:
+                e += 1
+            if e > i + len(first):
+                if e - i >= least:
+                    out.append((i, kind, e))
+                i = e
+            else:
+                i += 1
+    return sorted(out)
+
+
+def test_op9_base_spans_equal_brute_force(spark):
+    sf = SF_SMALL.replace("0.001", "0.01")
+    docs = {r.doc_id: r.text or "" for r in table(spark, sf, "documents").collect()}
+    got = queries.op9_secrets(spark, sf).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        base = brute_spans(docs[r.doc_id])
+        joined = ",".join(f"{secretscan.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest(), r.doc_id
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in base) for i in range(3)]
+        spans = [x for x in r.spans.split(",") if x]
+        assert ",".join(x for x in spans if not x.startswith("guess")) == joined
+        for x in spans:
+            kind, s, e = x.split(":")
+            if kind == "guess":                            # a credential's value, and costly by the plain sum
+                value = docs[r.doc_id][int(s):int(e)]
+                assert len(value) >= 6 and sum(secretscan.prices(value)) >= secretscan.COST
+
+
+def test_common_words_are_the_corpus_s_own(spark):
+    rows = [(i, f"the zorblatt flumbering zorblatt password=qkzvwxjh{'' if i % 2 else 'a'} pwd: Zorblatt4flumbering")
+            for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    words = secretscan.corpus_words(df)
+    assert words == ["zorblatt"]                           # 80 times; the others 40, values never
+    assert secretscan.corpus_words(df, often=30) == ["zorblatt", "flumbering", "the"]
+    ranks = secretscan.ranks_of(["zorblatt", "flumbering"])
+    assert secretscan.guess_cost("Zorblatt4flumbering", None, ranks) < 3 < secretscan.guess_cost("Zorblatt4flumbering")
+    assert ranks["password"] == 1 and ranks["zorblatt"] == 1
+    assert secretscan.corpus_words(df.limit(0)) == []
+
+
+def test_stages_hand_on_columns_of_any_name(spark, labels):
+    import corpus_pipeline as C
+
+    prose = [(100 + i, " ".join(f"word{(i * 7 + j) % 90}" for j in range(60)), "en", "s", 400) for i in range(6)]
+    rows = prose + [(1, None, "en", "s", 0), (2, "", None, None, None), (None, prose[0][1] + " and more", "en", "s", 9),
+                    (100, prose[0][1], "en", "s", 400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    extra = ["_fp", "_fp0", "_key", "_copy", "_copies", "_words", "_spans", "_other", "fp", "ids", "root", "least"]
+    for c in extra:
+        df = df.withColumn(c, F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    for name, stage in C.STAGES[:4]:
+        out = stage(spark, df, SF_SMALL)
+        assert out.columns == df.columns, name
+        for r in out.collect():
+            assert all(r[c] == f"{c}{'-' if r.doc_id is None else r.doc_id}" for c in extra), name
+        assert stage(spark, df.limit(0), SF_SMALL).count() == 0, name
+    assert C.STAGES[4][1](spark, df, SF_SMALL).count() == len(rows)
+    kept = [r.doc_id for r in C.STAGES[1][1](spark, df, SF_SMALL).collect()]
+    assert kept.count(100) == 1 and 1 in kept and 2 not in kept       # null and empty texts are one group
+
+
+def test_crowded_windows_of_periodic_texts(spark, tmp_path, monkeypatch):
+    """Long texts of one letter, one word and one line over and over, all of
+    their minimizers crowded: equal to brute force, and in reasonable time."""
+    monkeypatch.setitem(suffixes.without_repeats.__kwdefaults__, "hot", 2)
+    line = "a line of some words, ünlike others, of seventy bytes or thereabouts. "
+    rows = [(1, "x" * 3000), (2, "word " * 500), (3, line * 40), (4, line * 3 + "tail"), (5, "y" + "x" * 250),
+            (6, "word " * 30 + line), (7, None), (8, "x" * 99), (None, "x" * 101)]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{path}/documents.parquet")
+    got = sorted(map(tuple, queries.op7_suffixes(spark, path).collect()), key=repr)
+    assert got == brute_suffixes([(d, t or "") for d, t in rows])
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("texts_")]
+
+
+def test_first_windows_compare_bytes():
+    x = np.frombuffer(b"ab" * 200, np.uint8)
+    p = np.arange(300)
+    same = np.zeros(300, np.uint64)                        # one hash for all: bytes decide
+    new, again = suffixes._first_windows(x, np.zeros(300, int), p, same, same)
+    assert 0 in new and sorted([*new, *again]) == list(range(300))
+    assert all(i % 2 == 0 for i in again)                  # odd places differ from place 0
+
+
+def test_op8_equals_the_library(spark, toks):
+    docs = sorted((r.doc_id, r.text or "") for r in table(spark, SF_SMALL, "documents").collect())
+    got = sorted(queries.op8_tokenfile(spark, SF_SMALL).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [d for d, _ in docs]
+    at = 0
+    for r, (_, text) in zip(got, docs):
+        ids = [*toks[1].encode(text, add_special_tokens=False).ids, 1]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)

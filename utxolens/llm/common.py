@@ -15,7 +15,16 @@ from ..session import materialize
 WORD_GAP = r"[\x20\x09-\x0D]+"
 _GAP_CHARS = " \t\n\x0b\f\r"
 
-__all__ = ["WORD_GAP", "add_blobs", "arrow_rows", "let", "materialize", "small_batches", "table", "text_or_empty", "words"]
+__all__ = ["WORD_GAP", "add_blobs", "arrow_rows", "let", "materialize", "small_batches", "spare",
+           "table", "text_or_empty", "words"]
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A name like ``name`` that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

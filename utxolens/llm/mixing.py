@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import materialize, small_batches, text_or_empty
+from .common import materialize, small_batches, spare, text_or_empty
 
 PER_DOMAIN = 1_500        # most labelled documents of a domain the classifier is fitted on
 MAX_DOMAINS = 32
@@ -261,8 +261,9 @@ def resample(docs: DataFrame, domains: DataFrame, target: Mapping[str, float], *
         return pa.array(np.floor(rates + 0.5).astype(np.int32) if half_up
                         else _copies(rates, marks.to_numpy(zero_copy_only=False)))
 
-    return (docs.withColumn("_copies", copies(text_or_empty(text), _mark(key, text))).where("_copies > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    n, one = spare(docs, "_copies"), spare(docs, "_copy")
+    return (docs.withColumn(n, copies(text_or_empty(text), _mark(key, text))).where(F.col(n) > 0)
+            .withColumn(one, F.explode(F.sequence(F.lit(1), F.col(n))))
             .select(*docs.columns))
 
 

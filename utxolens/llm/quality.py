@@ -32,7 +32,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, text_or_empty, words
+from .common import let, materialize, spare, text_or_empty, words
 
 BUCKETS = 10_000          # hashed n-gram classes of both multinomials
 SMOOTHING = 1.0           # pseudo-count of each class
@@ -174,14 +174,15 @@ def with_rules(docs: DataFrame, *, text: str = "text") -> DataFrame:
     ``n_dup_lines``, ``n_repeat_words``) and ``base_failed``."""
     t = text_or_empty(text)
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    counted = docs.withColumn("_words", words(text)).select(
+    own = spare(docs, "_words")
+    counted = docs.withColumn(own, words(text)).select(
         *[F.col(c) for c in docs.columns],
-        F.size("_words").cast("bigint").alias("n_words"),
+        F.size(own).cast("bigint").alias("n_words"),
         F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("bigint").alias("word_chars"),
         F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint"))
         .alias("n_dup_lines"),
-        repeated_words(F.col("_words")).alias("n_repeat_words"))
+        repeated_words(F.col(own)).alias("n_repeat_words"))
     return counted.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 

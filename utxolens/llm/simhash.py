@@ -20,7 +20,10 @@ split on.
 
 Edge cases: a null or blank text has fingerprint zero and links like any other;
 repeated rows keep a row each; a null doc_id belongs to the component of its
-fingerprint and gives no component id (a component of null ids only has null).
+fingerprint and gives no component id (a component of null ids only has null);
+a text of any length is fingerprinted whole; an empty table gives an empty
+table; other columns take no part, whatever their names, and ``keep_one`` hands
+them on as they are.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import materialize, small_batches
+from .common import materialize, small_batches, spare
 from .components import components
 
 SHINGLE = 3               # words of a shingle
@@ -255,15 +258,16 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     small_batches(spark)
     cols = docs.columns
-    stored = materialize(spark, docs.withColumn("_fp", fingerprint(text, shingle)), "simhash_docs")
-    prints = stored.select(F.col(key).alias("_key"), F.col("_fp").alias("fp"))
+    fp, own, other = (spare(docs, n) for n in ("_fp", "_key", "_other"))
+    stored = materialize(spark, docs.withColumn(fp, fingerprint(text, shingle)), "simhash_docs")
+    prints = stored.select(F.col(key).alias("_key"), F.col(fp).alias("fp"))
     groups = cluster(prints, "_key", max_bits)
     least = materialize(
         spark, prints.groupBy("fp").agg(F.min("_key").alias("_key")).join(groups, "fp")
         .groupBy("root").agg(F.min(F.struct(F.col("_key").isNull().alias("none"), "_key",
                                             F.col("fp"))).alias("x"))
-        .select(F.col("x._key").alias("_key"), F.col("x.fp").alias("_fp0")), "kept")
+        .select(F.col("x._key").alias(own), F.col("x.fp").alias(other)), "kept")
     # sort-merge, so that what follows per (key, fingerprint) needs no further sort
-    kept = stored.join(least.hint("merge"), (F.col("_fp") == F.col("_fp0"))
-                       & F.col(key).eqNullSafe(F.col("_key")), "left_semi")
-    return kept.dropDuplicates(["_fp", key]).select(*cols)
+    kept = stored.join(least.hint("merge"), (F.col(fp) == F.col(other))
+                       & F.col(key).eqNullSafe(F.col(own)), "left_semi")
+    return kept.dropDuplicates([fp, key]).select(*cols)

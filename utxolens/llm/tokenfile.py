@@ -15,7 +15,9 @@ the files that count, so a repeated or lost task leaves nothing that is read.
 Files go through ``pyarrow.fs`` to the shared folder of ``spark.checkpoint.dir``.
 
 Edge cases: a null text has the end id only; a null key sorts first; repeated
-rows are written each; an empty table writes no file and an empty index.
+rows are written each; a text of any length is encoded whole; an empty table
+writes no file and an empty index; other columns take no part, whatever their
+names.
 """
 
 from __future__ import annotations
