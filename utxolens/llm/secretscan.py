@@ -13,8 +13,14 @@ in the value have members (``prices``), so six mixed characters can be a secret;
 letters that look like a word, and the joiners of names, paths and numbers, take
 ten.
 
-Texts are scanned whole, a row at a time inside Arrow batches; nothing is
-shuffled. Positions are code points, ends exclusive.
+Common words are a short fixed list of usual parts of passwords, and the
+corpus's own: ``corpus_words`` counts the words of all texts, values in a
+credential context left out, and ranks those that stand ``OFTEN`` times or more
+(the ``MOST`` most frequent at most, so the list has a bound and is broadcast).
+
+Texts are scanned whole, a row at a time inside Arrow batches; only word counts
+are shuffled, added up by each task first. Positions are code points, ends
+exclusive.
 
 Edge cases: a null text is empty and has no spans; repeated rows are scanned
 each; an empty table stays empty; other columns stay, one named like an added
@@ -24,6 +30,8 @@ column is replaced.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 from math import inf, log10
 
@@ -33,11 +41,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import small_batches, text_or_empty
+from .bpe import hot_words
+from .common import arrow_rows, materialize, small_batches, spare, text_or_empty
 
 KINDS = ("assign", "access", "hex", "guess")
 COST = 10.0               # least log10 of guesses of a value that counts as a secret
 MARK = "[SECRET]"
+OFTEN = 50                # times a word of the corpus has to stand to count as common
+MOST = 50_000             # most common words of the corpus
+LONGEST = 20              # letters of a common word, at most
+FLUSH = 300_000           # distinct words a task adds up before it hands them on
 
 # fixed values: the base patterns, with the least lengths checked after the match
 ASSIGN = re.compile(
@@ -75,6 +88,7 @@ _YEAR = re.compile(r"(?:19|20)\d\d")
 _JOINERS = "._-:/@"
 _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _VOWEL = re.compile(r"[aeiouy]", re.I)
+_LETTERS = re.compile(rf"(?<![a-z])[a-z]{{3,{LONGEST}}}(?![a-z])")
 _CLASSES = ((re.compile(r"[a-z]"), 26), (re.compile(r"[A-Z]"), 26), (re.compile(r"[0-9]"), 10),
             (re.compile(rf"[^A-Za-z0-9{re.escape(_JOINERS)}]"), 33))
 
@@ -84,6 +98,44 @@ def _ranks() -> dict[str, int]:
     return {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
 
 
+def corpus_words(docs: DataFrame, text: str = "text", often: int = OFTEN, most: int = MOST) -> list[str]:
+    """The corpus's words of 3 to ``LONGEST`` letters a-z that stand ``often``
+    times or more outside of credential values, most frequent first."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()),
+                                               pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+        for b in batches:
+            for t in b.column(0):
+                t = t.as_py()
+                if any(x in t.lower() for x in _HINTS):
+                    t = CONTEXT.sub(" ", t)
+                seen.update(_LETTERS.findall(t.lower()))
+                if len(seen) >= FLUSH:
+                    yield out()
+                    seen.clear()
+        if seen:
+            yield out()
+
+    spark = docs.sparkSession
+    with arrow_rows(spark):
+        words = materialize(spark, docs.select(text_or_empty(text).alias("t")).mapInArrow(
+            count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+            .where(F.col("n") >= often), "corpus_words")
+    rows = hot_words(words, most, LONGEST).select("word", "n").collect()       # at most ``most``
+    return [r.word for r in sorted(rows, key=lambda r: (-r.n, r.word))]
+
+
+def ranks_of(words: list[str]) -> dict[str, int]:
+    """Ranks of the fixed list and of further words: the better one of both."""
+    out = dict(_ranks())
+    for i, w in enumerate(words):
+        out[w] = min(out.get(w, i + 1), i + 1)
+    return out
+
+
 @lru_cache(maxsize=1)
 def _next() -> frozenset[str]:
     """Pairs of neighbouring keys, letters or digits, in both directions."""
@@ -114,12 +166,12 @@ def _inside(a: int, b: int):
                 yield i, j
 
 
-def _parts(v: str):
+def _parts(v: str, ranks: dict[str, int] | None = None):
     """(start, end, cost) of every part of the value that is cheap to guess; the
     parts grow with the value's length, also where one run fills it."""
     low, alike, n = v.lower(), v.lower().translate(_ALIKE), len(v)
-    ranks, near = _ranks(), _next()
-    longest = max(map(len, WORDS))
+    ranks, near = _ranks() if ranks is None else ranks, _next()
+    longest = LONGEST
     for i in range(n):
         for j in range(i + 3, min(n, i + longest) + 1):
             for s, more in ((low[i:j], 0.0), (alike[i:j], log10(2))):
@@ -157,13 +209,14 @@ def prices(value: str) -> list[float]:
     return out
 
 
-def guess_cost(value: str, each: list[float] | None = None) -> float:
+def guess_cost(value: str, each: list[float] | None = None, ranks: dict[str, int] | None = None) -> float:
     """Least log10 of guesses over all segmentations of the value; ``each`` has
-    brute force's price of every character, 1 if not given."""
+    brute force's price of every character, 1 if not given, and ``ranks`` those
+    of common words, the fixed list's if not given."""
     n = len(value)
     each = [1.0] * n if each is None else each
     ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    for i, j, c in _parts(value):
+    for i, j, c in _parts(value, ranks):
         ending[j].append((i, c))
     best = [0.0] + [inf] * n
     for j in range(1, n + 1):
@@ -173,7 +226,8 @@ def guess_cost(value: str, each: list[float] | None = None) -> float:
     return best[n]
 
 
-def find(text: str, cost: float = COST) -> list[tuple[int, int, int, int, float | None]]:
+def find(text: str, cost: float = COST, ranks: dict[str, int] | None = None
+         ) -> list[tuple[int, int, int, int, float | None]]:
     """(start, kind number, end, start of the value, cost) of every span, sorted."""
     out: list[tuple[int, int, int, int, float | None]] = []
     low = text.lower()
@@ -186,7 +240,7 @@ def find(text: str, cost: float = COST) -> list[tuple[int, int, int, int, float
     if any(x in low for x in _HINTS):
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".)]}!?#*$%&|")
-            c = guess_cost(value, prices(value)) if len(value) >= 6 else 0.0
+            c = guess_cost(value, prices(value), ranks) if len(value) >= 6 else 0.0
             if c >= cost:
                 s = m.start(1)
                 out.append((s, 3, s + len(value), s, c))
@@ -202,11 +256,13 @@ _ARROW_SPAN = pa.list_(pa.struct([
     ("value_start", pa.int32()), ("cost", pa.float64())]))
 
 
-def spans(text: str, cost: float = COST) -> Column:
-    """Column of a text's spans, by start, then kind as listed."""
+def spans(text: str, cost: float = COST, ranks=None) -> Column:
+    """Column of a text's spans, by start, then kind as listed; ``ranks`` is a
+    broadcast of words' ranks."""
     @arrow_udf(_SPAN)
     def scan(texts: pa.Array) -> pa.Array:
-        return pa.array([[(KINDS[k], s, e, v, c) for s, k, e, v, c in find(t, cost)]
+        known = None if ranks is None else ranks.value
+        return pa.array([[(KINDS[k], s, e, v, c) for s, k, e, v, c in find(t, cost, known)]
                          for t in texts.to_pylist()], _ARROW_SPAN)
     return scan(text_or_empty(text))
 
@@ -226,13 +282,18 @@ def _cut(texts: pa.Array, found: pa.Array) -> pa.Array:
 
 def find_secrets(docs: DataFrame, *, text: str = "text", out: str = "spans",
                  cost: float = COST) -> DataFrame:
-    small_batches(docs.sparkSession)
-    return docs.withColumn(out, spans(text, cost))
+    """The documents with their spans; common words are the fixed list's and
+    those of ``docs`` themselves."""
+    spark = docs.sparkSession
+    ranks = spark.sparkContext.broadcast(ranks_of(corpus_words(docs, text)))
+    small_batches(spark)
+    return docs.withColumn(out, spans(text, cost, ranks))
 
 
 def redact(docs: DataFrame, *, text: str = "text", cost: float = COST) -> DataFrame:
     """The documents with every secret value replaced by ``MARK``; null texts
     stay null and texts without a span are unchanged."""
-    found = find_secrets(docs, text=text, out="_spans", cost=cost)
-    return found.withColumn(text, F.when(F.size("_spans") == 0, F.col(text)).otherwise(
-        _cut(text_or_empty(text), F.col("_spans")))).drop("_spans")
+    own = spare(docs, "_spans")
+    found = find_secrets(docs, text=text, out=own, cost=cost)
+    return found.withColumn(text, F.when(F.size(own) == 0, F.col(text)).otherwise(
+        _cut(text_or_empty(text), F.col(own)))).drop(own)
