@@ -825,3 +825,25 @@ def test_op8_equals_the_library(spark, toks):
         ids = [*toks[1].encode(text, add_special_tokens=False).ids, 1]
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+
+
+def test_draws_do_not_follow_the_batches(spark, labels):
+    sf = SF_SMALL.replace("0.001", "0.01")
+    one = table(spark, sf, "documents").where("doc_id < 300")
+    docs = one.unionByName(one.where("doc_id = 7").crossJoin(spark.range(600)).drop("id")).repartition(3).cache()
+    lab = mixing.label_domains(table(spark, sf, "labels"))
+    name, made = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    try:
+        for rows in ("1", "37", "10000"):
+            spark.conf.set(name, rows)
+            m = mixing.mix(docs, lab, {"clean": 0.4, "junk": 0.4, "toxic": 0.4})
+            spark.conf.set(name, rows)                     # for the last step too
+            made.append(sorted((r.doc_id, r.copies, round(r.rate, 6)) for r in m.collect()))
+    finally:
+        spark.conf.set(name, before)
+        docs.unpersist()
+    assert made[0] == made[1] == made[2]
+    copies = [c for d, c, _ in made[0] if d == 7]
+    rate = [r for d, _, r in made[0] if d == 7][0]
+    assert len(copies) == 601 and abs(np.mean(copies) - rate) < 0.02

@@ -15,8 +15,9 @@ one number per domain; no rates are stored or shuffled between iterations.
 A rate is made copies by its whole part, and one more where a hash of the
 document's id and text in [0, 1) is below the rest: the expected copies are the
 rate, so what is made meets the targets too, up to the spread of the draws.
-Rows equal in id and text would draw alike; those of a batch are spread over
-[0, 1) instead, so which of several equal rows is taken follows the batches.
+Rows equal in id and text would draw alike; they are spread over [0, 1) by their
+places in the written table of posteriors (``mix``), so batches play no part, or
+by their places in a batch (``resample``, which moves no text).
 
 Edge cases: null or blank texts have no tokens and the class shares as
 posteriors; labels of missing documents, null labels and null ids are left out;
@@ -156,18 +157,28 @@ def _mark(key: str, text: str) -> Column:
     return F.xxhash64(F.col(key), text_or_empty(text))
 
 
-def _copies(rates: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Copies of a batch's rows: the rate's whole part, one more where the draw
-    is below the rest. The draw is the mark as a number in [0, 1); of rows with
-    one mark, each next one is moved on by the golden section."""
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)          # the golden section of 2^64
+
+
+def _turns(marks: np.ndarray) -> np.ndarray:
+    """Number of each of a batch's rows among those with its mark, from 0."""
     at = np.argsort(marks, kind="stable")
     ordered = marks[at]
     starts = np.r_[True, ordered[1:] != ordered[:-1]] if len(at) else np.zeros(0, bool)
     place = np.arange(len(at))
-    turn = np.empty(len(at))
+    turn = np.empty(len(at), np.int64)
     turn[at] = place - np.maximum.accumulate(np.where(starts, place, 0))
-    draw = ((marks.astype(np.int64).view(np.uint64) >> np.uint64(11)) * 2.0 ** -53
-            + turn * (np.sqrt(5) - 1) / 2) % 1.0
+    return turn
+
+
+def _copies(rates: np.ndarray, marks: np.ndarray, turns: np.ndarray | None = None) -> np.ndarray:
+    """Copies of rows: the rate's whole part, one more where the draw is below
+    the rest. The draw is the mark as a number in [0, 1), moved on by the golden
+    section as many times as the row's turn says (by default, its turn among
+    the rows of a batch that have its mark)."""
+    turns = _turns(marks) if turns is None else turns
+    draw = ((marks.astype(np.int64).view(np.uint64) + turns.astype(np.int64).view(np.uint64) * _GOLDEN)
+            >> np.uint64(11)) * 2.0 ** -53
     whole = np.floor(rates)
     return (whole + (draw < rates - whole)).astype(np.int32)
 
@@ -240,7 +251,8 @@ def _fitted(docs: DataFrame, domains: DataFrame, target: Mapping[str, float], ke
     spark = docs.sparkSession
     small_batches(spark)
     model = fit(*sample(docs, domains, key, text))
-    table = materialize(spark, posteriors(docs, model, key=key, text=text), "posteriors")
+    table = materialize(spark, posteriors(docs, model, key=key, text=text).withColumn(
+        "_row", F.monotonically_increasing_id()), "posteriors")
     present = _totals(table, lambda n, p: n @ p, len(model[0]))
     turns = fit_rates(table, present * np.array([target.get(x, 1.0) for x in model[0]]))
     return model[0], table, turns, model
@@ -284,10 +296,18 @@ def mix(docs: DataFrame, domains: DataFrame, target: Mapping[str, float], *,
             yield pa.RecordBatch.from_arrays(
                 [b.column(key), b.column("n_tokens"), pa.array([names[i] for i in top], pa.string()),
                  pa.array(p[np.arange(len(p)), top]), pa.array(w),
-                 pa.array(_copies(w, b.column("mark").to_numpy(zero_copy_only=False))),
+                 pa.array(_copies(w, b.column("mark").to_numpy(zero_copy_only=False),
+                                  b.column("_turn").to_numpy(zero_copy_only=False))),
                  b.column("p")],
                 names=["key", "n_tokens", "domain", "posterior", "rate", "copies", "p"])
 
+    # rows equal in id and text have one mark: their place in the written table
+    # tells them apart; written, so that a very common mark can be split in the join
+    equal = materialize(docs.sparkSession, table.groupBy("mark").count().where("count > 1")
+                        .select(F.col("mark").alias("_same")), "equal_rows")
+    table = table.join(equal, F.col("mark") == F.col("_same"), "left").withColumn(
+        "_turn", F.when(F.col("_same").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("_row"))).drop(
+        "_same", "_row")
     return table.mapInArrow(rate, f"key {kind}, n_tokens bigint, domain string, posterior double, "
                                   "rate double, copies int, p array<double>"
                             ).withColumnRenamed("key", key)
