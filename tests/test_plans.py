@@ -61,13 +61,13 @@ def test_large_k_does_not_force_broadcast(spark, monkeypatch):
 
 def test_scale_rules_hold_for_every_query(spark):
     """No cross/nested-loop joins, no collected groups, no windows; every
-    query scans the given parquet tables."""
+    query scans the given parquet tables, or block files written from them."""
     for name, fn in LIBRARY.items():
         p = _plan(fn(spark, SF_SMALL))
         for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "collect_list",
                     "collect_set", "Window"):
             assert bad not in p, (name, bad)
-        assert "FileScan parquet" in p or "Scan parquet" in p, name
+        assert "FileScan parquet" in p or "Scan parquet" in p or "BatchScan blockfile" in p, name
 
 
 def test_address_queries_scan_once(spark):
@@ -101,3 +101,19 @@ def test_recent_nested_blocks_prune_months(spark, tmp_path):
     assert any("month" in x for x in filters)
     plain = b.drop("month")
     assert blocks.recent_blocks_nested(plain, 30).count() == 3
+
+
+def test_scripts_are_parsed_once_and_let_filters_down(spark):
+    from utxolens.operators import scriptstats as ss
+
+    el = fx.elements(spark, SF_SMALL)
+
+    def logical(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    inputs = logical(ss.script_chunks(el).where("type = 0"))
+    assert inputs.count("Relation [") == 1 and inputs.count("ArrowEvalPython") == 1
+    outputs = el.where("type = 1")
+    for df in (ss.script_chunks(outputs), ss.script_flags(outputs), ss.script_pubkeys(outputs),
+               ss.cltv_channels(el), ss.nonminimal_pushes(outputs), ss.block_script_structs(outputs)):
+        assert logical(df).count("ArrowEvalPython") == 1
