@@ -215,7 +215,8 @@ def block_file_scan(spark, sf):
     # the test tables are one file each: dealt anew, so that many tasks write
     folder = blockwrite.write_block_files(fx.nested_fragments(spark, sf).repartition("t"),
                                           f"{checkpoint_dir(spark).rstrip('/')}/utxolens/blocks-{uuid.uuid4().hex}")
-    found = blockfile.read_block_files(spark, folder, verify=True, split_bytes=4 << 20)
+    found = blockfile.read_block_files(spark, folder, verify=True, split_bytes=4 << 20,
+                                       max_block=1 << 20)
     v = found.select("t", F.size("transactions").alias("n_tx"),
                      blocks.block_output_value(F.col("transactions")).alias("value"),
                      F.aggregate("transactions", F.lit(0), lambda a, x: a + F.size(x["inputs"])).alias("n_in"),

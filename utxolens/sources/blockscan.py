@@ -113,24 +113,30 @@ class ByteFile:
     def close(self) -> None:
         self.handle.close()
 
-    def read(self, offset: int, n: int) -> bytes:
-        n = min(n, self.length - offset)
-        if n <= 0:
-            return b""
+    def _hold(self, offset: int, n: int) -> int:
+        """Have ``n`` bytes from ``offset`` in the chunk; where they begin in it."""
         s = offset - self.at
         if not (0 <= s and s + n <= len(self.chunk)):
             self.handle.seek(offset)
             self.at, self.chunk, s = offset, self.handle.read(max(n, CHUNK)), 0
+        return s
+
+    def read(self, offset: int, n: int) -> bytes:
+        n = min(n, self.length - offset)
+        if n <= 0:
+            return b""
+        s = self._hold(offset, n)
         return self.chunk[s:s + n]
 
     def find(self, marker: bytes, start: int, end: int) -> int | None:
-        """First place of the marker in [start, end); it may reach past the end."""
-        while start < end:
-            part = self.read(start, min(CHUNK, end - start + len(marker) - 1))
-            at = part.find(marker)
+        """First place of the marker in [start, end); it may reach past the end.
+        Searched in the chunk itself, without a copy."""
+        while start < min(end, self.length - len(marker) + 1):
+            s = self._hold(start, len(marker))
+            at = self.chunk.find(marker, s, end - self.at + len(marker) - 1)
             if at >= 0:
-                return start + at if start + at < end else None
-            start += max(1, len(part) - len(marker) + 1)
+                return self.at + at
+            start = max(start, self.at + len(self.chunk) - len(marker)) + 1
         return None
 
     def filled(self, start: int, end: int) -> bool:
