@@ -132,3 +132,11 @@ def test_opcode_counts():
         for c, _, _ in chunks if ok else ():
             want[c] += c > 0x4E
     assert V.opcode_counts(V.Scan(pa.array(FIXED, pa.binary()))).tolist() == want
+
+
+@pytest.mark.parametrize("steps", [0, 1, 3])
+def test_doubling_takes_over_anywhere(monkeypatch, steps):
+    monkeypatch.setattr(V, "STEPS", steps)
+    check(FIXED)
+    rng = random.Random(steps)
+    check([rng.randbytes(rng.randrange(80)) for _ in range(200)])

@@ -1,11 +1,13 @@
 """Scripts of a whole Arrow batch parsed at once in numpy.
 
-All scripts of a batch lie in one buffer. For every byte, taken as if a chunk
-began there, the next chunk's place follows from that byte (and the length
-bytes after it) alone, so it is computed for all bytes together. The true
-chunk starts are the places reached from the scripts' first bytes: marked by
-pointer doubling, where round k follows 2^k steps at once, so a batch takes
-about log2 of its longest script's chunks rounds and no step per script.
+All scripts of a batch lie in one buffer. A step finds the chunk at the present
+place of every script together; few scripts have more than some chunks, so a
+few steps do, each over the scripts that go on. What is left of scripts with
+more than ``STEPS`` chunks is done by pointer doubling: for every byte, taken as
+if a chunk began there, the next chunk's place follows from that byte (and the
+length bytes after it) alone; the true chunk starts are the places reached from
+the first bytes, and round k follows 2^k steps at once. So neither many scripts
+nor long ones cost a loop of their own.
 
 ``Scan`` holds the result; the functions below turn it into Arrow columns:
 chunks, structures, disassembly, signature operations, flags and counts. A
@@ -19,10 +21,12 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import opcodes as op
 
 SLICE = 4 << 20
+STEPS = 32                # chunks found a step at a time before pointer doubling
 MULTISIG_WEIGHT = 20
 
 _CODES = np.arange(256)
@@ -71,6 +75,45 @@ def _to_binary(data: np.ndarray, lengths: np.ndarray, valid: np.ndarray | None =
         mask, pa.py_buffer(_offsets(lengths)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def _chunk_at(ahead: np.ndarray, at: np.ndarray, end: np.ndarray
+              ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code, bytes before the data, and bytes of data of the chunk that begins at
+    each place; ``ahead`` has five bytes more than the scripts, ``end`` is where
+    each place's script ends."""
+    code = ahead[at]
+    head, size = _HEAD[code], _DIRECT[code]
+    for mark, width in ((op.OP_PUSHDATA1, 1), (op.OP_PUSHDATA2, 2), (op.OP_PUSHDATA4, 4)):
+        i = np.flatnonzero(code == mark)
+        for k in range(width if len(i) else 0):
+            size[i] += ahead[at[i] + 1 + k].astype(np.int64) << (8 * k)
+    i = np.flatnonzero(code == op.OP_RETURN)
+    size[i] = end[i] - at[i] - 1
+    return code, head, size
+
+
+def _by_doubling(ahead: np.ndarray, first: np.ndarray, end: np.ndarray
+                 ) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the chunks of the byte ranges [first, end), and of damaged ones.
+    For every byte the next chunk's place if one began there; then the places
+    reached from the first bytes, round k following 2^k steps."""
+    length = end - first
+    base = np.cumsum(length) - length
+    place, n = _ranges(first, length), int(length.sum())
+    stop = np.repeat(end, length)
+    _, head, size = _chunk_at(ahead, place, stop)
+    after = place + head + size
+    jump = np.append(np.where(after < stop, np.arange(n) + head + size, n), n)
+    mark = np.zeros(n + 1, bool)
+    mark[base] = True
+    seen = -1
+    while (reached := np.flatnonzero(mark[:n])).size != seen:
+        seen = reached.size
+        mark[jump[reached]] = True
+        jump = jump[jump]
+    bad = after[reached] > stop[reached]
+    return place[reached[~bad]], place[reached[bad]]
+
+
 class Scan:
     """Chunks of all scripts of one array, in order: ``start`` (in ``data``),
     ``code``, ``head`` and ``size`` (bytes before the data, and of it);
@@ -79,46 +122,42 @@ class Scan:
 
     def __init__(self, scripts: pa.Array):
         self.data, self.off, self.null = _binary(scripts)
-        data, off, n = self.data, self.off, len(self.data)
-        after, bad = self._next()
-        mark = np.zeros(n + 1, bool)
-        mark[off[:-1][np.diff(off) > 0]] = True
-        jump, seen = after, -1
-        while (places := np.flatnonzero(mark[:n])).size != seen:
-            seen = places.size
-            mark[jump[places]] = True
-            jump = jump[jump]
-        wrong = places[bad[places]]
-        self.start = places[~bad[places]]
-        self.code = data[self.start]
-        self.head = _HEAD[self.code]
-        self.cut = np.searchsorted(self.start, off)
-        self.ok = np.ones(len(off) - 1, bool)
-        self.ok[np.searchsorted(off, wrong, side="right") - 1] = False
-        stop = np.append(self.start[1:], n)
-        last = self.cut[1:][self.cut[1:] > self.cut[:-1]] - 1
-        stop[last] = off[1:][self.cut[1:] > self.cut[:-1]]
-        # after a parsed prefix the damaged chunk follows, not the script's end
-        at = np.searchsorted(wrong, self.start[last])
-        near = np.append(wrong, n)[at]
-        stop[last] = np.minimum(stop[last], np.maximum(near, self.start[last]))
-        self.size = np.where(_HAS_DATA[self.code], stop - self.start - self.head, 0)
-
-    def _next(self) -> tuple[np.ndarray, np.ndarray]:
-        """Where the next chunk of the same script begins if one begins at each
-        byte (the buffer's length: nowhere), and whether that chunk is damaged."""
-        data, off, n = self.data, self.off, len(self.data)
-        end = np.repeat(off[1:], np.diff(off))
-        after = np.arange(n) + _HEAD[data] + _DIRECT[data]
-        ahead = np.concatenate([data, np.zeros(5, np.uint8)]).astype(np.int64)
-        for code, width in ((op.OP_PUSHDATA1, 1), (op.OP_PUSHDATA2, 2), (op.OP_PUSHDATA4, 4)):
-            at = np.flatnonzero(data == code)
-            for k in range(width):
-                after[at] += ahead[at + 1 + k] << (8 * k)
-        at = np.flatnonzero(data == op.OP_RETURN)
-        after[at] = end[at]
-        bad = after > end
-        return np.append(np.where(after < end, after, n), n), bad
+        self.ok = np.ones(len(self.off) - 1, bool)
+        parts, wrong = self._walk()
+        start, code, head, size = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(start, kind="stable")
+        self.start, self.code, self.head, self.size = start[order], code[order], head[order], size[order]
+        self.cut = np.searchsorted(self.start, self.off)
+        self.wrong = np.concatenate(wrong)               # where the damaged chunks begin
+        self.ok[np.searchsorted(self.off, self.wrong, side="right") - 1] = False
+
+    def _walk(self) -> tuple[list, list]:
+        """Chunks as (start, code, head, size), and starts of damaged ones. The
+        first ``STEPS`` chunks of all scripts are found a step at a time, all
+        scripts together; what longer scripts have left, by pointer doubling."""
+        off, ahead = self.off, np.concatenate([self.data, np.zeros(5, np.uint8)])
+        none = np.zeros(0, np.int64)
+        parts, wrong = [(none, none.astype(np.uint8), none, none)], [none]
+        some = np.flatnonzero(np.diff(off) > 0)
+        at, end = off[some], off[some + 1]
+        for _ in range(STEPS):
+            if not len(at):
+                return parts, wrong
+            code, head, size = _chunk_at(ahead, at, end)
+            after = at + head + size
+            good = after <= end
+            if not good.all():
+                wrong.append(at[~good])
+                at, end, code, head, size, after = (x[good] for x in (at, end, code, head, size, after))
+            parts.append((at, code, head, size))
+            on = after < end
+            at, end = after[on], end[on]
+        if len(at):
+            starts, bad = _by_doubling(ahead, at, end)
+            wrong.append(bad)
+            stop = np.repeat(end, np.diff(np.searchsorted(starts, np.append(at, len(ahead)))))
+            parts.append((starts, *_chunk_at(ahead, starts, stop)))
+        return parts, wrong
 
     def __len__(self) -> int:
         return len(self.ok)
@@ -141,12 +180,27 @@ class Scan:
         out[there] = self.code[at[there]]
         return out
 
-    def payload(self, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes, lengths) of the data of all or the chosen chunks."""
-        start, size = self.start + self.head, self.size
-        if chosen is not None:
-            start, size = start[chosen], size[chosen]
-        return self.data[_ranges(start, size)], size
+    def payload(self, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, lengths) of the data of all chunks, none for those to leave out."""
+        # nearly all bytes are data: take out the heads and what was not parsed
+        keep = np.ones(len(self.data), bool)
+        keep[self.start] = False
+        for k in (1, 2, 3, 4):
+            keep[self.start[self.head > k] + k] = False
+        if len(self.wrong):
+            end = self.off[np.searchsorted(self.off, self.wrong, side="right")]
+            keep[_ranges(self.wrong, end - self.wrong)] = False
+        size = self.size
+        if leave is not None:
+            i = np.flatnonzero(leave)
+            keep[_ranges(self.start[i] + self.head[i], size[i])] = False
+            size = np.where(leave, 0, size)
+        return self.data[keep], size
+
+    def payload_of(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, lengths) of the data of some chunks."""
+        size = self.size[chosen]
+        return self.data[_ranges(self.start[chosen] + self.head[chosen], size)], size
 
 
 def slices(scripts: pa.Array) -> Iterator[Scan]:
@@ -198,37 +252,19 @@ def structure(s: Scan) -> pa.Array:
     return pa.array([*names, "ERROR"], pa.string()).take(pa.array(places))
 
 
-def _texts(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, starts, lengths) of some texts."""
-    raw = [p.encode() for p in parts]
-    lengths = np.array([len(r) for r in raw])
-    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum(lengths) - lengths, lengths
-
-
-_PREFIX, _PREFIX_AT, _PREFIX_LEN = _texts(
-    [(op.opcode_name(c) if c > op.OP_PUSHDATA4 else op.push_name(c) + "[") for c in range(256)] + ["]", " "])
+_ASM = pa.array([op.opcode_name(c) if c > op.OP_PUSHDATA4 else op.push_name(c) + "[" for c in range(256)])
+_CLOSE = pa.array(["]", ""])
 
 
 def disassembly(s: Scan) -> pa.Array:
-    """Names and ``PUSHDATA(n)[hex]``, blank between; null for null and damaged.
-    Every text is a run of ranges of one source: name, hex, bracket, blank."""
-    keep = np.repeat(s.whole, np.diff(s.cut))
-    code = s.code[keep]
-    push = ~_IS_OP[code]
-    data, size = s.payload(np.flatnonzero(keep))
-    source = np.concatenate([_PREFIX, _HEX[data].ravel()])
-    hex_at = len(_PREFIX) + 2 * (np.cumsum(size) - size)
-    counts = np.where(s.whole, np.diff(s.cut), 0)
-    last = np.zeros(len(code), bool)
-    last[np.cumsum(counts)[counts > 0] - 1] = True
-    starts = np.stack([_PREFIX_AT[code], hex_at, np.full(len(code), _PREFIX_AT[256]),
-                       np.full(len(code), _PREFIX_AT[257])], axis=1)
-    lengths = np.stack([_PREFIX_LEN[code], np.where(push, 2 * size, 0), push.astype(np.int64),
-                        (~last).astype(np.int64)], axis=1)
-    text = source[_ranges(starts.ravel(), lengths.ravel())]
-    each = np.concatenate([[0], np.cumsum(lengths.sum(axis=1))])
-    ends = each[np.concatenate([[0], np.cumsum(counts)])]
-    return _to_binary(text, np.diff(ends), s.whole, pa.string())
+    """Names and ``PUSHDATA(n)[hex]``, blank between; null for null and damaged."""
+    is_op = _IS_OP[s.code]
+    data, size = s.payload(is_op)
+    text = pc.binary_join_element_wise(
+        _ASM.take(pa.array(s.code)), _to_binary(_HEX[data].ravel(), 2 * size, None, pa.string()),
+        _CLOSE.take(pa.array(is_op.astype(np.int8))), "")
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(s.cut.astype(np.int32)), text), " ")
+    return pc.if_else(pa.array(s.whole), joined, pa.scalar(None, pa.string()))
 
 
 def _operations(s: Scan, accurate: bool) -> np.ndarray:
@@ -256,7 +292,7 @@ def p2sh_sigops(s: Scan) -> pa.Array:
     pushes = np.flatnonzero(~_IS_OP[s.code])
     cut = np.searchsorted(s.start[pushes], s.off)
     some = cut[1:] > cut[:-1]
-    data, size = s.payload(pushes[cut[1:][some] - 1])
+    data, size = s.payload_of(pushes[cut[1:][some] - 1])
     redeem = Scan(_to_binary(data, size))
     out, null = np.zeros(len(s), np.int64), s.null.copy()
     out[some] = _operations(redeem, True)
@@ -318,7 +354,8 @@ def chunk_rows(s: Scan) -> pa.Array:
     counts = np.where(s.whole, np.diff(s.cut), 0)
     cut = np.concatenate([[0], np.cumsum(counts)])
     code = s.code[keep]
-    data, size = s.payload(np.flatnonzero(keep))
+    data, size = s.payload(~keep)
+    size = size[keep]
     inner = pa.StructArray.from_arrays(
         [pa.array((np.arange(len(code)) - np.repeat(cut[:-1], counts)).astype(np.int32)),
          pa.array(code.astype(np.int32)), _NAMES.take(pa.array(code)),
@@ -341,7 +378,7 @@ def pubkeys(s: Scan) -> pa.Array:
     found = first & (second | (s.code[b] == op.OP_CHECKSIG))
     counts = np.zeros(len(s), np.int64)
     counts[two[found]] = 1
-    data, size = s.payload(chosen[found])
+    data, size = s.payload_of(chosen[found])
     return pa.ListArray.from_arrays(pa.array(_offsets(counts)),
                                     _to_binary(_HEX[data].ravel(), 2 * size, None, pa.string()))
 
