@@ -178,7 +178,7 @@ def with_rules(docs: DataFrame, *, text: str = "text") -> DataFrame:
     counted = docs.withColumn(own, words(text)).select(
         *[F.col(c) for c in docs.columns],
         F.size(own).cast("bigint").alias("n_words"),
-        F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("bigint").alias("word_chars"),
+        F.length(F.array_join(own, "")).cast("bigint").alias("word_chars"),
         F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint"))
         .alias("n_dup_lines"),
