@@ -63,6 +63,25 @@ def test_top_by_address_equals_the_join(spark, stored, with_script, k):
         == rows(utxo.top_unspent(hexed.union(hexed.limit(0)), k, with_script))
 
 
+def rows_of_tasks(df):
+    return [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+
+
+def test_a_task_folds_a_bounded_number_of_rows(spark, stored, monkeypatch):
+    """However many rows a split holds; the rows of an outpoint stay together."""
+    df, _ = stored
+    want = [tuple(r) for r in utxo.top_unspent(df, 50).collect()]
+    most, folded, fold = max(rows_of_tasks(df)), [], utxo.unspent_keys
+    monkeypatch.setattr(utxo, "FOLD_ROWS", most // 7, raising=False)
+    monkeypatch.setattr(utxo, "unspent_keys", lambda e, *a, **k: folded.append(e) or fold(e, *a, **k))
+    assert [tuple(r) for r in utxo.top_unspent(df, 50).collect()] == want
+    assert max(rows_of_tasks(folded[0])) < most // 5
+    assert folded[0].count() == df.count()
+    placed = folded[0].withColumn("task", F.spark_partition_id())
+    assert (placed.groupBy("tx_hash", "idx", "_file").agg(F.countDistinct("task").alias("n"))
+            .where("n > 1").count() == 0)
+
+
 def test_second_scan_opens_the_winners_files_only(spark, stored):
     df, _ = stored
     assert files_read(utxo.top_unspent(df, 3)) <= 3 < 40

@@ -27,6 +27,8 @@ script) are never carried through that shuffle:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,10 @@ KEY = ["tx_hash", "idx"]
 # row is ~100 bytes, so ~25 MB); larger k falls back to a shuffle join.
 MAX_BROADCAST_ROWS = 250_000
 
+# Rows of a stored table that one task folds at most (about 250 bytes each in
+# its map); a split of more rows is folded in shares of its outpoints.
+FOLD_ROWS = 2_000_000
+
 
 def _join_bounded(big: DataFrame, small: DataFrame, on, bound_rows: int,
                   how: str = "inner") -> DataFrame:
@@ -202,9 +208,23 @@ def _top_rows(j: DataFrame, with_script: bool) -> DataFrame:
     return res.orderBy(F.col("amount").desc(), "tx_hash", "idx")
 
 
+def _in_shares(elements: DataFrame) -> DataFrame:
+    """``elements``, with splits dealt to so many tasks that each folds about
+    ``FOLD_ROWS`` rows. A split is bounded in bytes alone, and rows that pack well
+    are many in it. All rows of an outpoint stay in one share, so that a hot one
+    still collapses to a row per split."""
+    per_task = elements.groupBy(F.spark_partition_id().alias("_task")).count()
+    shares = -(-(per_task.agg(F.max("count")).first()[0] or 0) // FOLD_ROWS)
+    if shares < 2:
+        return elements
+    own = F.pmod(F.xxhash64(*KEY), F.lit(shares))
+    return reduce(DataFrame.unionAll, [elements.where(own == i) for i in range(shares)])
+
+
 def _winners(elements: DataFrame, k: int, compact_keys: bool) -> list:
     """Address, key, amount and ``tx_idx`` of the k largest unspent outputs of
     elements with addresses."""
+    elements = _in_shares(elements)
     _, key = _keyed(elements, compact_keys)
     top = (unspent_keys(elements, "amount", "tx_idx", *rowaddress.ADDRESS, compact_keys=compact_keys)
            .orderBy(F.col("amount").desc(), *key).limit(k))
