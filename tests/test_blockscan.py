@@ -5,12 +5,14 @@ import random
 import struct
 import tempfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_blockfile import MAGIC, record, sha256d, tx_bytes, varint
 from utxolens.sources import blockfile as bf
 from utxolens.sources import blockscan as bs
+from utxolens.sources import blockwrite
 
 COINBASE_IN = (b"\x00" * 32, 0xFFFFFFFF, b"\x01\x02")
 P2PKH = bytes.fromhex("76a914" + "11" * 20 + "88ac")
@@ -240,3 +242,69 @@ def test_sql_and_options(spark):
         spark.read.format("blockfile").option("onDamage", "ignore").load(d).count()
     empty = tempfile.mkdtemp(prefix="utxolens-none-")
     assert spark.read.format("blockfile").load(empty).count() == 0
+
+
+def small_chain(n, seed=3):
+    """Blocks that follow each other: plain ones, with witness data, with long
+    counts and scripts, of equal transactions, and damaged ones."""
+    rnd, out = random.Random(seed), []
+    for i in range(n):
+        txs = [{"tx_hash": "", "inputs": [{"prev_hash": rnd.randbytes(32).hex(), "prev_idx": rnd.randrange(1 << 32),
+                                            "script": rnd.randbytes(rnd.choice([0, 1, 40, 252]))}
+                                           for _ in range(rnd.randrange(4))],
+                "outputs": [{"value": rnd.randrange(-5, 1 << 60), "script": rnd.choice([None, MAGIC, rnd.randbytes(30)])}
+                            for _ in range(rnd.randrange(4))]} for _ in range(rnd.randrange(5))]
+        if i % 29 == 7:
+            txs += [{"tx_hash": "", "inputs": [], "outputs": [{"value": 1, "script": bytes(600)}] * 260}]
+        raw = blockwrite.block_record(i - 4, txs)
+        if i % 31 == 11:
+            raw = MAGIC + struct.pack("<I", len(witness_block(n=2))) + witness_block(n=2)
+        if i % 43 == 20:
+            bad = bytearray(raw)
+            bad[rnd.randrange(8, len(bad))] ^= 1 + rnd.randrange(255)
+            raw = bytes(bad)
+        out.append(raw if i % 97 != 50 else raw[:-1])
+    return b"".join(out)
+
+
+@pytest.mark.parametrize("verify", [False, True])
+@pytest.mark.parametrize("rows", ["blocks", "rejected"])
+def test_blocks_decoded_together_equal_single_ones(tmp_path, monkeypatch, verify, rows):
+    path, data = tmp_path / "a.dat", small_chain(700)
+    path.write_bytes(data)
+    own = bs.BlockFileReader({"path": str(path), "verify": str(verify), "onDamage": "skip", "rows": rows,
+                              "maxBlock": str(1 << 18)})
+
+    def read():
+        spans = [(i, min(i + 50_000, len(data))) for i in range(0, len(data), 50_000)]
+        found = [b for a, e in spans for b in own.read(bs.Ranges([(str(path), a, e, len(data))]))]
+        assert all(b.num_rows <= bs.RUN or not bs.RUN for b in found)
+        return [r for b in found for r in b.to_pylist()]
+
+    got = read()
+    monkeypatch.setattr(bs, "RUN", 0)
+    assert got == read() and got
+
+
+def test_small_blocks_take_no_parse_each(tmp_path, monkeypatch):
+    path = tmp_path / "a.dat"
+    path.write_bytes(b"".join(blockwrite.block_record(i, [{"inputs": [], "outputs": [{"value": i, "script": b"x"}]}])
+                              for i in range(3000)))
+    parsed, parse = [], bs.parse_block
+    monkeypatch.setattr(bs, "parse_block", lambda *a: parsed.append(1) or parse(*a))
+    own = bs.BlockFileReader({"path": str(path), "verify": "true"})
+    assert sum(b.num_rows for p in own.partitions() for b in own.read(p)) == 3000
+    assert len(parsed) < 300
+
+
+def test_records_of_a_batch_equal_single_ones():
+    t = [5, -1, 7, 8]
+    one = {"prev_hash": "ab" * 32, "prev_idx": 1 << 31, "script": None}
+    rows = [[], [{"inputs": None, "outputs": []}, {"inputs": [one, one | {"prev_hash": "text"}], "outputs": []}],
+            [{"inputs": [one | {"script": bytes(300)}], "outputs": [{"value": -3, "script": bytes(70_000)}]}],
+            [{"inputs": [], "outputs": [{"value": i, "script": None} for i in range(300)]}] * 2]
+    batch = pa.RecordBatch.from_pydict({"t": pa.array(t, pa.int32()), "transactions": pa.array(
+        rows, pa.list_(pa.struct([("inputs", pa.list_(bf._INPUTS)), ("outputs", pa.list_(bf._OUTPUTS))])))})
+    want = [blockwrite.block_record(x, y) for x, y in zip(t, rows)]
+    assert list(blockwrite.block_records(batch)) == want
+    assert list(blockwrite.block_records(batch.slice(1, 2))) == want[1:3]

@@ -6,6 +6,7 @@
 A partition is a set of byte ranges (file, start, end); small files share one.
 A task reads its range in chunks, finds record markers, decodes what they head
 and reads the last record past its range's end, so it holds a chunk and a block.
+Small blocks that follow each other are decoded together (``blockrun``).
 
 Which records count does not depend on the ranges. A record is *whole* if a
 marker, a plausible size and a block that decodes (with ``verify``: and hashes
@@ -31,16 +32,21 @@ from collections.abc import Iterator
 from typing import NamedTuple
 from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .blockfile import (BLOCK_FILE_ROWS, MAINNET_MAGIC, MAX_BLOCK, SPLIT_BYTES, Block, DamagedBlock,
                         DamagedBlockFile, batches_of, parse_block)
+from .blockrun import decode_run
 
 CHUNK = 4 << 20           # bytes read at once
 HEAD = 8                  # marker and size of a record
 HEADER = 80               # least size of a block
+SMALL = 16 << 10          # longest block that is decoded together with others
+RUN = 1024                # most blocks that are decoded together
+FEW = 16                  # fewer blocks are decoded one by one
 
 NO_MARKER = "no record magic"
 PIECES = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()),
@@ -173,8 +179,9 @@ class Piece(NamedTuple):
 class Scan:
     """Records of one file."""
 
-    def __init__(self, file: ByteFile, magic: bytes, verify: bool, max_block: int):
+    def __init__(self, file: ByteFile, magic: bytes, verify: bool, max_block: int, run: int = 0):
         self.file, self.magic, self.verify, self.max_block = file, magic, verify, max_block
+        self.run = run            # most blocks that are decoded together (0: none)
 
     def extent(self, at: int) -> tuple[int, str | None]:
         """(size, reason why not) of the record whose marker stands at ``at``."""
@@ -211,9 +218,40 @@ class Scan:
             at += 1
         return x
 
-    def range(self, start: int, end: int) -> Iterator[tuple[int, Block] | Piece]:
-        """(size, block) of the records that start in [start, end), and pieces
-        of the bytes there that belong to no record."""
+    def together(self, at: int, end: int) -> Iterator[tuple[int, Block] | pa.RecordBatch]:
+        """Small records that follow each other from ``at`` on, as far as they
+        lie in the held chunk, count and start before ``end``; where they end."""
+        f, most = self.file, min(self.max_block, SMALL)
+        s = pos = at - f.at
+        last, starts, sizes = min(end - f.at, len(f.chunk) - HEAD), [], []
+        while 0 <= pos < last and len(sizes) < self.run and f.chunk.startswith(self.magic, pos):
+            size = int.from_bytes(f.chunk[pos + 4:pos + HEAD], "little")
+            if not HEADER <= size <= most or pos + HEAD + size > len(f.chunk):
+                break
+            starts.append(pos + HEAD - s)
+            sizes.append(size)
+            pos += HEAD + size
+        if len(sizes) < FEW:
+            return at
+        buf, done = f.chunk[s:pos], 0
+        ok, rows = decode_run(f.path, buf, starts, sizes, self.verify)
+        for i in [*np.flatnonzero(~ok).tolist(), len(ok)]:
+            plain = i - done
+            if plain:
+                yield rows.slice(0, plain)
+                rows = rows.slice(plain)
+            if i == len(ok):
+                break
+            try:
+                yield sizes[i], parse_block(buf[starts[i]:starts[i] + sizes[i]], self.verify)
+            except DamagedBlock:
+                return at + starts[i] - HEAD
+            done = i + 1
+        return at + len(buf)
+
+    def range(self, start: int, end: int) -> Iterator[tuple[int, Block] | pa.RecordBatch | Piece]:
+        """(size, block) of the records that start in [start, end), or rows of
+        many such, and pieces of the bytes there that belong to no record."""
         end = min(end, self.file.length)
         pos = self.covered_to(start) if start else 0
         while pos < end:
@@ -222,6 +260,9 @@ class Scan:
                 yield Piece(pos, (end if at is None else at) - pos, NO_MARKER, False)
                 if at is None:
                     return
+            pos = yield from self.together(at, end)
+            if pos > at:
+                continue
             size, found = self.block(at)
             if isinstance(found, Block):
                 yield size, found
@@ -280,18 +321,20 @@ class BlockFileReader(DataSourceReader):
         yield from self._pieces(found) if self.rejected else batches_of(self._blocks(found), self.per_batch)
 
     def _scan(self, partition: Ranges, held: ByteFile | None
-              ) -> Iterator[tuple[ByteFile, tuple[int, Block] | Piece]]:
+              ) -> Iterator[tuple[ByteFile, tuple[int, Block] | pa.RecordBatch | Piece]]:
         for path, start, end, length in partition.ranges:
             file = held or ByteFile(path, length)
             try:
-                for x in Scan(file, self.magic, self.verify, self.max_block).range(start, end):
+                for x in Scan(file, self.magic, self.verify, self.max_block, RUN).range(start, end):
                     yield file, x
             finally:
                 file.close()
 
-    def _blocks(self, found) -> Iterator[tuple[str, int, Block]]:
+    def _blocks(self, found) -> Iterator[tuple[str, int, Block] | pa.RecordBatch]:
         for file, x in found:
-            if not isinstance(x, Piece):
+            if isinstance(x, pa.RecordBatch):
+                yield x
+            elif not isinstance(x, Piece):
                 yield file.path, *x
             elif self.on_damage == "fail" and file.filled(x.offset, x.offset + x.length):
                 raise DamagedBlockFile(f"{file.path}: {x.length} bytes at {x.offset}: {x.reason}")
